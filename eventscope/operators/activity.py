@@ -144,12 +144,14 @@ def _mean_over(c: Column, frame: Window, digits: int) -> Column:
 
 
 def _drop_partial_months(monthly: DataFrame) -> DataFrame:
+    # one row per month: the unpartitioned window is over months, not events
     everything = Window.partitionBy()
-    first_month = F.min("activity_month").over(everything)
-    last_month = F.max("activity_month").over(everything)
-    starts_late = (F.col("activity_month") == first_month) & (F.dayofmonth("_first_day") != 1)
-    ends_early = (F.col("activity_month") == last_month) & (F.col("_last_day") != F.last_day("_last_day"))
-    return monthly.where(~(starts_late | ends_early))
+    bounds = monthly.withColumn("_data_first", F.min("activity_month").over(everything)).withColumn(
+        "_data_last", F.max("activity_month").over(everything)
+    )
+    starts_late = (F.col("activity_month") == F.col("_data_first")) & (F.dayofmonth("_first_day") != 1)
+    ends_early = (F.col("activity_month") == F.col("_data_last")) & (F.col("_last_day") != F.last_day("_last_day"))
+    return bounds.where(~(starts_late | ends_early)).drop("_data_first", "_data_last")
 
 
 __all__ = [

@@ -1,0 +1,91 @@
+"""Cohort retention on fixture 2 (FIXTURES.md) and invariants on orders."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from eventscope.operators import cohort_activity, retention_curve, retention_long, retention_matrix
+from eventscope.sources import order_events, read_table
+
+from .conftest import SF001, as_dicts
+
+
+def _d(x):
+    return None if x is None else Decimal(str(x))
+
+
+def test_matrix_pct(cohort_events):
+    out = as_dicts(retention_matrix(cohort_activity(cohort_events), months=4))
+    got = [(r["cohort"], r["total_users"], [r[f"m{k}"] for k in range(4)]) for r in out]
+    assert got == [
+        ("2024-01", 3, [_d("100.0"), _d("33.3"), _d("66.7"), _d("0.0")]),
+        ("2024-02", 2, [_d("100.0"), _d("50.0"), _d("0.0"), _d("0.0")]),
+        ("2024-03", 1, [_d("100.0"), _d("0.0"), _d("0.0"), _d("0.0")]),
+        ("2024-04", 1, [_d("100.0"), _d("0.0"), _d("0.0"), _d("0.0")]),
+    ]
+
+
+def test_matrix_masked(cohort_events):
+    out = as_dicts(retention_matrix(cohort_activity(cohort_events), months=4, mask_unobserved=True))
+    masked = {r["cohort"]: [k for k in range(4) if r[f"m{k}"] is None] for r in out}
+    assert masked == {"2024-01": [], "2024-02": [3], "2024-03": [2, 3], "2024-04": [1, 2, 3]}
+
+
+def test_matrix_users(cohort_events):
+    out = as_dicts(retention_matrix(cohort_activity(cohort_events), months=4, as_pct=False))
+    assert [[r[f"m{k}_users"] for k in range(4)] for r in out] == [[3, 1, 2, 0], [2, 1, 0, 0], [1, 0, 0, 0], [1, 0, 0, 0]]
+    assert "total_users" not in out[0]
+
+
+def test_long_classic_and_rolling(cohort_events):
+    out = as_dicts(retention_long(cohort_activity(cohort_events)))
+    got = [(r["cohort"], r["month_num"], r["active_users"], r["retention_pct"], r["rolling_retention_pct"]) for r in out]
+    assert got == [
+        ("2024-01", 0, 3, _d("100.0"), _d("100.0")),
+        ("2024-01", 1, 1, _d("33.3"), _d("66.7")),
+        ("2024-01", 2, 2, _d("66.7"), _d("66.7")),
+        ("2024-02", 0, 2, _d("100.0"), _d("100.0")),
+        ("2024-02", 1, 1, _d("50.0"), _d("50.0")),
+        ("2024-03", 0, 1, _d("100.0"), _d("100.0")),
+        ("2024-04", 0, 1, _d("100.0"), _d("100.0")),
+    ]
+
+
+@pytest.mark.parametrize(
+    "weighting,expected",
+    [
+        ("cohort_size", [(0, 4, 7, 7, "100.0"), (1, 3, 2, 6, "33.3"), (2, 2, 2, 5, "40.0"), (3, 1, 0, 3, "0.0")]),
+        ("row_fanout", [(0, 4, 7, 15, "46.7"), (1, 2, 2, 5, "40.0"), (2, 1, 2, 6, "33.3")]),
+    ],
+)
+def test_curve(cohort_events, weighting, expected):
+    out = as_dicts(retention_curve(cohort_activity(cohort_events), weighting=weighting))
+    got = [
+        (r["month_num"], r["cohorts_count"], r["active_users"], r["total_eligible_users"], r["avg_retention_pct"])
+        for r in out
+    ]
+    assert got == [(m, c, a, e, _d(p)) for m, c, a, e, p in expected]
+
+
+def test_invariants_on_orders(spark):
+    ca = cohort_activity(order_events(read_table(spark, SF001, "orders")))
+    long = retention_long(ca)
+    assert long.where("month_num = 0 AND (retention_pct <> 100 OR rolling_retention_pct <> 100)").count() == 0
+    assert long.where("rolling_retention_pct < retention_pct").count() == 0
+    # rolling retention never increases with the month of life
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("cohort_month").orderBy("month_num")
+    rising = long.withColumn("prev", F.lag("rolling_retention_pct").over(w)).where("rolling_retention_pct > prev")
+    assert rising.count() == 0
+    curve = as_dicts(retention_curve(ca))
+    assert curve[0]["avg_retention_pct"] == Decimal("100.0")
+
+
+def test_null_users_dropped(cohort_events):
+    ca = cohort_activity(cohort_events)
+    assert ca.where("user_id IS NULL").count() == 0
+    assert ca.select("user_id").distinct().count() == 7
