@@ -24,8 +24,9 @@ each step is a per-session aggregate:
   handling on (see :mod:`eventscope.plans.session`) a hot session's partition is
   split across tasks, and the following aggregate is partial again.
 
-The per-session step tables are all hash-partitioned on the session, so the
-final left joins that assemble one row per session add no exchange.
+The per-session step tables are all hash-partitioned on the session; their
+union keeps that partitioning, so one in-place aggregate assembles the output
+row per session (no join, no sort, no extra exchange).
 """
 
 from __future__ import annotations
@@ -98,10 +99,18 @@ def funnel_sessions(
         tables.append(reached)
         previous, prev_name = reached, names[k]
 
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.join(t, on=session, how="left")
-    return out.select(session, *names)
+    # Assemble one row per session without joins: every step table is already
+    # hash-partitioned on the session, the union keeps that partitioning, and
+    # the final aggregate runs in place (no exchange, no sort).
+    ts_type = keyed.schema["_ts"].dataType
+    parts = [
+        t.select(session, *[F.col(n) if j == i else F.lit(None).cast(ts_type).alias(n) for j, n in enumerate(names)])
+        for i, t in enumerate(tables)
+    ]
+    assembled = parts[0]
+    for p in parts[1:]:
+        assembled = assembled.unionByName(p)
+    return assembled.groupBy(session).agg(*[F.max(n).alias(n) for n in names])
 
 
 def funnel_steps(
