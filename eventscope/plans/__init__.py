@@ -1,5 +1,16 @@
-"""Session settings and multi-query report plans."""
+"""Session settings and multi-report plans."""
 
+from .reports import FunnelReports, RetentionReports, cart_report, materialize, write_reports
 from .session import SCALE_CONF, build_session, configure, ensure_checkpoint_dir
 
-__all__ = ["SCALE_CONF", "build_session", "configure", "ensure_checkpoint_dir"]
+__all__ = [
+    "SCALE_CONF",
+    "FunnelReports",
+    "RetentionReports",
+    "build_session",
+    "cart_report",
+    "configure",
+    "ensure_checkpoint_dir",
+    "materialize",
+    "write_reports",
+]

@@ -1,5 +1,27 @@
 """Event-log sources and sinks."""
 
+from .events import (
+    EVENT_COLUMNS,
+    EVENT_SCHEMA,
+    RAW_SCHEMA,
+    clean_events,
+    load_events,
+    read_events,
+    write_events,
+    write_events_table,
+)
 from .tables import clickstream_events, order_events, read_table
 
-__all__ = ["clickstream_events", "order_events", "read_table"]
+__all__ = [
+    "EVENT_COLUMNS",
+    "EVENT_SCHEMA",
+    "RAW_SCHEMA",
+    "clean_events",
+    "clickstream_events",
+    "load_events",
+    "order_events",
+    "read_events",
+    "read_table",
+    "write_events",
+    "write_events_table",
+]

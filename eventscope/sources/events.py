@@ -130,6 +130,11 @@ def write_events_table(
     Joins and aggregations keyed by session then read co-located buckets and
     skip the shuffle; ``ANALYZE`` records column statistics for the optimizer.
     Choose ``buckets`` so one bucket fits a task (e.g. table bytes / 256 MB).
+
+    A bucket is read by one task, so this layout only pays when no single
+    session holds a large share of the rows. With a dominant session keep the
+    date-partitioned layout of :func:`write_events`: there the session
+    aggregates pre-aggregate map-side and AQE splits the skewed partition.
     """
     (
         events.write.mode(mode)
@@ -143,6 +148,9 @@ def write_events_table(
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Read events written by :func:`write_events` (partition column dropped)."""
-    df = spark.read.parquet(path)
-    return df.select(*[c for c in EVENT_COLUMNS if c in df.columns])
+    """Read events written by :func:`write_events`.
+
+    The ``event_date`` partition column is kept: filter on it (next to any
+    ``event_time`` range) to prune whole date directories.
+    """
+    return spark.read.parquet(path)

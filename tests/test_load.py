@@ -77,3 +77,35 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], EVENT_SCHEMA)
     assert as_dicts(profile_volume(empty))[0]["total_events"] == 0
     assert profile_event_share(empty).count() == 0
+
+
+def test_streaming_load_is_incremental(spark, tmp_path):
+    from eventscope.streaming import start_event_load
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.csv").write_text(HEADER + "".join(GOOD[:2]), encoding="utf-8")
+    table, ckpt = str(tmp_path / "table"), str(tmp_path / "ckpt")
+    q = start_event_load(spark, str(landing), table, ckpt, available_now=True)
+    q.awaitTermination(120)
+    assert spark.read.parquet(table).count() == 2
+    (landing / "b.csv").write_text(HEADER + GOOD[2], encoding="utf-8")
+    q = start_event_load(spark, str(landing), table, ckpt, available_now=True)
+    q.awaitTermination(120)
+    back = spark.read.parquet(table)
+    assert back.count() == 3  # the first file is not loaded twice
+    assert sorted(r["event_date"].isoformat() for r in back.select("event_date").distinct().collect()) == [
+        "2020-09-24", "2020-09-25"
+    ]
+
+
+def test_bucketed_table_skips_the_session_shuffle(spark, tmp_path):
+    from eventscope.operators import cart_sessions
+    from eventscope.sources.events import write_events_table
+
+    ev = clean_events(load_events(spark, _csv(tmp_path, GOOD)))
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS es_test LOCATION '{tmp_path / 'wh'}'")
+    write_events_table(ev, "es_test.events_bucketed", buckets=4)
+    plan = cart_sessions(spark.table("es_test.events_bucketed"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    spark.sql("DROP TABLE es_test.events_bucketed")
