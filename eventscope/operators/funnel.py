@@ -89,9 +89,13 @@ def funnel_sessions(
     tables = [first]
     previous, prev_name = first, names[0]
     for k in range(1, len(steps)):
+        # Joining on (session, hash(session)) rather than on the session alone
+        # makes Spark shuffle *both* inputs for this join (co-partitioning needs
+        # every join key), which is the shape AQE's skew-join rule can split.
         reached = (
             step_events(k)
-            .join(previous.select(session, prev_name), on=session, how="inner")
+            .withColumn("_h", F.xxhash64(session))
+            .join(previous.select(session, prev_name).withColumn("_h", F.xxhash64(session)), on=[session, "_h"])
             .where(F.col("_ts") > F.col(prev_name))
             .groupBy(session)
             .agg(F.min("_ts").alias(names[k]))
