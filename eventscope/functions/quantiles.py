@@ -33,7 +33,7 @@ def exact_percentiles(
     df: DataFrame,
     targets: Sequence[Target],
     *,
-    accuracy: int = 100_000,
+    accuracy: int = 10_000,
     exact_below: int = 1_000_000,
 ) -> DataFrame:
     """One row: a double column per target alias plus ``n_<column>`` counts.

@@ -7,8 +7,9 @@ user or a hot day never meets in one task as raw rows.
 
 Windows without a partition (moving average, period-over-period growth) only
 ever run on the aggregated periods -- at most one row per calendar day -- never
-on events. Frames are by rows and ``lag`` is by row: missing periods are not
-filled in.
+on events. Frames are by rows and ``lag`` is by row: by default missing
+periods are not filled in (``fill_missing_days`` / ``fill_missing_weeks`` add
+them with a calendar from ``sequence``).
 """
 
 from __future__ import annotations
@@ -52,6 +53,20 @@ def growth(df: DataFrame, metric: str, order: str, digits: int = 2) -> DataFrame
     )
 
 
+def densify(periods: DataFrame, period: str, metric: str, step: str) -> DataFrame:
+    """Add the missing periods between the first and last one with ``metric = 0``.
+
+    The calendar is generated from a one-row min/max aggregate with
+    ``sequence`` and joined back; its size is the number of periods in the
+    data's range, independent of the number of events.
+    """
+    span = periods.agg(F.min(period).alias("_lo"), F.max(period).alias("_hi"))
+    calendar = span.select(F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL 1 {step}"))).alias(period))
+    return calendar.join(periods, on=period, how="left").select(
+        period, F.coalesce(F.col(metric), F.lit(0).cast("bigint")).alias(metric)
+    )
+
+
 def daily_report(
     events: DataFrame,
     weekend_labels: dict[str, str] | None = None,
@@ -59,15 +74,19 @@ def daily_report(
     user: str = "user_id",
     time: str = "event_time",
     window_days: int = 7,
+    fill_missing_days: bool = False,
 ) -> DataFrame:
     """``activity_date, dau, dau_7d_moving_avg, day_of_week, day_type`` by date.
 
     The moving average is over the current and previous ``window_days - 1``
     *rows* (days with activity), rounded to an integer; early rows use a shorter
-    frame.
+    frame. ``fill_missing_days=True`` first adds days without activity (DAU 0),
+    making the frame a true calendar window.
     """
     labels = weekend_labels or DAY_TYPE_LABELS
     daily = active_users(events, "day", user=user, time=time)
+    if fill_missing_days:
+        daily = densify(daily, "activity_date", "dau", "DAY")
     frame = Window.orderBy("activity_date").rowsBetween(-(window_days - 1), Window.currentRow)
     dow = iso_day_of_week("activity_date")
     return daily.select(
@@ -79,9 +98,18 @@ def daily_report(
     ).orderBy("activity_date")
 
 
-def weekly_report(events: DataFrame, *, user: str = "user_id", time: str = "event_time") -> DataFrame:
-    """``week_start, iso_year, iso_week, wau, wau_diff, wau_growth_pct`` (week over week)."""
-    weekly = active_users(events, "week", user=user, time=time).select(
+def weekly_report(
+    events: DataFrame, *, user: str = "user_id", time: str = "event_time", fill_missing_weeks: bool = False
+) -> DataFrame:
+    """``week_start, iso_year, iso_week, wau, wau_diff, wau_growth_pct`` (week over week).
+
+    Growth compares with the previous *row*; ``fill_missing_weeks=True`` adds
+    weeks without activity (WAU 0) so it always compares with the previous week.
+    """
+    weekly = active_users(events, "week", user=user, time=time)
+    if fill_missing_weeks:
+        weekly = densify(weekly, "week_start", "wau", "WEEK")
+    weekly = weekly.select(
         "week_start", iso_year("week_start").alias("iso_year"), iso_week("week_start").alias("iso_week"), "wau"
     )
     return growth(weekly, "wau", "week_start").orderBy("week_start")
@@ -159,6 +187,7 @@ __all__ = [
     "ENGLISH_DAY_TYPE_LABELS",
     "active_users",
     "daily_report",
+    "densify",
     "growth",
     "monthly_report",
     "weekly_report",

@@ -8,7 +8,8 @@
   though the split adds an exchange before that (partial, hence small)
   aggregate.
 * The checkpoint directory is read from ``spark.checkpoint.dir``; a local one
-  is only created when the cluster did not name one (tests, local runs).
+  is only created for a ``local[...]`` master (tests, local runs). On a cluster
+  an unset folder is an error rather than a machine-local fallback.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return existing
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
         path = tempfile.mkdtemp(prefix="eventscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -102,3 +102,17 @@ def test_exclude_partial_months(spark):
             (dt.datetime(2024, 2, 29, 9), "view", 1, 2, "c"), (dt.datetime(2024, 3, 2, 9), "view", 1, 2, "d")]
     out = as_dicts(monthly_report(events_df(spark, rows), exclude_partial=True))
     assert [r["month_label"] for r in out] == ["2024-02"]
+
+
+def test_fill_missing_days_and_weeks(spark):
+    days = {1: list(range(10)), 2: [1], 3: [1], 5: [1], 6: [1], 7: [1], 8: [1]}
+    ev = _daily_events(spark, days)
+    out = as_dicts(daily_report(ev, fill_missing_days=True))
+    assert [r["activity_date"].day for r in out] == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert out[3]["dau"] == 0
+    # calendar frame on Jan 8: Jan 2..8 -> 6 / 7 -> 1 (the literal row frame gives 2)
+    assert out[-1]["dau_7d_moving_avg"] == Decimal("1")
+    rows = [(dt.datetime(2024, 1, 1, 9), "view", 1, 1, "a"), (dt.datetime(2024, 1, 22, 9), "view", 1, 2, "b")]
+    weeks = as_dicts(weekly_report(events_df(spark, rows), fill_missing_weeks=True))
+    assert [r["wau"] for r in weeks] == [1, 0, 0, 1]
+    assert weeks[-1]["wau_growth_pct"] is None and weeks[1]["wau_growth_pct"] == Decimal("-100.00")
