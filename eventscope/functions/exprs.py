@@ -30,8 +30,14 @@ def safe_den(den: ColumnOrName) -> Column:
 
 def ratio(num: ColumnOrName, den: ColumnOrName, digits: int = 2,
           scale: Decimal = _ONE) -> Column:
-    """``ROUND(scale * num / NULLIF(den, 0), digits)`` in exact decimal arithmetic."""
-    return F.round(F.lit(scale) * col(num) / safe_den(den), digits)
+    """``ROUND(scale * num / NULLIF(den, 0), digits)`` in exact decimal arithmetic.
+
+    ``num`` and ``den`` are Columns or SQL expression strings (e.g. a column
+    name); with two strings the whole expression is one SQL expression.
+    """
+    if isinstance(num, str) and isinstance(den, str):
+        return F.expr(f"round({scale} * ({num}) / nullif(({den}), 0), {digits})")
+    return F.round(F.lit(scale) * _expr(num) / safe_den(_expr(den)), digits)
 
 
 def pct(num: ColumnOrName, den: ColumnOrName, digits: int = 2) -> Column:
@@ -39,6 +45,10 @@ def pct(num: ColumnOrName, den: ColumnOrName, digits: int = 2) -> Column:
     return ratio(num, den, digits, _HUNDRED)
 
 
+def _expr(c: ColumnOrName) -> Column:
+    return F.expr(c) if isinstance(c, str) else c
+
+
 def month_start(ts: ColumnOrName) -> Column:
     """First day of the month of a timestamp or date, as a DATE."""
     return F.trunc(F.to_date(col(ts)), "month")

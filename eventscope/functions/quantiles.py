@@ -52,64 +52,51 @@ def exact_percentiles(
     for _, _, p in targets:
         probs += [max(0.0, p - margin), min(1.0, p + margin)]
 
-    long = (
-        df.select(
-            F.inline(
-                F.array(*[F.struct(F.lit(j).alias("m"), F.col(c).cast("double").alias("x")) for j, c in enumerate(columns)])
-            )
-        )
-        .where(F.col("x").isNotNull())
-    )
+    # Expressions are written as SQL text: one JVM call each instead of one per
+    # sub-expression (building the plan stays cheap on the driver).
+    metrics = ", ".join(f"named_struct('m', {j}, 'x', CAST(`{c}` AS DOUBLE))" for j, c in enumerate(columns))
+    long = df.selectExpr(f"inline(array({metrics}))").where("x IS NOT NULL")
 
     stats = long.groupBy("m").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("x", probs, accuracy).alias("b")
+        F.expr("count(1)").alias("n"),
+        F.expr(f"percentile_approx(x, array({', '.join(map(repr, probs))}), {accuracy})").alias("b"),
     )
-    target_rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("t"),
-                F.lit(columns.index(c)).alias("tm"),
-                F.lit(p).alias("p"),
-                F.col("b")[2 * i].alias("lo_approx"),
-                F.col("b")[2 * i + 1].alias("hi_approx"),
-            )
-            for i, (_, c, p) in enumerate(targets)
-        ]
+    target_rows = ", ".join(
+        f"named_struct('t', {i}, 'tm', {columns.index(c)}, 'p', CAST({p!r} AS DOUBLE), "
+        f"'lo_approx', b[{2 * i}], 'hi_approx', b[{2 * i + 1}])"
+        for i, (_, c, p) in enumerate(targets)
     )
-    h = F.col("p") * (F.col("n") - 1)
-    bounded = F.col("n") > F.lit(exact_below)
+    bounded = f"n > {exact_below}"
     # At most len(targets) rows: a broadcast of proven size.
     plan = (
-        stats.select("m", "n", F.inline(target_rows))
-        .where(F.col("m") == F.col("tm"))
-        .select(
+        stats.selectExpr("m", "n", f"inline(array({target_rows}))")
+        .where("m = tm")
+        .selectExpr(
             "t", "m", "n",
-            F.floor(h).alias("r0"),
-            F.ceil(h).alias("r1"),
-            (h - F.floor(h)).alias("frac"),
-            F.when(bounded, F.col("lo_approx")).alias("lo"),
-            F.when(bounded, F.col("hi_approx")).alias("hi"),
+            "floor(p * (n - 1)) AS r0",
+            "ceil(p * (n - 1)) AS r1",
+            "p * (n - 1) - floor(p * (n - 1)) AS frac",
+            f"CASE WHEN {bounded} THEN lo_approx END AS lo",
+            f"CASE WHEN {bounded} THEN hi_approx END AS hi",
         )
     )
 
-    tagged = long.join(F.broadcast(plan), on="m").where(F.col("hi").isNull() | (F.col("x") <= F.col("hi")))
-    key = F.when(F.col("lo").isNull() | (F.col("x") >= F.col("lo")), F.col("x"))
-    window = tagged.groupBy("t", "m", "n", "r0", "r1", "frac", key.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    tagged = long.join(F.broadcast(plan), on="m").where("hi IS NULL OR x <= hi")
+    window = tagged.groupBy(
+        "t", "m", "n", "r0", "r1", "frac", F.expr("CASE WHEN lo IS NULL OR x >= lo THEN x END").alias("v")
+    ).agg(F.expr("count(1)").alias("c"))
 
     by_rank = Window.partitionBy("t").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = window.withColumn("cum", F.sum("c").over(by_rank))
     picked = ranked.groupBy("t", "m", "n", "frac").agg(
-        F.min(F.when(F.col("cum") > F.col("r0"), F.col("v"))).alias("v0"),
-        F.min(F.when(F.col("cum") > F.col("r1"), F.col("v"))).alias("v1"),
-    )
-    value = F.when(F.col("v1") == F.col("v0"), F.col("v0")).otherwise(
-        F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0"))
+        F.expr("min(CASE WHEN cum > r0 THEN v END)").alias("v0"),
+        F.expr("min(CASE WHEN cum > r1 THEN v END)").alias("v1"),
     )
-    result = picked.select("t", "m", "n", value.alias("value"))
+    result = picked.selectExpr("t", "m", "n", "CASE WHEN v1 = v0 THEN v0 ELSE v0 + frac * (v1 - v0) END AS value")
 
-    out = [F.max(F.when(F.col("t") == i, F.col("value"))).alias(alias) for i, (alias, _, _) in enumerate(targets)]
+    out = [F.expr(f"max(CASE WHEN t = {i} THEN value END)").alias(alias) for i, (alias, _, _) in enumerate(targets)]
     out += [
-        F.coalesce(F.max(F.when(F.col("m") == j, F.col("n"))), F.lit(0).cast("bigint")).alias(f"n_{c}")
+        F.expr(f"coalesce(max(CASE WHEN m = {j} THEN n END), CAST(0 AS BIGINT))").alias(f"n_{c}")
         for j, c in enumerate(columns)
     ]
     return result.agg(*out)

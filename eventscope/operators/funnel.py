@@ -106,9 +106,9 @@ def funnel_sessions(
     # Assemble one row per session without joins: every step table is already
     # hash-partitioned on the session, the union keeps that partitioning, and
     # the final aggregate runs in place (no exchange, no sort).
-    ts_type = keyed.schema["_ts"].dataType
+    ts_type = keyed.schema["_ts"].dataType.simpleString()
     parts = [
-        t.select(session, *[F.col(n) if j == i else F.lit(None).cast(ts_type).alias(n) for j, n in enumerate(names)])
+        t.selectExpr(f"`{session}`", *[f"`{n}`" if j == i else f"CAST(NULL AS {ts_type}) AS `{n}`" for j, n in enumerate(names)])
         for i, t in enumerate(tables)
     ]
     assembled = parts[0]
@@ -138,22 +138,19 @@ def funnel_steps(
     labels = list(labels or (THREE_STEP_LABELS if n == 3 else [f"Step {i}" for i in range(1, n + 1)]))
     totals = sessions.agg(*[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(names)])
 
+    def hundred_times(num: str, den: str) -> str:
+        return f"round(100.0 * ({num}) / nullif({den}, 0), 2)"
+
     rows = []
     for i in range(n):
-        cur = F.col(f"_n{i}")
-        prev = F.col(f"_n{i - 1}") if i else F.lit(None).cast("bigint")
+        cur, prev = f"_n{i}", (f"_n{i - 1}" if i else "CAST(NULL AS BIGINT)")
+        label = labels[i].replace("'", "''")
         rows.append(
-            F.struct(
-                F.lit(i + 1).alias("step_no"),
-                F.lit(labels[i]).alias("step_name"),
-                cur.alias("sessions"),
-                pct(cur, prev).alias("micro_cr_pct"),
-                pct(cur, F.col("_n0")).alias("macro_cr_pct"),
-                (prev - cur).alias("sessions_lost"),
-                pct(prev - cur, prev).alias("drop_off_pct"),
-            )
+            f"named_struct('step_no', {i + 1}, 'step_name', '{label}', 'sessions', {cur}, "
+            f"'micro_cr_pct', {hundred_times(cur, prev)}, 'macro_cr_pct', {hundred_times(cur, '_n0')}, "
+            f"'sessions_lost', {prev} - {cur}, 'drop_off_pct', {hundred_times(f'{prev} - {cur}', prev)})"
         )
-    return totals.select(F.inline(F.array(*rows)))
+    return totals.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def funnel_by_period(

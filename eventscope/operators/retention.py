@@ -100,11 +100,11 @@ def retention_matrix(
     joined = sizes.join(wide, on="cohort_month", how="left")
 
     def cell(k: int):
-        active = F.coalesce(F.col(f"_a{k}"), F.lit(0).cast("bigint"))
-        value = pct(active, "total_users", 1) if as_pct else active
+        active = f"coalesce(_a{k}, CAST(0 AS BIGINT))"
+        value = f"round(100.0 * {active} / nullif(total_users, 0), 1)" if as_pct else active
         if mask_unobserved:
-            value = F.when(F.col("max_observable_month") >= k, value)
-        return value.alias(f"m{k}" if as_pct else f"m{k}_users")
+            value = f"CASE WHEN max_observable_month >= {k} THEN {value} END"
+        return F.expr(value).alias(f"m{k}" if as_pct else f"m{k}_users")
 
     head = ["cohort_month", month_label("cohort_month").alias("cohort")]
     if as_pct:
