@@ -60,21 +60,27 @@ def cohort_cells(activity: DataFrame) -> DataFrame:
     )
 
 
-def cohort_sizes(cells: DataFrame) -> DataFrame:
+def cohort_sizes(cells: DataFrame, months: int = 0) -> DataFrame:
     """``cohort_month, total_users, max_observable_month`` per cohort.
 
     Every user is active in month 0 of their cohort, so the size is the month-0
     cell. The observable horizon is the last month present in the data minus
     the cohort month; the data's last month is the largest ``cohort + month_num``
     over the cells, taken with a window over the per-cohort rows only.
+    With ``months > 0`` the same aggregate also returns ``_a0 .. _a{months-1}``,
+    the active users per month of life (NULL where nobody was active).
     """
     per_cohort = cells.groupBy("cohort_month").agg(
-        F.max(F.when(F.col("month_num") == 0, F.col("active_users"))).alias("total_users"),
-        F.max(F.col("month_num")).alias("_last"),
+        F.expr("max(CASE WHEN month_num = 0 THEN active_users END)").alias("total_users"),
+        F.max("month_num").alias("_last"),
+        *[F.expr(f"max(CASE WHEN month_num = {k} THEN active_users END)").alias(f"_a{k}") for k in range(months)],
     )
     cohort_idx = month_index("cohort_month")
     data_last = F.max(cohort_idx + F.col("_last")).over(Window.partitionBy())
-    return per_cohort.select("cohort_month", "total_users", (data_last - cohort_idx).alias("max_observable_month"))
+    return per_cohort.select(
+        "cohort_month", "total_users", (data_last - cohort_idx).alias("max_observable_month"),
+        *[f"_a{k}" for k in range(months)],
+    )
 
 
 def retention_matrix(
@@ -92,12 +98,10 @@ def retention_matrix(
     give 0 (or ``0.0``), also when they lie beyond the data's last month;
     ``mask_unobserved=True`` gives NULL for months after the data ends.
     """
-    cells = cohort_cells(activity)
-    sizes = cohort_sizes(cells)
-    wide = cells.where(F.col("month_num") < months).groupBy("cohort_month").agg(
-        *[F.max(F.when(F.col("month_num") == k, F.col("active_users"))).alias(f"_a{k}") for k in range(months)]
-    )
-    joined = sizes.join(wide, on="cohort_month", how="left")
+    # One aggregate per cohort gives the size, the horizon and every cell;
+    # the horizon window leaves the (calendar-sized) result in one partition,
+    # so the final ordering needs no range exchange.
+    joined = cohort_sizes(cohort_cells(activity), months)
 
     def cell(k: int):
         active = f"coalesce(_a{k}, CAST(0 AS BIGINT))"
