@@ -1,0 +1,130 @@
+"""Random event logs: Spark operators against plain-Python statements of the rules."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from eventscope.operators import (
+    cart_sessions,
+    cohort_activity,
+    funnel_sessions,
+    funnel_steps,
+    retention_curve,
+    retention_long,
+)
+from eventscope.operators.carts import ENGLISH_OUTCOME_LABELS
+
+from .conftest import as_dicts, events_df
+
+BASE = dt.datetime(2024, 1, 1)
+KINDS = ["view", "cart", "purchase", "remove_from_cart"]
+
+event = st.tuples(
+    st.integers(0, 40),  # minute offset: few distinct times -> many ties
+    st.sampled_from(KINDS),
+    st.one_of(st.none(), st.integers(1, 4)),  # user
+    st.one_of(st.none(), st.sampled_from("abcdef")),  # session
+)
+SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+def _rows(raw):
+    return [(BASE + dt.timedelta(minutes=m), k, 10, u, s) for m, k, u, s in raw]
+
+
+def _funnel(rows):
+    by = defaultdict(list)
+    for t, k, _, _, s in rows:
+        if s is not None:
+            by[s].append((t, k))
+    out = {}
+    for s, evs in by.items():
+        views = [t for t, k in evs if k == "view"]
+        if not views:
+            continue
+        v = min(views)
+        c = min((t for t, k in evs if k == "cart" and t > v), default=None)
+        p = min((t for t, k in evs if k == "purchase" and c is not None and t > c), default=None)
+        out[s] = (v, c, p)
+    return out
+
+
+@SETTINGS
+@given(st.lists(event, min_size=0, max_size=40))
+def test_funnel_matches_rules(spark, raw):
+    rows = _rows(raw)
+    fs = funnel_sessions(events_df(spark, rows))
+    got = {r["user_session"]: (r["viewed_at"], r["carted_at"], r["purchased_at"]) for r in as_dicts(fs)}
+    want = _funnel(rows)
+    assert got == want
+    steps = [r["sessions"] for r in as_dicts(funnel_steps(fs).orderBy("step_no"))]
+    assert steps == [len(want), sum(c is not None for _, c, _ in want.values()), sum(p is not None for *_, p in want.values())]
+    assert steps[0] >= steps[1] >= steps[2]
+
+
+@SETTINGS
+@given(st.lists(event, min_size=0, max_size=40), st.sampled_from(["first_purchase", "any_after_cart"]))
+def test_cart_outcome_matches_rules(spark, raw, rule):
+    rows = _rows(raw)
+    got = {r["user_session"]: r["cart_outcome"] for r in as_dicts(
+        cart_sessions(events_df(spark, rows), paid_rule=rule, labels=ENGLISH_OUTCOME_LABELS))}
+    by = defaultdict(list)
+    for t, k, _, _, s in rows:
+        if s is not None:
+            by[s].append((t, k))
+    want = {}
+    for s, evs in by.items():
+        carts = [t for t, k in evs if k == "cart"]
+        if not carts:
+            continue
+        c = min(carts)
+        buys = [t for t, k in evs if k == "purchase"]
+        paid = (min(buys) > c) if (buys and rule == "first_purchase") else any(b > c for b in buys)
+        want[s] = "paid" if paid else ("removed" if any(k == "remove_from_cart" for _, k in evs) else "abandoned")
+    assert got == want
+
+
+def _round1(num, den):
+    return (Decimal(100 * num) / Decimal(den)).quantize(Decimal("0.1"), rounding=ROUND_HALF_UP)
+
+
+month_event = st.tuples(st.integers(0, 7), st.one_of(st.none(), st.integers(1, 6)))
+
+
+@SETTINGS
+@given(st.lists(month_event, min_size=1, max_size=30))
+def test_retention_matches_rules(spark, raw):
+    rows = [(dt.datetime(2023, 11 + m, 1) if m < 2 else dt.datetime(2024, m - 1, 1), "view", 1, u, None) for m, u in raw]
+    months = defaultdict(set)
+    for t, _, _, u, _ in rows:
+        if u is not None:
+            months[u].add(t.year * 12 + t.month - 1)
+    ca = cohort_activity(events_df(spark, rows))
+    long = as_dicts(retention_long(ca))
+    cells, sizes, still = defaultdict(int), defaultdict(int), defaultdict(int)
+    for u, ms in months.items():
+        c = min(ms)
+        sizes[c] += 1
+        for m in ms:
+            cells[(c, m - c)] += 1
+        for n in range(max(ms) - c + 1):
+            still[(c, n)] += 1
+    got = {(r["cohort_month"].year * 12 + r["cohort_month"].month - 1, r["month_num"]):
+           (r["active_users"], r["retention_pct"], r["rolling_retention_pct"]) for r in long}
+    want = {k: (v, _round1(v, sizes[k[0]]), _round1(still[k], sizes[k[0]])) for k, v in cells.items()}
+    assert got == want
+    if months:
+        last = max(max(ms) for ms in months.values())
+        curve = {r["month_num"]: (r["cohorts_count"], r["active_users"], r["total_eligible_users"])
+                 for r in as_dicts(retention_curve(ca))}
+        expect = {}
+        for c, size in sizes.items():
+            for n in range(last - c + 1):
+                cc, a, e = expect.get(n, (0, 0, 0))
+                expect[n] = (cc + 1, a + cells.get((c, n), 0), e + size)
+        assert curve == expect
