@@ -32,7 +32,6 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings above to an existing session."""
     for key, value in SCALE_CONF.items():
         spark.conf.set(key, value)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
