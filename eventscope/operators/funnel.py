@@ -63,11 +63,16 @@ def funnel_sessions(
     time: str = "event_time",
     event_type: str = "event_type",
     time_columns: Sequence[str] | None = None,
+    skew_split: bool = True,
 ) -> DataFrame:
     """One row per session that reached step 1: ``session, t_1, ..., t_n``.
 
     ``t_k`` is NULL when the session stopped before step k. Output columns are
     ``viewed_at, carted_at, purchased_at`` for a three-step funnel.
+
+    ``skew_split=False`` joins on the session alone: use it on input already
+    partitioned or bucketed by session (no session dominating), where the
+    whole funnel then runs without any exchange.
     """
     steps = list(steps)
     if len(steps) < 2:
@@ -92,10 +97,12 @@ def funnel_sessions(
         # Joining on (session, hash(session)) rather than on the session alone
         # makes Spark shuffle *both* inputs for this join (co-partitioning needs
         # every join key), which is the shape AQE's skew-join rule can split.
+        left, right, keys = step_events(k), previous.select(session, prev_name), [session]
+        if skew_split:
+            left, right = left.withColumn("_h", F.xxhash64(session)), right.withColumn("_h", F.xxhash64(session))
+            keys = [session, "_h"]
         reached = (
-            step_events(k)
-            .withColumn("_h", F.xxhash64(session))
-            .join(previous.select(session, prev_name).withColumn("_h", F.xxhash64(session)), on=[session, "_h"])
+            left.join(right, on=keys)
             .where(F.col("_ts") > F.col(prev_name))
             .groupBy(session)
             .agg(F.min("_ts").alias(names[k]))

@@ -108,4 +108,14 @@ def test_bucketed_table_skips_the_session_shuffle(spark, tmp_path):
     write_events_table(ev, "es_test.events_bucketed", buckets=4)
     plan = cart_sessions(spark.table("es_test.events_bucketed"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+    from eventscope.operators import funnel_sessions
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fs = funnel_sessions(spark.table("es_test.events_bucketed"), skew_split=False)
+        assert sorted(r["user_session"] for r in fs.collect()) == ["LJuJVLEjPT"]
+        plan = fs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.sql("DROP TABLE es_test.events_bucketed")
