@@ -20,3 +20,15 @@ def test_retention_reports_and_write(cohort_events, tmp_path, spark):
     paths = write_reports({"curve": rep.curve, "matrix": lambda: rep.matrix(4)}, str(tmp_path / "out"))
     assert spark.read.parquet(paths[0]).count() == 4
     assert spark.read.parquet(paths[1]).count() == 4
+
+
+def test_suite_writes_every_report(session_events, tmp_path, spark):
+    from eventscope.plans import run_suite
+
+    paths = run_suite(session_events, str(tmp_path / "suite"))
+    names = [p.rsplit("/", 1)[1] for p in paths]
+    assert len(names) == 15 and "funnel_steps" in names and "retention_curve" in names
+    steps = spark.read.parquet(str(tmp_path / "suite" / "funnel_steps")).orderBy("step_no").collect()
+    assert [r["sessions"] for r in steps] == [9, 6, 2]
+    outcomes = {r["cart_outcome"]: r["sessions"] for r in spark.read.parquet(str(tmp_path / "suite" / "cart_outcomes")).collect()}
+    assert sorted(outcomes.values()) == [2, 3, 6]
