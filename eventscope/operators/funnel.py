@@ -20,13 +20,17 @@ each step is a per-session aggregate:
   hot session to one row per map task before the shuffle, and step-1 events
   (usually the largest class) are never shuffled raw;
 * step k joins the step-k events to the (one row per session) step k-1 table on
-  the session key and takes ``min(time)`` of the later events. With AQE skew-join
-  handling on (see :mod:`eventscope.plans.session`) a hot session's partition is
-  split across tasks, and the following aggregate is partial again.
+  ``(session, xxhash64(session))`` and takes ``min(time)`` of the later events.
+  The extra key makes both join inputs arrive through fresh shuffles, the shape
+  AQE's skew-join rule (see :mod:`eventscope.plans.session`) splits, so a hot
+  session's partition is spread over several tasks; the following aggregate is
+  partial again.
 
 The per-session step tables are all hash-partitioned on the session; their
 union keeps that partitioning, so one in-place aggregate assembles the output
-row per session (no join, no sort, no extra exchange).
+row per session (no join, no sort, no extra exchange). Each step table reaches
+both the next join and the assembly through the same exchange, which AQE
+reuses: every sort-merge join runs once.
 """
 
 from __future__ import annotations
@@ -231,11 +235,10 @@ def funnel_durations(
     # Every step-2 session has a step-1 -> step-2 gap, so its count is the
     # number of sessions with a cart; the last gap counts completed sessions.
     quantiles = exact_percentiles(durations, targets)
-    return quantiles.select(
-        F.col(f"n_{gaps[0]}").alias(f"sessions_with_{roles[1]}"),
-        F.col(f"n_{gaps[-1]}").alias(f"sessions_with_{roles[-1]}"),
-        *[F.round(F.col(a).cast("decimal(38,6)"), 1).alias(a) for a, _, _ in targets],
-    )
+    counts = [F.col(f"n_{gaps[0]}").alias(f"sessions_with_{roles[1]}")]
+    if len(gaps) > 1:
+        counts.append(F.col(f"n_{gaps[-1]}").alias(f"sessions_with_{roles[-1]}"))
+    return quantiles.select(*counts, *[F.round(F.col(a).cast("decimal(38,6)"), 1).alias(a) for a, _, _ in targets])
 
 
 def _time_columns_of(sessions: DataFrame) -> list[str]:

@@ -91,3 +91,11 @@ def test_plan_has_no_window_and_pushes_filters(session_events, tmp_path, spark):
     plan = funnel_steps(funnel_sessions(spark.read.parquet(path)))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert "EqualTo(event_type,view)" in plan and "IsNotNull(user_session)" in plan
+
+
+def test_two_step_durations(session_events):
+    fs = funnel_sessions(session_events, ("view", "purchase"))
+    r = as_dicts(funnel_durations(fs))[0]
+    # A 300 s, E 60 s, F 60 s, J 210 s
+    assert r == {"sessions_with_step2": 4, "median_sec_step1_to_step2": Decimal("135.0"),
+                 "p90_sec_step1_to_step2": Decimal("273.0"), "median_sec_total": Decimal("135.0")}
