@@ -147,7 +147,10 @@ def funnel_steps(
     names = list(time_columns or _time_columns_of(sessions))
     n = len(names)
     labels = list(labels or (THREE_STEP_LABELS if n == 3 else [f"Step {i}" for i in range(1, n + 1)]))
-    totals = sessions.agg(*[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(names)])
+    # Every row reached step 1 (counted as rows, like COUNT(*) over step 1).
+    totals = sessions.agg(
+        F.count(F.lit(1)).alias("_n0"), *[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(names) if i]
+    )
 
     def hundred_times(num: str, den: str) -> str:
         return f"round(100.0 * ({num}) / nullif({den}, 0), 2)"
@@ -177,7 +180,7 @@ def funnel_by_period(
     """
     names = list(time_columns or _time_columns_of(sessions))
     roles = step_roles(len(names))
-    counts = [F.count(F.col(c)).alias(f"sessions_{r}") for c, r in zip(names, roles)]
+    counts = [F.count(F.col(c) if i else F.lit(1)).alias(f"sessions_{r}") for i, (c, r) in enumerate(zip(names, roles))]
     grouped = sessions.groupBy(
         month_start(names[0]).alias("month"), month_label(names[0]).alias("month_label")
     ).agg(*counts)

@@ -99,3 +99,14 @@ def test_two_step_durations(session_events):
     # A 300 s, E 60 s, F 60 s, J 210 s
     assert r == {"sessions_with_step2": 4, "median_sec_step1_to_step2": Decimal("135.0"),
                  "p90_sec_step1_to_step2": Decimal("273.0"), "median_sec_total": Decimal("135.0")}
+
+
+def test_step_one_counts_sessions_with_unknown_view_time(spark):
+    from .conftest import events_df, ts
+
+    ev = events_df(spark, [(None, "view", 1, 1, "x"), (ts("01-10", "10:00"), "view", 1, 2, "y"),
+                           (ts("01-10", "10:01"), "cart", 1, 2, "y")])
+    fs = funnel_sessions(ev)
+    assert [r["sessions"] for r in as_dicts(funnel_steps(fs).orderBy("step_no"))] == [2, 1, 0]
+    monthly = as_dicts(funnel_by_period(fs))
+    assert sorted((str(r["month"]), r["sessions_view"]) for r in monthly) == [("2024-01-01", 1), ("None", 1)]
