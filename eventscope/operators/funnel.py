@@ -2,7 +2,8 @@
 
 Semantics
 ---------
-* The unit is the session; events with a NULL session are ignored.
+* The unit is the session; events with a NULL session or an unknown time are
+  ignored (a time is never unknown after a strict load, see ``clean_events``).
 * Step 1 time is the session's earliest step-1 event.
 * Step k (k > 1) time is the earliest step-k event *strictly later* than the
   step k-1 time; an event at the same instant does not advance the funnel, and a
@@ -75,8 +76,10 @@ def funnel_sessions(
     ``viewed_at, carted_at, purchased_at`` for a three-step funnel.
 
     ``skew_split=False`` joins on the session alone: use it on input already
-    partitioned or bucketed by session (no session dominating), where the
-    whole funnel then runs without any exchange.
+    bucketed by session (no session dominating), where events are then never
+    shuffled -- the joins read co-located buckets, and only the per-session
+    rows may move for the final assembly. Without a shared exchange the
+    intermediate step joins are evaluated once per consumer (CPU only).
     """
     steps = list(steps)
     if len(steps) < 2:
@@ -85,14 +88,16 @@ def funnel_sessions(
     if len(names) != len(steps):
         raise ValueError("one time column name per step is required")
 
-    # Only step events with a session ever leave the scan: both predicates are
-    # pushed into the Parquet reader.
-    keyed = events.where(F.col(session).isNotNull()).select(
-        F.col(session).alias(session), F.col(event_type).alias("_type"), F.col(time).alias("_ts")
-    )
-
     def step_events(k: int) -> DataFrame:
-        return keyed.where(F.col("_type") == F.lit(steps[k])).select(session, "_ts")
+        # Only this step's events with a session and a time leave the scan. The
+        # type test comes first: it is pushed into the Parquet reader and is
+        # the cheap, selective one, so a derived session key is only computed
+        # for matching rows.
+        return (
+            events.where(F.col(event_type) == F.lit(steps[k]))
+            .where(F.col(time).isNotNull() & F.col(session).isNotNull())
+            .select(F.col(session), F.col(time).alias("_ts"))
+        )
 
     first = step_events(0).groupBy(session).agg(F.min("_ts").alias(names[0]))
     tables = [first]
@@ -117,7 +122,7 @@ def funnel_sessions(
     # Assemble one row per session without joins: every step table is already
     # hash-partitioned on the session, the union keeps that partitioning, and
     # the final aggregate runs in place (no exchange, no sort).
-    ts_type = keyed.schema["_ts"].dataType.simpleString()
+    ts_type = events.schema[time].dataType.simpleString()
     parts = [
         t.selectExpr(f"`{session}`", *[f"`{n}`" if j == i else f"CAST(NULL AS {ts_type}) AS `{n}`" for j, n in enumerate(names)])
         for i, t in enumerate(tables)
@@ -147,10 +152,7 @@ def funnel_steps(
     names = list(time_columns or _time_columns_of(sessions))
     n = len(names)
     labels = list(labels or (THREE_STEP_LABELS if n == 3 else [f"Step {i}" for i in range(1, n + 1)]))
-    # Every row reached step 1 (counted as rows, like COUNT(*) over step 1).
-    totals = sessions.agg(
-        F.count(F.lit(1)).alias("_n0"), *[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(names) if i]
-    )
+    totals = sessions.agg(*[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(names)])
 
     def hundred_times(num: str, den: str) -> str:
         return f"round(100.0 * ({num}) / nullif({den}, 0), 2)"
@@ -180,7 +182,7 @@ def funnel_by_period(
     """
     names = list(time_columns or _time_columns_of(sessions))
     roles = step_roles(len(names))
-    counts = [F.count(F.col(c) if i else F.lit(1)).alias(f"sessions_{r}") for i, (c, r) in enumerate(zip(names, roles))]
+    counts = [F.count(F.col(c)).alias(f"sessions_{r}") for c, r in zip(names, roles)]
     grouped = sessions.groupBy(
         month_start(names[0]).alias("month"), month_label(names[0]).alias("month_label")
     ).agg(*counts)

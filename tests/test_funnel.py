@@ -101,12 +101,26 @@ def test_two_step_durations(session_events):
                  "p90_sec_step1_to_step2": Decimal("273.0"), "median_sec_total": Decimal("135.0")}
 
 
-def test_step_one_counts_sessions_with_unknown_view_time(spark):
+def test_events_with_unknown_time_are_ignored(spark):
     from .conftest import events_df, ts
 
     ev = events_df(spark, [(None, "view", 1, 1, "x"), (ts("01-10", "10:00"), "view", 1, 2, "y"),
-                           (ts("01-10", "10:01"), "cart", 1, 2, "y")])
+                           (ts("01-10", "10:01"), "cart", 1, 2, "y"), (None, "purchase", 1, 2, "y")])
     fs = funnel_sessions(ev)
-    assert [r["sessions"] for r in as_dicts(funnel_steps(fs).orderBy("step_no"))] == [2, 1, 0]
-    monthly = as_dicts(funnel_by_period(fs))
-    assert sorted((str(r["month"]), r["sessions_view"]) for r in monthly) == [("2024-01-01", 1), ("None", 1)]
+    assert [r["user_session"] for r in as_dicts(fs)] == ["y"]
+    assert [r["sessions"] for r in as_dicts(funnel_steps(fs).orderBy("step_no"))] == [1, 1, 0]
+
+
+def test_step_tables_are_scanned_once(session_events, tmp_path, spark):
+    path = str(tmp_path / "ev")
+    session_events.write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = funnel_steps(funnel_sessions(spark.read.parquet(path)))
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one scan per step; the step tables feeding two consumers are reused exchanges
+    assert final.count("FileScan parquet") == 3, final
+    assert final.count("SortMergeJoin") == 2
