@@ -69,8 +69,8 @@ def clean_events(raw: DataFrame, on_error: str = "fail") -> DataFrame:
     * ``event_time`` accepts ``yyyy-MM-dd HH:mm:ss[.ffffff] UTC`` (zone suffix honoured);
     * ``price`` is stored as ``decimal(10,2)``, rounded half away from zero.
 
-    ``on_error="fail"`` raises on a malformed value (ANSI cast);
-    ``on_error="null"`` turns it into NULL instead.
+    ``on_error="fail"`` raises on a malformed or out-of-range value (whatever
+    the session's ANSI setting); ``on_error="null"`` turns it into NULL instead.
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {ON_ERROR}")
@@ -79,15 +79,20 @@ def clean_events(raw: DataFrame, on_error: str = "fail") -> DataFrame:
         value = F.col(c)
         return F.nullif(value, F.lit("")) if c in _NULLABLE_TEXT else value
 
-    def cast(c: Column, to: T.DataType) -> Column:
-        return c.try_cast(to) if on_error == "null" else c.cast(to)
+    def cast(name: str, c: Column, to: T.DataType) -> Column:
+        typed = c.try_cast(to)
+        if on_error == "null":
+            return typed
+        # Explicit failure, independent of the session's ANSI setting.
+        bad = F.raise_error(F.concat(F.lit(f"malformed {name}: '"), c, F.lit("'")))
+        return F.when(c.isNotNull() & typed.isNull(), bad).otherwise(typed)
 
     fields = {f.name: f.dataType for f in EVENT_SCHEMA.fields}
     out = []
     for c in EVENT_COLUMNS:
         to = fields[c]
         value = text(c)
-        out.append((value if isinstance(to, T.StringType) else cast(value, to)).alias(c))
+        out.append((value if isinstance(to, T.StringType) else cast(c, value, to)).alias(c))
     return raw.select(*out)
 
 
@@ -143,8 +148,8 @@ def write_events_table(
         .saveAsTable(table)
     )
     if analyze:
-        spark = events.sparkSession
-        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS event_time, event_type, user_id, {bucket_column}")
+        columns = ", ".join(dict.fromkeys(["event_time", "event_type", "user_id", bucket_column]))
+        events.sparkSession.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS {columns}")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

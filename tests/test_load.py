@@ -45,10 +45,15 @@ def test_load_and_clean(spark, tmp_path):
     assert rows[0]["user_id"] == 1515915625519388267
 
 
-def test_malformed_value_fails_or_nulls(spark, tmp_path):
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_malformed_value_fails_or_nulls(spark, tmp_path, ansi):
     raw = load_events(spark, _csv(tmp_path, GOOD + BAD))
-    with pytest.raises((PySparkException, Py4JJavaError)):
-        clean_events(raw).collect()
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises((PySparkException, Py4JJavaError), match="malformed product_id"):
+            clean_events(raw).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
     rows = as_dicts(clean_events(raw, on_error="null").where("event_type = 'view'").orderBy("event_time"))
     assert rows[-1]["product_id"] is None and rows[-1]["user_id"] == 5
 
