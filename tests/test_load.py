@@ -127,3 +127,15 @@ def test_bucketed_table_skips_the_session_shuffle(spark, tmp_path, session_event
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE es_test.events_bucketed")
+
+
+def test_command_line_load_then_report(spark, tmp_path, capsys):
+    from eventscope.__main__ import main
+
+    table, out = str(tmp_path / "table"), str(tmp_path / "reports")
+    main(["load", _csv(tmp_path, GOOD), table])
+    assert spark.read.parquet(table).count() == 3
+    main(["report", table, out])
+    printed = capsys.readouterr().out.split()
+    assert len(printed) == 15 and all(p.startswith(out) for p in printed)
+    assert spark.read.parquet(out + "/volume").first()["total_events"] == 3
