@@ -127,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # activity
         "dau_moving_avg": lambda s, d: daily_report(_events(s, d)),
         "dau_moving_avg_orders": lambda s, d: daily_report(_orders(s, d)),
+        "dau_moving_avg_orders_filled": lambda s, d: daily_report(_orders(s, d), fill_missing_days=True),
         "wau_growth": lambda s, d: weekly_report(_events(s, d)),
         "wau_growth_orders": lambda s, d: weekly_report(_orders(s, d)),
         "mau_sticky": lambda s, d: monthly_report(_orders(s, d)),
@@ -254,6 +255,29 @@ SELECT activity_date, dau,
 FROM daily_active_users ORDER BY activity_date"""
 
 
+def _dau_filled(src: str) -> str:
+    w = "OVER (ORDER BY activity_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
+    return f"""WITH {src},
+daily_active_users AS (
+    SELECT CAST(DATE_TRUNC('day', event_time) AS DATE) AS activity_date, COUNT(DISTINCT user_id) AS dau
+    FROM ev GROUP BY 1
+),
+calendar AS (
+    SELECT CAST(d AS DATE) AS activity_date
+    FROM (SELECT MIN(activity_date) AS lo, MAX(activity_date) AS hi FROM daily_active_users) b,
+         generate_series(b.lo, b.hi, INTERVAL 1 DAY) AS g(d)
+),
+filled AS (
+    SELECT c.activity_date, COALESCE(d.dau, 0) AS dau
+    FROM calendar c LEFT JOIN daily_active_users d ON d.activity_date = c.activity_date
+)
+SELECT activity_date, dau,
+       {_half_up(f'SUM(dau) {w}', f'COUNT(dau) {w}', 1, 1)} AS dau_7d_moving_avg,
+       CAST(EXTRACT(ISODOW FROM activity_date) AS INTEGER) AS day_of_week,
+       CASE WHEN EXTRACT(ISODOW FROM activity_date) IN (6, 7) THEN 'Выходной' ELSE 'Будний день' END AS day_type
+FROM filled ORDER BY activity_date"""
+
+
 def _wau(src: str) -> str:
     lag = "LAG(wau) OVER (ORDER BY week_start)"
     return f"""WITH {src},
@@ -539,6 +563,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_events": _CLEAN,
         "dau_moving_avg": _dau(_EV),
         "dau_moving_avg_orders": _dau(_ORD),
+        "dau_moving_avg_orders_filled": _dau_filled(_ORD),
         "wau_growth": _wau(_EV),
         "wau_growth_orders": _wau(_ORD),
         "mau_sticky": _mau(_ORD),
