@@ -217,24 +217,29 @@ def step_durations(
 
 def funnel_durations(
     sessions: DataFrame,
+    probs: Sequence[float] = (0.5, 0.9),
     *,
     session: str = "user_session",
     time_columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """One-row summary of step durations with exact interpolated percentiles.
 
-    Columns (three steps): ``sessions_with_cart, sessions_with_purchase,
-    median_sec_view_to_cart, p90_sec_view_to_cart, median_sec_cart_to_purchase,
-    p90_sec_cart_to_purchase, median_sec_total`` (percentiles rounded to 1 digit).
+    Columns (three steps, default ``probs``): ``sessions_with_cart,
+    sessions_with_purchase, median_sec_view_to_cart, p90_sec_view_to_cart,
+    median_sec_cart_to_purchase, p90_sec_cart_to_purchase, median_sec_total``
+    (percentiles rounded to 1 digit). ``probs`` are the levels reported for each
+    step-to-step gap (0.5 is named ``median``, others ``p<percent>``); the total
+    duration is reported as its median.
     """
     names = list(time_columns or _time_columns_of(sessions))
     roles = step_roles(len(names))
     durations = step_durations(sessions, session=session, time_columns=names)
     gaps = [f"sec_{roles[i]}_to_{roles[i + 1]}" for i in range(len(names) - 1)]
-    targets = []
-    for g in gaps:
-        targets.append((f"median_{g}", g, 0.5))
-        targets.append((f"p90_{g}", g, 0.9))
+
+    def level(p: float) -> str:
+        return "median" if p == 0.5 else f"p{100 * p:g}".replace(".", "_")
+
+    targets = [(f"{level(p)}_{g}", g, p) for g in gaps for p in probs]
     targets.append(("median_sec_total", "sec_total", 0.5))
 
     # Every step-2 session has a step-1 -> step-2 gap, so its count is the

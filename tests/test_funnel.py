@@ -124,3 +124,10 @@ def test_step_tables_are_scanned_once(session_events, tmp_path, spark):
     # one scan per step; the step tables feeding two consumers are reused exchanges
     assert final.count("FileScan parquet") == 3, final
     assert final.count("SortMergeJoin") == 2
+
+
+def test_durations_custom_levels(session_events):
+    r = as_dicts(funnel_durations(funnel_sessions(session_events), probs=(0.25, 0.99)))[0]
+    # cart -> purchase gaps: 150, 240
+    assert r["p25_sec_cart_to_purchase"] == Decimal("172.5") and r["p99_sec_cart_to_purchase"] == Decimal("239.1")
+    assert "median_sec_view_to_cart" not in r and r["median_sec_total"] == Decimal("255.0")
