@@ -131,3 +131,19 @@ def test_durations_custom_levels(session_events):
     # cart -> purchase gaps: 150, 240
     assert r["p25_sec_cart_to_purchase"] == Decimal("172.5") and r["p99_sec_cart_to_purchase"] == Decimal("239.1")
     assert "median_sec_view_to_cart" not in r and r["median_sec_total"] == Decimal("255.0")
+
+
+def test_durations_reuse_the_funnel(session_events, tmp_path, spark):
+    path = str(tmp_path / "ev")
+    session_events.write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = funnel_durations(funnel_sessions(spark.read.parquet(path)))
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # both percentile passes read the same funnel: one scan per step, one join per step
+    assert final.count("FileScan parquet") == 3 and final.count("SortMergeJoin") == 2
+    # the only broadcast is the per-percentile target table
+    assert final.count("BroadcastHashJoin") == 1
