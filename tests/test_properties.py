@@ -128,3 +128,69 @@ def test_retention_matches_rules(spark, raw):
                 cc, a, e = expect.get(n, (0, 0, 0))
                 expect[n] = (cc + 1, a + cells.get((c, n), 0), e + size)
         assert curve == expect
+
+
+def _half_up(num, den, digits, scale=100):
+    if den == 0:
+        return None
+    q = Decimal(scale) * Decimal(num) / Decimal(den)
+    return q.quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP)
+
+
+activity_event = st.tuples(st.integers(0, 70), st.one_of(st.none(), st.integers(1, 5)), st.sampled_from("xyz"))
+
+
+@SETTINGS
+@given(st.lists(activity_event, min_size=1, max_size=40))
+def test_activity_matches_rules(spark, raw):
+    from eventscope.operators import daily_report, monthly_report, weekly_report
+
+    base = dt.datetime(2023, 12, 20, 12)
+    rows = [(base + dt.timedelta(days=d), "view", 1, u, None if u is None else f"{u}{s}{d}") for d, u, s in raw]
+    ev = events_df(spark, rows)
+
+    days, weeks, months = defaultdict(set), defaultdict(set), defaultdict(set)
+    sessions, events_n = defaultdict(set), defaultdict(int)
+    for t, _, _, u, s in rows:
+        d = t.date()
+        m = d.replace(day=1)
+        events_n[m] += 1
+        if s is not None:
+            sessions[m].add(s)
+        for bucket, key in ((days, d), (weeks, d - dt.timedelta(days=d.weekday())), (months, m)):
+            bucket[key]  # the period exists even when all its users are NULL
+            if u is not None:
+                bucket[key].add(u)
+
+    daily = as_dicts(daily_report(ev))
+    dkeys = sorted(days)
+    assert [r["activity_date"] for r in daily] == dkeys
+    for i, r in enumerate(daily):
+        frame = [len(days[k]) for k in dkeys[max(0, i - 6): i + 1]]
+        assert r["dau"] == len(days[dkeys[i]])
+        assert r["dau_7d_moving_avg"] == _half_up(sum(frame), len(frame), 0, 1)
+
+    weekly = as_dicts(weekly_report(ev))
+    wkeys = sorted(weeks)
+    assert [r["week_start"] for r in weekly] == wkeys
+    for i, r in enumerate(weekly):
+        cur = len(weeks[wkeys[i]])
+        prev = len(weeks[wkeys[i - 1]]) if i else None
+        assert r["wau"] == cur and r["wau_diff"] == (None if prev is None else cur - prev)
+        assert r["wau_growth_pct"] == (None if prev is None else _half_up(cur - prev, prev, 2))
+        assert (r["iso_year"], r["iso_week"]) == tuple(wkeys[i].isocalendar()[:2])
+
+    monthly = as_dicts(monthly_report(ev))
+    mkeys = sorted(months)
+    assert [r["activity_month"] for r in monthly] == mkeys
+    for i, r in enumerate(monthly):
+        m = mkeys[i]
+        daus = [len(v) for k, v in days.items() if k.replace(day=1) == m]
+        avg = _half_up(sum(daus), len(daus), 0, 1)
+        mau = len(months[m])
+        assert (r["mau"], r["avg_dau"], r["min_dau"], r["max_dau"]) == (mau, avg, min(daus), max(daus))
+        assert r["sticky_factor_pct"] == _half_up(avg, mau, 2)
+        assert r["sessions_per_user"] == _half_up(len(sessions[m]), mau, 2, 1)
+        assert r["events_per_user"] == _half_up(events_n[m], mau, 2, 1)
+        prev = len(months[mkeys[i - 1]]) if i else None
+        assert r["mau_growth_pct"] == (None if prev is None else _half_up(mau - prev, prev, 2))
