@@ -120,6 +120,17 @@ def test_retention_matches_rules(spark, raw):
     assert got == want
     if months:
         last = max(max(ms) for ms in months.values())
+        from eventscope.operators import retention_matrix
+
+        for r in as_dicts(retention_matrix(ca, 4, mask_unobserved=True)):
+            c = r["cohort_month"].year * 12 + r["cohort_month"].month - 1
+            assert r["total_users"] == sizes[c]
+            for k in range(4):
+                want_k = None if c + k > last else _round1(cells.get((c, k), 0), sizes[c])
+                assert r[f"m{k}"] == want_k
+        for r in as_dicts(retention_matrix(ca, 4, as_pct=False)):
+            c = r["cohort_month"].year * 12 + r["cohort_month"].month - 1
+            assert [r[f"m{k}_users"] for k in range(4)] == [cells.get((c, k), 0) for k in range(4)]
         curve = {r["month_num"]: (r["cohorts_count"], r["active_users"], r["total_eligible_users"])
                  for r in as_dicts(retention_curve(ca))}
         expect = {}
