@@ -1,6 +1,7 @@
 """Column expressions and distributed aggregates shared by the operators."""
 
 from .exprs import (
+    distinct_count,
     iso_day_of_week,
     iso_week,
     iso_year,
@@ -16,6 +17,7 @@ from .exprs import (
 from .quantiles import exact_percentiles
 
 __all__ = [
+    "distinct_count",
     "exact_percentiles",
     "iso_day_of_week",
     "iso_week",

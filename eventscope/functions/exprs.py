@@ -101,3 +101,12 @@ def seconds_between(start: ColumnOrName, end: ColumnOrName) -> Column:
 def month_label(d: ColumnOrName) -> Column:
     """``TO_CHAR(d, 'YYYY-MM')``."""
     return F.date_format(col(d), "yyyy-MM")
+
+
+def distinct_count(c: str, approx_rsd: float | None = None) -> Column:
+    """Exact ``COUNT(DISTINCT c)``, or a HyperLogLog++ estimate with relative
+    standard deviation ``approx_rsd``: fixed-size sketches merged map-side, so
+    no distinct key is shuffled (opt-in for very large user sets)."""
+    if approx_rsd is None:
+        return F.countDistinct(F.col(c))
+    return F.approx_count_distinct(F.col(c), approx_rsd)

@@ -17,7 +17,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import iso_day_of_week, iso_week, iso_year, month_label, month_start, pct, ratio, week_start
+from ..functions.exprs import (
+    distinct_count,
+    iso_day_of_week,
+    iso_week,
+    iso_year,
+    month_label,
+    month_start,
+    pct,
+    ratio,
+    week_start,
+)
 
 # Day-type labels of the published report.
 DAY_TYPE_LABELS = {"weekend": "Выходной", "weekday": "Будний день"}
@@ -31,6 +41,7 @@ def active_users(
     user: str = "user_id",
     time: str = "event_time",
     alias: str | None = None,
+    approx_rsd: float | None = None,
 ) -> DataFrame:
     """Distinct non-NULL users per day / week (Monday start) / month.
 
@@ -41,7 +52,7 @@ def active_users(
         "week": (week_start(time).alias("week_start"), "wau"),
         "month": (month_start(time).alias("activity_month"), "mau"),
     }[grain]
-    return events.groupBy(period).agg(F.countDistinct(F.col(user)).alias(alias or default_alias))
+    return events.groupBy(period).agg(distinct_count(user, approx_rsd).alias(alias or default_alias))
 
 
 def growth(df: DataFrame, metric: str, order: str, digits: int = 2) -> DataFrame:
@@ -75,6 +86,7 @@ def daily_report(
     time: str = "event_time",
     window_days: int = 7,
     fill_missing_days: bool = False,
+    approx_rsd: float | None = None,
 ) -> DataFrame:
     """``activity_date, dau, dau_7d_moving_avg, day_of_week, day_type`` by date.
 
@@ -84,7 +96,7 @@ def daily_report(
     making the frame a true calendar window.
     """
     labels = weekend_labels or DAY_TYPE_LABELS
-    daily = active_users(events, "day", user=user, time=time)
+    daily = active_users(events, "day", user=user, time=time, approx_rsd=approx_rsd)
     if fill_missing_days:
         daily = densify(daily, "activity_date", "dau", "DAY")
     frame = Window.orderBy("activity_date").rowsBetween(-(window_days - 1), Window.currentRow)
@@ -99,14 +111,19 @@ def daily_report(
 
 
 def weekly_report(
-    events: DataFrame, *, user: str = "user_id", time: str = "event_time", fill_missing_weeks: bool = False
+    events: DataFrame,
+    *,
+    user: str = "user_id",
+    time: str = "event_time",
+    fill_missing_weeks: bool = False,
+    approx_rsd: float | None = None,
 ) -> DataFrame:
     """``week_start, iso_year, iso_week, wau, wau_diff, wau_growth_pct`` (week over week).
 
     Growth compares with the previous *row*; ``fill_missing_weeks=True`` adds
     weeks without activity (WAU 0) so it always compares with the previous week.
     """
-    weekly = active_users(events, "week", user=user, time=time)
+    weekly = active_users(events, "week", user=user, time=time, approx_rsd=approx_rsd)
     if fill_missing_weeks:
         weekly = densify(weekly, "week_start", "wau", "WEEK")
     weekly = weekly.select(
@@ -122,6 +139,7 @@ def monthly_report(
     session: str = "user_session",
     time: str = "event_time",
     exclude_partial: bool = False,
+    approx_rsd: float | None = None,
 ) -> DataFrame:
     """Monthly actives, stickiness and intensity.
 
@@ -133,15 +151,18 @@ def monthly_report(
     ``exclude_partial`` drops the first and last month when the data does not
     start on the 1st / end on the last day of the month (growth is then
     computed over full months only).
+
+    Distinct counts are exact; ``approx_rsd`` (e.g. ``0.01``) switches every
+    distinct count of the report (DAU, MAU, sessions) to HyperLogLog++ estimates.
     """
     monthly = events.groupBy(month_start(time).alias("activity_month")).agg(
-        F.countDistinct(F.col(user)).alias("mau"),
-        F.countDistinct(F.col(session)).alias("sessions"),
+        distinct_count(user, approx_rsd).alias("mau"),
+        distinct_count(session, approx_rsd).alias("sessions"),
         F.count(F.lit(1)).alias("events_total"),
         F.min(F.to_date(F.col(time))).alias("_first_day"),
         F.max(F.to_date(F.col(time))).alias("_last_day"),
     )
-    daily = active_users(events, "day", user=user, time=time)
+    daily = active_users(events, "day", user=user, time=time, approx_rsd=approx_rsd)
     per_month = daily.groupBy(F.trunc("activity_date", "month").alias("activity_month")).agg(
         F.round(F.sum("dau").cast("decimal(20,0)") / F.count("dau"), 0).alias("avg_dau"),
         F.min("dau").alias("min_dau"),

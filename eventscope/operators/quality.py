@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import month_start, pct
+from ..functions.exprs import distinct_count, month_start, pct
 
 DEFAULT_NULL_COLUMNS = ("user_id", "user_session", "brand", "category_code", "price")
 
@@ -18,15 +18,17 @@ def profile_volume(
     user: str = "user_id",
     session: str = "user_session",
     time: str = "event_time",
+    approx_rsd: float | None = None,
 ) -> DataFrame:
     """One row: ``total_events, unique_users, unique_sessions, first_day, last_day, months_covered``.
 
-    An empty input still returns one row (counts 0, days NULL).
+    An empty input still returns one row (counts 0, days NULL). ``approx_rsd``
+    estimates the user and session counts with HyperLogLog++ instead.
     """
     return events.agg(
         F.count(F.lit(1)).alias("total_events"),
-        F.countDistinct(F.col(user)).alias("unique_users"),
-        F.countDistinct(F.col(session)).alias("unique_sessions"),
+        distinct_count(user, approx_rsd).alias("unique_users"),
+        distinct_count(session, approx_rsd).alias("unique_sessions"),
         F.to_date(F.min(F.col(time))).alias("first_day"),
         F.to_date(F.max(F.col(time))).alias("last_day"),
         F.countDistinct(month_start(time)).alias("months_covered"),

@@ -116,3 +116,19 @@ def test_fill_missing_days_and_weeks(spark):
     weeks = as_dicts(weekly_report(events_df(spark, rows), fill_missing_weeks=True))
     assert [r["wau"] for r in weeks] == [1, 0, 0, 1]
     assert weeks[-1]["wau_growth_pct"] is None and weeks[1]["wau_growth_pct"] == Decimal("-100.00")
+
+
+def test_approximate_distinct_counts_are_close(spark):
+    from eventscope.operators import profile_volume
+    from eventscope.sources import order_events, read_table
+
+    from .conftest import SF001
+
+    ev = order_events(read_table(spark, SF001, "orders"))
+    exact = {r["activity_month"]: r["mau"] for r in monthly_report(ev).collect()}
+    approx = {r["activity_month"]: r["mau"] for r in monthly_report(ev, approx_rsd=0.01).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[m] - exact[m]) <= max(3, 0.05 * exact[m]) for m in exact)
+    v, a = profile_volume(ev).first(), profile_volume(ev, approx_rsd=0.01).first()
+    assert abs(a["unique_users"] - v["unique_users"]) <= 0.05 * v["unique_users"]
+    assert a["total_events"] == v["total_events"]
