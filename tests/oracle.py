@@ -12,6 +12,7 @@ from collections import Counter
 
 import duckdb
 
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
