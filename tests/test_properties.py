@@ -205,3 +205,43 @@ def test_activity_matches_rules(spark, raw):
         assert r["events_per_user"] == _half_up(events_n[m], mau, 2, 1)
         prev = len(months[mkeys[i - 1]]) if i else None
         assert r["mau_growth_pct"] == (None if prev is None else _half_up(mau - prev, prev, 2))
+
+
+priced_event = st.tuples(
+    st.integers(0, 30), st.sampled_from(KINDS), st.one_of(st.none(), st.integers(1, 999)), st.sampled_from("abcdefgh")
+)
+
+
+@SETTINGS
+@given(st.lists(priced_event, min_size=1, max_size=40))
+def test_cart_report_matches_rules(spark, raw):
+    from eventscope.operators import cart_outcomes
+
+    rows = [(BASE + dt.timedelta(minutes=m), k, None if p is None else Decimal(p) / 10, 1, s) for m, k, p, s in raw]
+    full = [(t, k, None, None, None, None, p, u, s) for t, k, p, u, s in rows]
+    from eventscope.sources.events import EVENT_SCHEMA
+
+    ev = spark.createDataFrame(full, EVENT_SCHEMA)
+    got = {r["cart_outcome"]: (r["sessions"], r["share_pct"], r["avg_cart_price"])
+           for r in as_dicts(cart_outcomes(cart_sessions(ev, labels=ENGLISH_OUTCOME_LABELS)))}
+    by = defaultdict(list)
+    for t, k, p, _, s in rows:
+        by[s].append((t, k, p))
+    groups = defaultdict(list)
+    for s, evs in by.items():
+        carts = [(t, p) for t, k, p in evs if k == "cart"]
+        if not carts:
+            continue
+        c = min(t for t, _ in carts)
+        prices = [p for _, p in carts if p is not None]
+        buys = [t for t, k, _ in evs if k == "purchase"]
+        outcome = "paid" if buys and min(buys) > c else (
+            "removed" if any(k == "remove_from_cart" for _, k, _ in evs) else "abandoned")
+        groups[outcome].append(max(prices) if prices else None)
+    total = sum(len(v) for v in groups.values())
+    want = {}
+    for o, prices in groups.items():
+        known = [p for p in prices if p is not None]
+        avg = (sum(known) / len(known)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP) if known else None
+        want[o] = (len(prices), _half_up(len(prices), total, 2), avg)
+    assert got == want
