@@ -97,3 +97,25 @@ def test_hot_session_carts_exact(spark, skew_conf):
         else:
             want[s] = "abandoned"
     assert got == want
+
+
+def test_hot_user_cohorts_exact(spark, skew_conf):
+    from eventscope.operators import cohort_activity, retention_long
+
+    rng = random.Random(11)
+    rows = []
+    for u in range(200):
+        for _ in range(rng.randint(1, 4)):
+            rows.append((dt.datetime(2024, rng.randint(1, 6), rng.randint(1, 28)), "view", 1, u, f"s{u}"))
+    rows += [(dt.datetime(2024, rng.randint(2, 6), rng.randint(1, 28)), "view", 1, 9999, "hot") for _ in range(len(rows))]
+    ev = events_df(spark, rows).repartition(16)
+    months = {}
+    for t, _, _, u, _ in rows:
+        months.setdefault(u, set()).add(t.month)
+    got = {(r["user_id"], r["month_num"]) for r in as_dicts(cohort_activity(ev))}
+    assert got == {(u, m - min(ms)) for u, ms in months.items() for m in ms}
+    first = {r["cohort_month"].month: r["total_users"] for r in as_dicts(retention_long(cohort_activity(ev))) if r["month_num"] == 0}
+    sizes = {}
+    for ms in months.values():
+        sizes[min(ms)] = sizes.get(min(ms), 0) + 1
+    assert first == sizes
