@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_SCANS: dict[tuple[str, int, str], DataFrame] = {}
+_SCANS: dict[tuple[int, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, directory: str, name: str, *, refresh: bool = False) -> DataFrame:
@@ -23,7 +23,7 @@ def read_table(spark: SparkSession, directory: str, name: str, *, refresh: bool
     once; ``refresh=True`` lists again after the files changed.
     """
     path = f"{directory.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, id(spark), path)
+    key = (id(spark), path)
     if refresh or key not in _SCANS:
         _SCANS[key] = spark.read.parquet(path)
     return _SCANS[key]
