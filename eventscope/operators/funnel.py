@@ -41,7 +41,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import month_label, month_start, pct, seconds_between
+from ..functions.exprs import month_label, month_start, pct, seconds_between, week_start
 from ..functions.quantiles import exact_percentiles
 
 DEFAULT_STEPS = ("view", "cart", "purchase")
@@ -171,27 +171,34 @@ def funnel_steps(
 
 def funnel_by_period(
     sessions: DataFrame,
+    grain: str = "month",
     *,
     time_columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Monthly funnel keyed by the month of the step-1 event (entry month).
+    """Funnel per period of the step-1 event (entry period): month, ISO week or day.
 
-    A session that crosses a month end belongs to the month it entered.
-    Columns for three steps: ``month, month_label, sessions_view, sessions_cart,
-    sessions_purchase, cr_view_to_cart_pct, cr_cart_to_purchase_pct, cr_macro_pct``.
+    A session that crosses a period end belongs to the period it entered.
+    Columns for three steps by month: ``month, month_label, sessions_view,
+    sessions_cart, sessions_purchase, cr_view_to_cart_pct,
+    cr_cart_to_purchase_pct, cr_macro_pct`` (``week``/``day`` grains name the
+    first two columns ``week, week_label`` / ``day, day_label``).
     """
     names = list(time_columns or _time_columns_of(sessions))
     roles = step_roles(len(names))
+    entered = F.col(names[0])
+    period, label = {
+        "month": (month_start(entered), month_label(entered)),
+        "week": (week_start(entered), F.date_format(week_start(entered), "yyyy-MM-dd")),
+        "day": (F.to_date(entered), F.date_format(entered, "yyyy-MM-dd")),
+    }[grain]
     counts = [F.count(F.col(c)).alias(f"sessions_{r}") for c, r in zip(names, roles)]
-    grouped = sessions.groupBy(
-        month_start(names[0]).alias("month"), month_label(names[0]).alias("month_label")
-    ).agg(*counts)
+    grouped = sessions.groupBy(period.alias(grain), label.alias(f"{grain}_label")).agg(*counts)
     ratios: list[Column] = [
         pct(f"sessions_{roles[i + 1]}", f"sessions_{roles[i]}").alias(f"cr_{roles[i]}_to_{roles[i + 1]}_pct")
         for i in range(len(roles) - 1)
     ]
     ratios.append(pct(f"sessions_{roles[-1]}", f"sessions_{roles[0]}").alias("cr_macro_pct"))
-    return grouped.select("month", "month_label", *[f"sessions_{r}" for r in roles], *ratios).orderBy("month")
+    return grouped.select(grain, f"{grain}_label", *[f"sessions_{r}" for r in roles], *ratios).orderBy(grain)
 
 
 def step_durations(

@@ -147,3 +147,14 @@ def test_durations_reuse_the_funnel(session_events, tmp_path, spark):
     assert final.count("FileScan parquet") == 3 and final.count("SortMergeJoin") == 2
     # the only broadcast is the per-percentile target table
     assert final.count("BroadcastHashJoin") == 1
+
+
+def test_funnel_by_week_and_day(session_events):
+    fs = funnel_sessions(session_events)
+    weeks = as_dicts(funnel_by_period(fs, "week"))
+    # 2024-01-10 is in the week of Monday 01-08; session M entered on Wednesday 01-31 (week of 01-29)
+    assert [(str(r["week"]), r["week_label"], r["sessions_view"], r["sessions_cart"]) for r in weeks] == [
+        ("2024-01-08", "2024-01-08", 8, 5, ), ("2024-01-29", "2024-01-29", 1, 1)
+    ]
+    days = as_dicts(funnel_by_period(fs, "day"))
+    assert [(r["day_label"], r["sessions_view"], r["sessions_purchase"]) for r in days] == [("2024-01-10", 8, 2), ("2024-01-31", 1, 0)]
