@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from eventscope.functions.quantiles import exact_percentiles
@@ -38,3 +40,17 @@ def test_empty_and_nulls(spark):
 def test_rejects_bad_probability(spark):
     with pytest.raises(ValueError):
         exact_percentiles(spark.range(3), [("m", "id", 1.5)])
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.one_of(st.integers(0, 20).map(float), st.floats(0, 1000, allow_nan=False)), min_size=200, max_size=400),
+    st.lists(st.sampled_from([0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]), min_size=1, max_size=4, unique=True),
+)
+def test_bounded_path_is_exact(spark, values, probs):
+    # accuracy 100 with n >= 200: the approximate bounds are 3 % apart in rank
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    targets = [(f"q{i}", "x", p) for i, p in enumerate(probs)]
+    r = exact_percentiles(df, targets, accuracy=100, exact_below=0).first()
+    for i, p in enumerate(probs):
+        assert r[f"q{i}"] == pytest.approx(float(np.quantile(values, p)), rel=0, abs=1e-9)
