@@ -15,33 +15,38 @@ once (shared folder) and every report of their block reads them.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from ..operators.activity import daily_report, monthly_report, weekly_report
-from ..operators.quality import profile_event_share, profile_nulls, profile_volume
+from ..operators.quality import DEFAULT_NULL_COLUMNS, profile_event_share, profile_nulls, profile_volume
 from .reports import FunnelReports, RetentionReports, cart_report, write_reports
 
 
 def suite(events: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """Report builders by name; the shared intermediates are materialised lazily, once."""
+    """Report builders by name; the shared intermediates are materialised lazily,
+    once, also when reports are built from several threads."""
     shared: dict[str, object] = {}
+    lock = threading.Lock()
+
+    def once(key: str, make: Callable[[], object]) -> object:
+        with lock:
+            if key not in shared:
+                shared[key] = make()
+            return shared[key]
 
     def funnel() -> FunnelReports:
-        if "funnel" not in shared:
-            shared["funnel"] = FunnelReports(events)
-        return shared["funnel"]  # type: ignore[return-value]
+        return once("funnel", lambda: FunnelReports(events))  # type: ignore[return-value]
 
     def cohorts() -> RetentionReports:
-        if "cohorts" not in shared:
-            shared["cohorts"] = RetentionReports(events)
-        return shared["cohorts"]  # type: ignore[return-value]
+        return once("cohorts", lambda: RetentionReports(events))  # type: ignore[return-value]
 
     return {
         "volume": lambda: profile_volume(events),
         "event_share": lambda: profile_event_share(events),
-        "nulls": lambda: profile_nulls(events),
+        "nulls": lambda: profile_nulls(events, [c for c in DEFAULT_NULL_COLUMNS if c in events.columns]),
         "daily": lambda: daily_report(events),
         "weekly": lambda: weekly_report(events),
         "monthly": lambda: monthly_report(events),
@@ -57,6 +62,9 @@ def suite(events: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     }
 
 
-def run_suite(events: DataFrame, out_dir: str, mode: str = "overwrite") -> list[str]:
-    """Compute every report and write it under ``out_dir/<name>``; returns the paths."""
-    return write_reports(suite(events), out_dir, mode)
+def run_suite(events: DataFrame, out_dir: str, mode: str = "overwrite", parallelism: int = 4) -> list[str]:
+    """Compute every report and write it under ``out_dir/<name>``; returns the paths.
+
+    ``parallelism`` report jobs run at once (see :func:`write_reports`).
+    """
+    return write_reports(suite(events), out_dir, mode, parallelism)

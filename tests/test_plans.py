@@ -32,3 +32,23 @@ def test_suite_writes_every_report(session_events, tmp_path, spark):
     assert [r["sessions"] for r in steps] == [9, 6, 2]
     outcomes = {r["cart_outcome"]: r["sessions"] for r in spark.read.parquet(str(tmp_path / "suite" / "cart_outcomes")).collect()}
     assert sorted(outcomes.values()) == [2, 3, 6]
+
+
+def test_parallel_suite_materialises_shared_tables_once(session_events, tmp_path, monkeypatch):
+    import eventscope.plans.suite as suite_mod
+
+    built = {"funnel": 0, "cohorts": 0}
+    real_funnel, real_cohorts = suite_mod.FunnelReports, suite_mod.RetentionReports
+
+    def funnel(events):
+        built["funnel"] += 1
+        return real_funnel(events)
+
+    def cohorts(events):
+        built["cohorts"] += 1
+        return real_cohorts(events)
+
+    monkeypatch.setattr(suite_mod, "FunnelReports", funnel)
+    monkeypatch.setattr(suite_mod, "RetentionReports", cohorts)
+    paths = suite_mod.run_suite(session_events, str(tmp_path / "par"), parallelism=4)
+    assert len(paths) == 15 and built == {"funnel": 1, "cohorts": 1}
