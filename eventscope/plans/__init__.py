@@ -2,7 +2,7 @@
 
 from .reports import FunnelReports, RetentionReports, cart_report, materialize, write_reports
 from .session import SCALE_CONF, build_session, configure, ensure_checkpoint_dir
-from .suite import run_suite, suite
+from .suite import report_builders, run_suite
 
 __all__ = [
     "SCALE_CONF",
@@ -13,7 +13,7 @@ __all__ = [
     "configure",
     "ensure_checkpoint_dir",
     "materialize",
+    "report_builders",
     "run_suite",
-    "suite",
     "write_reports",
 ]

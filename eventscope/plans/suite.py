@@ -25,7 +25,7 @@ from ..operators.quality import DEFAULT_NULL_COLUMNS, profile_event_share, profi
 from .reports import FunnelReports, RetentionReports, cart_report, write_reports
 
 
-def suite(events: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+def report_builders(events: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     """Report builders by name; the shared intermediates are materialised lazily,
     once, also when reports are built from several threads."""
     shared: dict[str, object] = {}
@@ -67,4 +67,4 @@ def run_suite(events: DataFrame, out_dir: str, mode: str = "overwrite", parallel
 
     ``parallelism`` report jobs run at once (see :func:`write_reports`).
     """
-    return write_reports(suite(events), out_dir, mode, parallelism)
+    return write_reports(report_builders(events), out_dir, mode, parallelism)
