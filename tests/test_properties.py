@@ -245,3 +245,39 @@ def test_cart_report_matches_rules(spark, raw):
         avg = (sum(known) / len(known)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP) if known else None
         want[o] = (len(prices), _half_up(len(prices), total, 2), avg)
     assert got == want
+
+
+profile_event = st.tuples(
+    st.integers(0, 90), st.one_of(st.none(), st.sampled_from(KINDS)), st.one_of(st.none(), st.integers(1, 6)),
+    st.one_of(st.none(), st.sampled_from("abcd")), st.one_of(st.none(), st.integers(1, 50)),
+)
+
+
+@SETTINGS
+@given(st.lists(profile_event, min_size=0, max_size=40))
+def test_profiles_match_rules(spark, raw):
+    from eventscope.operators import profile_event_share, profile_nulls, profile_volume
+
+    rows = [(BASE + dt.timedelta(days=d), k, p, u, s) for d, k, u, s, p in raw]
+    ev = events_df(spark, rows)
+    v = as_dicts(profile_volume(ev))[0]
+    dates = [t.date() for t, *_ in rows]
+    assert v == {
+        "total_events": len(rows),
+        "unique_users": len({u for *_, u, _ in rows if u is not None}),
+        "unique_sessions": len({s for *_, s in rows if s is not None}),
+        "first_day": min(dates) if dates else None,
+        "last_day": max(dates) if dates else None,
+        "months_covered": len({(d.year, d.month) for d in dates}),
+    }
+    counts = defaultdict(int)
+    for _, k, *_ in rows:
+        counts[k] += 1
+    share = {r["event_type"]: (r["events_count"], r["share_pct"]) for r in as_dicts(profile_event_share(ev))}
+    assert share == {k: (n, _half_up(n, len(rows), 2)) for k, n in counts.items()}
+    nulls = as_dicts(profile_nulls(ev, ["user_id", "user_session", "price"]))[0]
+    assert nulls == {
+        "null_user_id": sum(u is None for *_, u, _ in rows),
+        "null_user_session": sum(s is None for *_, s in rows),
+        "null_price": sum(p is None for _, _, p, _, _ in rows),
+    }
