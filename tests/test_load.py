@@ -139,3 +139,20 @@ def test_command_line_load_then_report(spark, tmp_path, capsys):
     printed = capsys.readouterr().out.split()
     assert len(printed) == 15 and all(p.startswith(out) for p in printed)
     assert spark.read.parquet(out + "/volume").first()["total_events"] == 3
+
+
+def test_streaming_and_command_line_keep_bad_rows_on_request(spark, tmp_path):
+    from eventscope.__main__ import main
+    from eventscope.streaming import start_event_load
+
+    landing = tmp_path / "landing2"
+    landing.mkdir()
+    (landing / "a.csv").write_text(HEADER + "".join(GOOD + BAD), encoding="utf-8")
+    table, ckpt = str(tmp_path / "stream_table"), str(tmp_path / "stream_ckpt")
+    start_event_load(spark, str(landing), table, ckpt, on_error="null", available_now=True).awaitTermination(120)
+    back = spark.read.parquet(table)
+    assert back.count() == 4 and back.where("product_id IS NULL AND user_id = 5").count() == 1
+
+    cli_table = str(tmp_path / "cli_table")
+    main(["load", str(landing / "a.csv"), cli_table, "--on-error", "null"])
+    assert spark.read.parquet(cli_table).count() == 4
