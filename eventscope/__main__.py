@@ -1,7 +1,7 @@
 """Command line: load raw event CSV into the event table, then compute every report.
 
     python -m eventscope load   <csv path or glob> <table dir> [--on-error null]
-    python -m eventscope report <table dir> <reports dir>
+    python -m eventscope report <table dir> <reports dir> [--parallelism 4]
 
 (or the same arguments through ``spark-submit``). On a cluster, set
 ``spark.checkpoint.dir`` to a shared folder; the reports checkpoint the shared
@@ -27,13 +27,14 @@ def main(argv: list[str] | None = None) -> None:
     report = sub.add_parser("report", help="every report of the event table, one Parquet folder each")
     report.add_argument("table")
     report.add_argument("out")
+    report.add_argument("--parallelism", type=int, default=4, help="report jobs submitted at once")
     args = parser.parse_args(argv)
 
     spark = build_session(app_name=f"eventscope-{args.command}")
     if args.command == "load":
         write_events(clean_events(load_events(spark, args.source), on_error=args.on_error), args.table)
     else:
-        for path in run_suite(read_events(spark, args.table), args.out):
+        for path in run_suite(read_events(spark, args.table), args.out, parallelism=args.parallelism):
             print(path)
 
 
