@@ -30,7 +30,7 @@ event = st.tuples(
     st.one_of(st.none(), st.integers(1, 4)),  # user
     st.one_of(st.none(), st.sampled_from("abcdef")),  # session
 )
-SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 def _rows(raw):
