@@ -4,12 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import bpe, chat, token_counts
 from .common import read
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path() -> str:
+    """Place of the vocabulary file of an installed package (the same on every worker)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def edit_log(text: str = "text") -> Column:
+    """Two edits per document, from its own text: a stretch replaced by another one, and one inserted."""
+    n = F.length(text)
+    spot = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(n, F.lit(1))).cast("int")
+    return F.array(
+        F.struct(spot(1).alias("pos"), F.lit(7).alias("del"), F.substring(text, spot(2) + 1, F.lit(12)).alias("ins")),
+        F.struct(spot(3).alias("pos"), F.lit(0).alias("del"), F.substring(text, spot(4) + 1, F.lit(40)).alias("ins")),
+    )
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    trees = token_counts.build(docs, vocabulary_path()).withColumn("edits", edit_log())
+    edited = token_counts.apply_edits(trees.withColumn("n_tokens", token_counts.total("tree")), vocabulary_path())
+    return edited.select(
+        "doc_id", "n_tokens", token_counts.total("tree").alias("n_tokens_edited"),
+        F.length("text").cast("long").alias("n_chars_edited"), "reencoded_chars",
+        F.sha2("text", 256).alias("edited_sha256"),
+    )
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode(docs, vocabulary_path(), decoded=True)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = chat.END + chat.START + "assistant ok"
@@ -34,6 +75,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op6_bpe_round_trip": op6_bpe_round_trip,
         "op9_chat_formatting": op9_chat_formatting,
     }
 
