@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, token_counts
-from .common import read
+from . import bpe, chat, decontamination, pii, token_counts, warc
+from .common import read, shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -63,6 +64,18 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.KINDS],
+        F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
+        pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = chat.END + chat.START + "assistant ok"
     planted = spark.range(2).select(
@@ -84,12 +97,23 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    found = warc.read(spark, folder, payloads=False)
+    return found.where("kind = 'record'").select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op8_pii": op8_pii,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_warc": op10_warc,
     }
 
 
@@ -118,5 +142,15 @@ SELECT conv_id,
 FROM marked GROUP BY conv_id"""
 
 
+_OP10 = """WITH p AS (
+    SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages
+),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": _OP9}
+    return {"op9_chat_formatting": _OP9, "op10_warc": _OP10}
