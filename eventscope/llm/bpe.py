@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import configure
 from .textops import code_points, pre_tokens, ragged, run_hashes, slices, utf8
 
 LEAF_BYTES = 256
@@ -224,6 +225,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", decoded: bool = Fa
 
     ``path`` must be readable on every worker (it is a file of an installed package).
     """
+    configure(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if decoded:
@@ -315,6 +317,7 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", decoded: bool = Fa
 
 def decode(table: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
     """``table`` plus ``decoded string``: the text of its id lists (NULL and empty lists give '')."""
+    configure(table.sparkSession)
     rows = table.select(F.struct(*[F.col(f"`{c}`") for c in table.columns]).alias("row"), F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

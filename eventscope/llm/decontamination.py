@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import configure, staged
 from .textops import lowered, ragged, run_hashes, slices, utf8, word_runs
 
 WINDOW = 10
@@ -305,6 +305,7 @@ def find(
 
     ``spans`` are ``struct<word, words, start, end>``: first hit word, number of words, code points ``[start, end)``.
     """
+    configure(docs.sparkSession)
     own = [f.name for f in _FOUND]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     items = benchmark.select(

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import configure, staged
 from .textops import lowered, run_hashes, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
@@ -259,6 +259,7 @@ def find(
     min_support: int = 3, min_posterior: float = 0.5, min_pmi_bits: float = 1.0,
 ) -> DataFrame:
     """Columns ``keep`` (default all) of ``docs`` plus ``spans array<struct<kind, start, end>>`` in order of start."""
+    configure(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(

@@ -13,7 +13,7 @@ import pyarrow as pa
 SLICE_BYTES = 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240601))
-_BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE_KEYS = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,8 +45,8 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(n, _STEP, np.uint64)) | np.uint64(1)
 
 
-def run_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hash of each run of bytes ``raw[starts : starts + lengths]`` (runs in order, none empty)."""
+def run_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each run of bytes ``raw[starts : starts + lengths]`` (none empty); seeds 0 and 1 are independent."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = 1 << max(6, int(lengths.max() - 1).bit_length())
@@ -58,7 +58,7 @@ def run_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
         body = raw
     else:
         body = raw[within + np.repeat(starts, lengths)]
-    value = _BYTE_KEY[body] * powers[within]
+    value = _BYTE_KEYS[seed][body] * powers[within]
     h = np.add.reduceat(value, first) + lengths.astype(np.uint64) * _STEP
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -85,6 +85,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
 
 
+def line_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines (cut at each newline) of texts: byte starts, byte lengths, and each text's first line (n + 1)."""
+    newline = np.flatnonzero(raw == 10)
+    # a text of k newlines has k + 1 lines
+    counts = np.diff(np.searchsorted(newline, offsets)) + 1
+    first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    starts = np.empty(int(first[-1]), np.int64)
+    head = np.zeros(len(starts), bool)
+    head[first[:-1]] = True
+    starts[head] = offsets[:-1]
+    starts[~head] = newline + 1
+    ends = np.empty(len(starts), np.int64)
+    tail = np.zeros(len(starts), bool)
+    tail[first[1:] - 1] = True
+    ends[tail] = offsets[1:]
+    ends[~tail] = newline
+    return starts, ends - starts, first
+
+
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = _IS_WORD[0x80:] = True
 _IS_DARK = np.ones(256, bool)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Vocabulary, vocabulary
+from .common import configure
 from .textops import slices, utf8
 
 LEAF = 16
@@ -79,6 +80,7 @@ def _row(docs: DataFrame) -> Column:
 
 def build(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """``docs`` plus ``tree struct<chars, tokens>``."""
+    configure(docs.sparkSession)
     rows = docs.select(_row(docs), F.coalesce(F.col(text), F.lit("")).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +193,7 @@ def _apply(voc: Vocabulary, docs: list[_Document], edits: list[list[dict]]) -> N
 
 def apply_edits(trees: DataFrame, path: str, *, text: str = "text", edits: str = "edits") -> DataFrame:
     """``trees`` with ``text`` and ``tree`` after the edits of column ``edits`` (`EDITS`), plus ``reencoded_chars``."""
+    configure(trees.sparkSession)
     rows = trees.select(
         _row(trees), F.coalesce(F.col(text), F.lit("")).alias("body"), "tree", F.col(edits).cast(EDITS).alias("todo")
     )

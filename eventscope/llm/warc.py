@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import configure
+
 MIN_REVISIT_BYTES = 100
 RECORDS_PER_FILE = 4096
 SEPARATOR = "\r\n\r\n"
@@ -199,6 +201,7 @@ def salvage(data: bytes) -> Iterator[dict]:
 
 def read(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFrame:
     """Rows of `RECORD`: ``kind`` is ``record`` or ``gap``; ``payload`` is NULL for revisits and without ``payloads``."""
+    configure(spark)
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     names = [f.split()[0] for f in RECORD.split(", ")]
     schema = spark.createDataFrame([], RECORD).schema
