@@ -6,8 +6,12 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +73,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` materialised as a reliable checkpoint in the shared folder (survives lost executors)."""
+    """``df`` as a reliable checkpoint in the shared folder (survives lost executors).
+
+    A checkpoint runs its plan once to materialise it and once more to write it;
+    the disk copy kept meanwhile saves the second run.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A store of intermediate tables as Parquet in the shared folder; they go when the block ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    count = iter(range(1_000_000))
+
+    def store(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(count)}"
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield store
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bit_map(values: DataFrame, column: str, bits: int) -> bytes:
+    """The values of a long column as a map of ``bits`` bits (value modulo ``bits``).
+
+    Built on the executors; whatever the input, the driver gets ``bits / 32768`` rows of 4 kB at most.
+    """
+    bit = F.pmod(column, F.lit(bits)) + 1
+    found = values.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m"))
+    full = bytearray(bits // 8)
+    for r in found.toLocalIterator():
+        at = (r["b"] - 1) * len(r["m"])
+        full[at : at + len(r["m"])] = r["m"]
+    return bytes(full)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

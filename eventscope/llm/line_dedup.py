@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import configure, staged
+from .common import bit_map, configure, staged
 from .textops import line_runs, mixed, run_hashes, slices, utf8, word_runs
 
 MIN_WORDS = 50
@@ -104,17 +104,6 @@ def _fingerprint_counts(rows: DataFrame, min_words: int) -> DataFrame:
     return rows.select("body").mapInArrow(run, "f long, n long")
 
 
-def _bit_map(values: DataFrame) -> bytes:
-    """Column ``f`` as ``BITS`` bits, built on the executors; the driver gets at most ``BITS / 32768`` rows."""
-    bit = F.pmod("f", F.lit(BITS)) + 1
-    found = values.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m"))
-    full = bytearray(BITS // 8)
-    for r in found.toLocalIterator():
-        at = (r["b"] - 1) * len(r["m"])
-        full[at : at + len(r["m"])] = r["m"]
-    return bytes(full)
-
-
 def _windows(rows: DataFrame, shared_fingerprints: bytes, min_words: int) -> DataFrame:
     """``k0, k1, doc, body_key, begin, stop`` of the runs, grown both ways, whose fingerprint is shared."""
     shared = rows.sparkSession.sparkContext.broadcast(shared_fingerprints)
@@ -158,7 +147,7 @@ def later_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     configure(docs.sparkSession)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("body_key"), F.col(text).alias("body"))
     often = _fingerprint_counts(rows, min_words).groupBy("f").agg(F.sum("n").alias("n")).where("n > 1")
-    windows = staged(_windows(rows, _bit_map(often), min_words))
+    windows = staged(_windows(rows, bit_map(often, "f", BITS), min_words))
     place = F.struct("doc", "body_key", "begin")
     first = windows.groupBy("k0", "k1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.col("k0").alias("a"), F.col("k1").alias("b"), "first"

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import configure, staged
+from .common import bit_map, configure, staged
 from .textops import lowered, run_hashes, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
@@ -166,17 +166,6 @@ _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 _PAIRS_ARROW = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64())]))
 
 
-def _bit_map(terms: DataFrame) -> bytes:
-    """The wanted terms as ``BITS`` bits, built on the executors: at most ``BITS / 32768`` rows reach the driver."""
-    bit = F.pmod("term", F.lit(BITS)) + 1
-    rows = terms.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
-    full = bytearray(BITS // 8)
-    for r in rows:
-        at = (r["b"] - 1) * len(r["m"])
-        full[at : at + len(r["m"])] = r["m"]
-    return bytes(full)
-
-
 def _terms_of(raw: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts, byte ends and hashes of the terms that the bit map lets through."""
     inside = _IS_TERM[raw]
@@ -198,10 +187,10 @@ def _terms_of(raw: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[n
 
 def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``term, with_term``: rows that hold each wanted term."""
-    bit_map = _bit_map(wanted)
-    if not any(bit_map):  # nothing is wanted: no row can hold it
+    wanted_bits = bit_map(wanted, "term", BITS)
+    if not any(wanted_bits):  # nothing is wanted: no row can hold it
         return wanted.select("term", F.lit(0).cast("long").alias("with_term"))
-    shared = rows.sparkSession.sparkContext.broadcast(bit_map)
+    shared = rows.sparkSession.sparkContext.broadcast(wanted_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
@@ -219,10 +208,10 @@ def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _term_spans(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     """``body_key, terms``: spans of flagged terms, for each text that holds one."""
-    bit_map = _bit_map(flagged)
-    if not any(bit_map):
+    wanted_bits = bit_map(flagged, "term", BITS)
+    if not any(wanted_bits):
         return flagged.select(F.lit("").alias("body_key"), F.array().cast(T.ArrayType(_SPAN)).alias("terms")).where(F.lit(False))
-    shared = rows.sparkSession.sparkContext.broadcast(bit_map)
+    shared = rows.sparkSession.sparkContext.broadcast(wanted_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)

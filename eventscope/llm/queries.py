@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, line_dedup, pii, token_counts, warc
+from . import bpe, chat, decontamination, line_dedup, minhash_dedup, pii, token_counts, warc
 from .common import read, shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,6 +70,11 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_dedup.components(docs, ngram=2, keep=["doc_id"])
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, keep=["doc_id"])
@@ -118,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op7_minhash_dedup": op7_minhash_dedup,
         "op8_pii": op8_pii,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_warc": op10_warc,
