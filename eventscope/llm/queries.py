@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, line_dedup, minhash_dedup, pii, token_counts, warc
+from . import bpe, chat, decontamination, embedding_dedup, line_dedup, minhash_dedup, pii, token_counts, toxicity, warc
 from .common import read, shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -59,6 +59,19 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", F.coalesce(~toxicity.in_training(), F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.components(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode(docs, vocabulary_path(), decoded=True)
@@ -122,6 +135,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_line_dedup": op2_line_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_toxicity": op4_toxicity,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_pii": op8_pii,
