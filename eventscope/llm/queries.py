@@ -131,7 +131,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline  # at the top of the repository; it imports the operators
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_counts": op1_token_counts,
         "op2_line_dedup": op2_line_dedup,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
