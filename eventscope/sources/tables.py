@@ -12,21 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
-
-
-def read_table(spark: SparkSession, directory: str, name: str, *, refresh: bool = False) -> DataFrame:
-    """Parquet scan of ``<directory>/<name>.parquet``.
-
-    The scan DataFrame (its file listing and schema, not its data) is reused
-    within a session, so a run of many reports lists a large table's files
-    once; ``refresh=True`` lists again after the files changed.
-    """
-    path = f"{directory.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if refresh or key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
+def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """Parquet scan of ``<directory>/<name>.parquet``; the files are listed anew by every call."""
+    return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
 def clickstream_events(df: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from eventscope.functions.quantiles import exact_percentiles
 
 
-@pytest.mark.parametrize("exact_below", [1_000_000, 0])
-def test_matches_numpy(spark, exact_below):
+@pytest.mark.parametrize("buckets,levels", [(4096, 2), (8, 1), (3, 3)])
+def test_matches_numpy(spark, buckets, levels):
     rng = np.random.default_rng(7)
     a = rng.exponential(100.0, 5000).round(3)
     b = np.concatenate([np.full(2000, 60.0), rng.integers(0, 50, 1000).astype(float)])  # heavy ties
@@ -20,8 +20,7 @@ def test_matches_numpy(spark, exact_below):
     df = spark.createDataFrame(rows, "a double, b double").repartition(7)
     probs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
     targets = [(f"a_{i}", "a", p) for i, p in enumerate(probs)] + [(f"b_{i}", "b", p) for i, p in enumerate(probs)]
-    # exact_below=0 forces the bounded path (approximate bounds + candidate window)
-    r = exact_percentiles(df, targets, accuracy=1000, exact_below=exact_below).first()
+    r = exact_percentiles(df, targets, buckets=buckets, levels=levels).first()
     bvals = np.array([y for _, y in rows if y is not None])
     for i, p in enumerate(probs):
         assert r[f"a_{i}"] == pytest.approx(float(np.quantile(a, p)), rel=0, abs=1e-9)
@@ -47,10 +46,29 @@ def test_rejects_bad_probability(spark):
     st.lists(st.one_of(st.integers(0, 20).map(float), st.floats(0, 1000, allow_nan=False)), min_size=200, max_size=400),
     st.lists(st.sampled_from([0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]), min_size=1, max_size=4, unique=True),
 )
-def test_bounded_path_is_exact(spark, values, probs):
-    # accuracy 100 with n >= 200: the approximate bounds are 3 % apart in rank
+def test_few_buckets_are_exact(spark, values, probs):
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
     targets = [(f"q{i}", "x", p) for i, p in enumerate(probs)]
-    r = exact_percentiles(df, targets, accuracy=100, exact_below=0).first()
+    r = exact_percentiles(df, targets, buckets=4, levels=2).first()
     for i, p in enumerate(probs):
         assert r[f"q{i}"] == pytest.approx(float(np.quantile(values, p)), rel=0, abs=1e-9)
+
+
+def test_two_million_distinct_values(spark):
+    """Ranks of x -> x ** 2 over a shuffled range are known; the same method as for small inputs."""
+    n = 2_000_001
+    df = spark.range(0, n, 1, 6).select((F.col("id").cast("double") * F.col("id")).alias("x"))
+    r = exact_percentiles(df, [("a", "x", 0.5), ("b", "x", 0.9), ("c", "x", 0.123456)]).first()
+    exact = lambda p: np.interp(p * (n - 1), [int(p * (n - 1)), int(p * (n - 1)) + 1], [float(int(p * (n - 1))) ** 2, float(int(p * (n - 1)) + 1) ** 2])
+    assert r["n_x"] == n
+    assert r["a"] == exact(0.5) and r["b"] == exact(0.9)
+    assert r["c"] == pytest.approx(exact(0.123456), rel=1e-12)
+
+
+def test_wide_and_tiny_values(spark):
+    values = [1e300, -1e300, 1e-300, 0.0, -0.5, 2.0, 2.0, 3.5, 1e17, 1e17 + 16]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    probs = [0.0, 0.2, 0.45, 0.5, 0.8, 1.0]
+    r = exact_percentiles(df, [(f"q{i}", "x", p) for i, p in enumerate(probs)], buckets=16).first()
+    for i, p in enumerate(probs):
+        assert r[f"q{i}"] == pytest.approx(float(np.quantile(values, p)), rel=1e-12)
