@@ -28,35 +28,45 @@ WEIGHTINGS = ("cohort_size", "row_fanout")
 def cohort_activity(events: DataFrame, *, user: str = "user_id", time: str = "event_time") -> DataFrame:
     """Distinct active months per user with cohort and lifespan.
 
-    Columns: ``user_id, cohort_month (date), month_num, last_active_month``.
-    Users with a NULL id are dropped.
+    Columns: ``user_id, cohort_month (date), month_num, last_active_month,
+    data_last_month (date)``. Users with a NULL id are dropped, but the last month
+    of the data is that of *all* events, theirs included. A user's events without
+    a time give a row with NULL ``month_num``; a user with no other events has a
+    NULL cohort.
     """
     months = (
         events.where(F.col(user).isNotNull())
         .select(F.col(user).alias(user), month_index(time).alias("_m"))
         .distinct()
     )
+    # one row, from a second read of the time column alone
+    bound = events.agg(F.max(month_index(time)).alias("_data_last"))
     by_user = Window.partitionBy(user)
     first = F.min("_m").over(by_user)
     last = F.max("_m").over(by_user)
-    return months.select(
+    placed = months.select(
         user,
         month_from_index(first).alias("cohort_month"),
         (F.col("_m") - first).alias("month_num"),
         (last - first).alias("last_active_month"),
     )
+    return placed.crossJoin(F.broadcast(bound)).select(
+        user, "cohort_month", "month_num", "last_active_month", month_from_index("_data_last").alias("data_last_month")
+    )
 
 
 def cohort_cells(activity: DataFrame) -> DataFrame:
     """One row per non-empty (cohort, month of life).
 
-    Columns: ``cohort_month, month_num, active_users, lapsed_users`` where
-    ``lapsed_users`` counts users whose last active month is this one.
-    The input is already distinct per (user, month), so plain counts suffice.
+    Columns: ``cohort_month, month_num, active_users, lapsed_users,
+    data_last_month`` where ``lapsed_users`` counts users whose last active month
+    is this one. The input is already distinct per (user, month), so plain
+    counts suffice.
     """
     return activity.groupBy("cohort_month", "month_num").agg(
         F.count(F.lit(1)).alias("active_users"),
         F.count_if(F.col("month_num") == F.col("last_active_month")).alias("lapsed_users"),
+        F.max("data_last_month").alias("data_last_month"),
     )
 
 
@@ -64,21 +74,20 @@ def cohort_sizes(cells: DataFrame, months: int = 0) -> DataFrame:
     """``cohort_month, total_users, max_observable_month`` per cohort.
 
     Every user is active in month 0 of their cohort, so the size is the month-0
-    cell. The observable horizon is the last month present in the data minus
-    the cohort month; the data's last month is the largest ``cohort + month_num``
-    over the cells, taken with a window over the per-cohort rows only.
-    With ``months > 0`` the same aggregate also returns ``_a0 .. _a{months-1}``,
-    the active users per month of life (NULL where nobody was active).
+    cell; users without any time form the NULL cohort, whose only cell is its
+    size. The observable horizon is the last month of the data minus the cohort
+    month. With ``months > 0`` the same aggregate also returns
+    ``_a0 .. _a{months-1}``, the active users per month of life (NULL where nobody
+    was active).
     """
     per_cohort = cells.groupBy("cohort_month").agg(
-        F.expr("max(CASE WHEN month_num = 0 THEN active_users END)").alias("total_users"),
-        F.max("month_num").alias("_last"),
+        F.expr("max(CASE WHEN month_num = 0 OR cohort_month IS NULL THEN active_users END)").alias("total_users"),
+        F.max("data_last_month").alias("_data_last"),
         *[F.expr(f"max(CASE WHEN month_num = {k} THEN active_users END)").alias(f"_a{k}") for k in range(months)],
     )
-    cohort_idx = month_index("cohort_month")
-    data_last = F.max(cohort_idx + F.col("_last")).over(Window.partitionBy())
     return per_cohort.select(
-        "cohort_month", "total_users", (data_last - cohort_idx).alias("max_observable_month"),
+        "cohort_month", "total_users",
+        (month_index("_data_last") - month_index("cohort_month")).alias("max_observable_month"),
         *[f"_a{k}" for k in range(months)],
     )
 
@@ -92,15 +101,16 @@ def retention_matrix(
 ) -> DataFrame:
     """Cohort x month-of-life matrix, ``m0 .. m{months-1}``.
 
+    ``months=7`` is the width of the published report (months 0 to 6), not a cap on
+    the data: :func:`retention_long` has every month.
+
     ``as_pct=True`` (3.1): ``cohort_month, cohort, total_users, m0..`` with
     ``100 * active / size`` rounded to one digit; ``as_pct=False`` (3.2):
     ``cohort_month, cohort, m0_users..`` counts. Months nobody was active in
     give 0 (or ``0.0``), also when they lie beyond the data's last month;
     ``mask_unobserved=True`` gives NULL for months after the data ends.
     """
-    # One aggregate per cohort gives the size, the horizon and every cell;
-    # the horizon window leaves the (calendar-sized) result in one partition,
-    # so the final ordering needs no range exchange.
+    # One aggregate per cohort gives the size, the horizon and every cell.
     joined = cohort_sizes(cohort_cells(activity), months)
 
     def cell(k: int):
@@ -113,7 +123,7 @@ def retention_matrix(
     head = ["cohort_month", month_label("cohort_month").alias("cohort")]
     if as_pct:
         head.append("total_users")
-    return joined.select(*head, *[cell(k) for k in range(months)]).orderBy("cohort_month")
+    return joined.select(*head, *[cell(k) for k in range(months)]).orderBy(F.col("cohort_month").asc_nulls_last())
 
 
 def retention_long(activity: DataFrame) -> DataFrame:
@@ -123,16 +133,17 @@ def retention_long(activity: DataFrame) -> DataFrame:
     retention_pct, rolling_retention_pct``. Rolling retention at N counts users
     whose last active month is N or later: a reverse running sum of
     ``lapsed_users`` within the cohort (each user's last month is itself a
-    non-empty cell, so no month is missed).
+    non-empty cell, so no month is missed). A cell of events without a time
+    comes last in its cohort with rolling retention 0; the NULL cohort has no rows.
     """
-    cells = cohort_cells(activity)
+    cells = cohort_cells(activity).where(F.col("cohort_month").isNotNull())
     by_cohort = Window.partitionBy("cohort_month")
     later_first = by_cohort.orderBy(F.desc("month_num")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.max(F.when(F.col("month_num") == 0, F.col("active_users"))).over(by_cohort)
     staged = cells.select(
         "cohort_month", "month_num", "active_users",
         size.alias("total_users"),
-        F.sum("lapsed_users").over(later_first).alias("_still_active"),
+        F.when(F.col("month_num").isNull(), F.lit(0)).otherwise(F.sum("lapsed_users").over(later_first)).alias("_still_active"),
     )
     return staged.select(
         "cohort_month",
@@ -142,7 +153,7 @@ def retention_long(activity: DataFrame) -> DataFrame:
         "active_users",
         pct("active_users", "total_users", 1).alias("retention_pct"),
         pct("_still_active", "total_users", 1).alias("rolling_retention_pct"),
-    ).orderBy("cohort_month", "month_num")
+    ).orderBy("cohort_month", F.col("month_num").asc_nulls_last())
 
 
 def retention_curve(activity: DataFrame, weighting: str = "cohort_size") -> DataFrame:
@@ -167,7 +178,8 @@ def retention_curve(activity: DataFrame, weighting: str = "cohort_size") -> Data
         grouped = rows.groupBy("month_num").agg(
             F.count(F.lit(1)).alias("cohorts_count"),
             F.sum("active_users").alias("active_users"),
-            F.sum(F.col("active_users") * F.col("total_users")).alias("total_eligible_users"),
+            # a product of two counts outgrows a bigint: summed as NUMERIC
+            F.sum(F.col("active_users").cast("decimal(19,0)") * F.col("total_users").cast("decimal(19,0)")).alias("total_eligible_users"),
         )
     else:
         # cohort x (0 .. horizon) grid: at most cohorts x months rows.

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from eventscope.operators import cohort_activity, retention_curve, retention_long, retention_matrix
+from eventscope.plans import RetentionReports
 from eventscope.sources import order_events, read_table
 
-from .conftest import SF001, as_dicts
+from .conftest import SF001, as_dicts, events_df
 
 
 def _d(x):
@@ -89,3 +91,47 @@ def test_null_users_dropped(cohort_events):
     ca = cohort_activity(cohort_events)
     assert ca.where("user_id IS NULL").count() == 0
     assert ca.select("user_id").distinct().count() == 7
+
+
+def _gap_events(spark):
+    """User 1 in January and February, user 2 in February, an unknown user in April."""
+    day = lambda m: dt.datetime(2024, m, 15)
+    rows = [(day(1), "view", 1, 1, "a"), (day(2), "view", 1, 1, "a"), (day(2), "view", 1, 2, "b"), (day(4), "view", 1, None, None)]
+    return events_df(spark, rows)
+
+
+@pytest.mark.parametrize("through_reports", [False, True])
+def test_horizon_comes_from_all_events(spark, through_reports):
+    events = _gap_events(spark)
+    ca = RetentionReports(events).activity if through_reports else cohort_activity(events)
+    got = [(r["month_num"], r["cohorts_count"], r["active_users"], r["total_eligible_users"], r["avg_retention_pct"]) for r in as_dicts(retention_curve(ca))]
+    assert got == [(0, 2, 2, 2, _d("100.0")), (1, 2, 1, 2, _d("50.0")), (2, 2, 0, 2, _d("0.0")), (3, 1, 0, 1, _d("0.0"))]
+    masked = {r["cohort"]: [r[f"m{k}"] for k in range(5)] for r in as_dicts(retention_matrix(ca, 5, mask_unobserved=True))}
+    assert masked == {
+        "2024-01": [_d("100.0"), _d("100.0"), _d("0.0"), _d("0.0"), None],
+        "2024-02": [_d("100.0"), _d("0.0"), _d("0.0"), None, None],
+    }
+
+
+def test_events_without_a_time(spark):
+    rows = [(dt.datetime(2024, 1, 5), "view", 1, 1, "a"), (None, "view", 1, 1, "a"), (None, "view", 1, 2, "b"), (None, "view", 1, 3, "c")]
+    ca = cohort_activity(events_df(spark, rows))
+    matrix = [(r["cohort_month"], r["total_users"], r["m0"], r["m1"]) for r in as_dicts(retention_matrix(ca, 2))]
+    assert matrix == [(dt.date(2024, 1, 1), 1, _d("100.0"), _d("0.0")), (None, 2, _d("0.0"), _d("0.0"))]
+    long = [(r["cohort"], r["month_num"], r["active_users"], r["retention_pct"], r["rolling_retention_pct"]) for r in as_dicts(retention_long(ca))]
+    assert long == [("2024-01", 0, 1, _d("100.0"), _d("100.0")), ("2024-01", None, 1, _d("100.0"), _d("0.0"))]
+    assert [(r["month_num"], r["total_eligible_users"]) for r in as_dicts(retention_curve(ca))] == [(0, 1)]
+
+
+def test_row_fanout_beyond_bigint(spark, monkeypatch):
+    """Cells of a cohort of 4 * 10^9 users: size times active users exceeds a bigint."""
+    import eventscope.operators.retention as retention
+
+    month = F.lit("2024-01-01").cast("date")
+    cells = spark.range(2).select(
+        month.alias("cohort_month"), F.col("id").cast("int").alias("month_num"), F.lit(4_000_000_000).cast("bigint").alias("active_users"),
+        F.lit(0).cast("bigint").alias("lapsed_users"), F.lit("2024-02-01").cast("date").alias("data_last_month"),
+    )
+    monkeypatch.setattr(retention, "cohort_cells", lambda activity: cells)
+    out = as_dicts(retention_curve(spark.range(1), weighting="row_fanout"))
+    assert [r["total_eligible_users"] for r in out] == [Decimal(16 * 10**18)] * 2
