@@ -24,17 +24,19 @@ def main(argv: list[str] | None = None) -> None:
     load.add_argument("source")
     load.add_argument("table")
     load.add_argument("--on-error", choices=["fail", "null"], default="fail")
+    load.add_argument("--multi-line", action="store_true", help="quoted fields may hold line breaks (files are not split)")
     report = sub.add_parser("report", help="every report of the event table, one Parquet folder each")
     report.add_argument("table")
     report.add_argument("out")
     report.add_argument("--parallelism", type=int, default=4, help="report jobs submitted at once")
+    report.add_argument("--work-dir", help="shared folder of intermediate tables (default: spark.checkpoint.dir)")
     args = parser.parse_args(argv)
 
     spark = build_session(app_name=f"eventscope-{args.command}")
     if args.command == "load":
-        write_events(clean_events(load_events(spark, args.source), on_error=args.on_error), args.table)
+        write_events(clean_events(load_events(spark, args.source, multi_line=args.multi_line), on_error=args.on_error), args.table)
     else:
-        for path in run_suite(read_events(spark, args.table), args.out, parallelism=args.parallelism):
+        for path in run_suite(read_events(spark, args.table), args.out, parallelism=args.parallelism, work_dir=args.work_dir):
             print(path)
 
 

@@ -5,7 +5,9 @@ from .events import (
     EVENT_SCHEMA,
     RAW_SCHEMA,
     clean_events,
+    load_errors,
     load_events,
+    parse_event_lines,
     read_events,
     write_events,
     write_events_table,
@@ -18,8 +20,10 @@ __all__ = [
     "RAW_SCHEMA",
     "clean_events",
     "clickstream_events",
+    "load_errors",
     "load_events",
     "order_events",
+    "parse_event_lines",
     "read_events",
     "read_table",
     "write_events",

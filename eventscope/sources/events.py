@@ -2,7 +2,9 @@
 
 The raw file is read with every column as text so that empty or malformed
 fields never fail the scan; :func:`clean_events` then turns empty strings into
-NULL and casts to the typed schema in one narrow projection (no shuffle).
+NULL and casts to the typed schema in one narrow projection (no shuffle). Rows
+with too few or too many fields, malformed values and over-long texts fail the
+load, or become counted NULLs on request.
 """
 
 from __future__ import annotations
@@ -43,59 +45,109 @@ EVENT_SCHEMA = T.StructType(
 # Columns whose empty string means "missing"; event_time and event_type are kept as given.
 _NULLABLE_TEXT = ("product_id", "category_id", "category_code", "brand", "price", "user_id", "user_session")
 
+# The longest text the event table takes in these columns.
+TEXT_LIMITS = {"event_type": 20, "category_code": 200, "brand": 100, "user_session": 36}
+
+# A timestamp needs a date; the time of day and the zone may be missing.
+TIMESTAMP_PATTERN = (
+    r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?\s*([Zz]|[A-Z]{3,4}|[A-Za-z]+/[A-Za-z_]+|[+-]\d{1,2}(:?\d{2})?)?\s*$"
+)
+
+# Holds the line of a row whose number of fields is not that of the file.
+CORRUPT_COLUMN = "_corrupt_record"
+LOAD_SCHEMA = T.StructType([*RAW_SCHEMA.fields, T.StructField(CORRUPT_COLUMN, T.StringType(), True)])
+
 ON_ERROR = ("fail", "null")
 
 
-def load_events(spark: SparkSession, path: str | list[str], *, header: bool = True) -> DataFrame:
+def csv_options(*, header: bool = True, multi_line: bool = False) -> dict[str, str]:
+    """Reader options of the staging files, shared by the batch, streaming and line-by-line readers."""
+    return {
+        "header": str(header).lower(), "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT_COLUMN, "multiLine": str(multi_line).lower(),
+        # the width of a row is only seen if all its fields are parsed
+        "columnPruning": "false",
+    }
+
+
+def load_events(spark: SparkSession, path: str | list[str], *, header: bool = True, multi_line: bool = False) -> DataFrame:
     """Scan headered event CSV file(s) as all-text columns (lazy, split across tasks).
 
     Doubled quotes inside quoted fields are unescaped (``escape='"'``); both
-    ``,,`` and ``,"",`` read as NULL.
+    ``,,`` and ``,"",`` read as NULL. A row with too few or too many fields keeps its
+    line in ``_corrupt_record``. ``multi_line=True`` reads quoted fields that hold line
+    breaks; such files cannot be split, so each is read by one task.
     """
-    return (
-        spark.read.schema(RAW_SCHEMA)
-        .option("header", header)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    return spark.read.schema(LOAD_SCHEMA).options(**csv_options(header=header, multi_line=multi_line)).csv(path)
+
+
+def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The columns of :func:`load_events` from a text column of CSV lines (without a header)."""
+    options = {k: v for k, v in csv_options().items() if k not in ("header", "multiLine")}
+    parsed = F.from_csv(F.col(column), LOAD_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " "), options)
+    return lines.select(parsed.alias("_e")).select("_e.*")
+
+
+def _typed(raw: DataFrame) -> dict[str, tuple[Column, Column, Column]]:
+    """Per column: its text (``''`` as NULL), the typed value or NULL, and whether the text is malformed."""
+    fields = {f.name: f.dataType for f in EVENT_SCHEMA.fields}
+    out = {}
+    for c in EVENT_COLUMNS:
+        value = F.nullif(F.col(c), F.lit("")) if c in _NULLABLE_TEXT else F.col(c)
+        if isinstance(fields[c], T.StringType):
+            typed = F.when(F.length(value) <= TEXT_LIMITS[c], value) if c in TEXT_LIMITS else value
+        elif isinstance(fields[c], T.TimestampType):
+            typed = F.when(value.rlike(TIMESTAMP_PATTERN), value).try_cast(fields[c])
+        else:
+            typed = value.try_cast(fields[c])
+        out[c] = value, typed, value.isNotNull() & typed.isNull()
+    return out
+
+
+def _corrupt(raw: DataFrame) -> Column:
+    return F.col(CORRUPT_COLUMN).isNotNull() if CORRUPT_COLUMN in raw.columns else F.lit(False)
 
 
 def clean_events(raw: DataFrame, on_error: str = "fail") -> DataFrame:
     """Typed events from raw text columns.
 
     * ``''`` becomes NULL for every column but ``event_time`` and ``event_type``;
-    * ``event_time`` accepts ``yyyy-MM-dd HH:mm:ss[.ffffff] UTC`` (zone suffix honoured);
-    * ``price`` is stored as ``decimal(10,2)``, rounded half away from zero.
-
-    ``on_error="fail"`` raises on a malformed or out-of-range value (whatever
-    the session's ANSI setting); ``on_error="null"`` turns it into NULL instead.
+    * ``event_time`` accepts ``yyyy-MM-dd[ HH:mm[:ss[.ffffff]]][ zone]``; a date is required;
+    * ``price`` is stored as ``decimal(10,2)``, rounded half away from zero;
+    * texts may be as long as the table's columns (`TEXT_LIMITS`).
+
+    ``on_error="fail"`` raises on a malformed, out-of-range or over-long value and
+    on a row with too few or too many fields (whatever the session's ANSI
+    setting). ``on_error="null"`` turns the value into NULL, and every column of
+    such a row; :func:`load_errors` counts them.
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error must be one of {ON_ERROR}")
-
-    def text(c: str) -> Column:
-        value = F.col(c)
-        return F.nullif(value, F.lit("")) if c in _NULLABLE_TEXT else value
-
-    def cast(name: str, c: Column, to: T.DataType) -> Column:
-        typed = c.try_cast(to)
+    corrupt = _corrupt(raw)
+    out = []
+    for c, (value, typed, bad) in _typed(raw).items():
         if on_error == "null":
-            return typed
+            out.append(F.when(~corrupt, typed).alias(c))
+            continue
         # Explicit failure, independent of the session's ANSI setting.
-        bad = F.raise_error(F.concat(F.lit(f"malformed {name}: '"), c, F.lit("'")))
-        return F.when(c.isNotNull() & typed.isNull(), bad).otherwise(typed)
-
-    fields = {f.name: f.dataType for f in EVENT_SCHEMA.fields}
-    out = []
-    for c in EVENT_COLUMNS:
-        to = fields[c]
-        value = text(c)
-        out.append((value if isinstance(to, T.StringType) else cast(c, value, to)).alias(c))
+        failure = F.raise_error(F.concat(F.lit(f"malformed {c}: '"), value, F.lit("'")))
+        checked = F.when(bad, failure).otherwise(typed)
+        if CORRUPT_COLUMN in raw.columns:
+            width = F.raise_error(F.concat(F.lit("malformed row: '"), F.col(CORRUPT_COLUMN), F.lit("'")))
+            checked = F.when(corrupt, width).otherwise(checked)
+        out.append(checked.alias(c))
     return raw.select(*out)
 
 
+def load_errors(raw: DataFrame) -> DataFrame:
+    """One row: ``corrupt_rows`` and, per column, ``bad_<column>``: what ``on_error="null"`` turns into NULL."""
+    corrupt = _corrupt(raw)
+    return raw.agg(
+        F.count_if(corrupt).alias("corrupt_rows"),
+        *[F.count_if(~corrupt & bad).alias(f"bad_{c}") for c, (_, _, bad) in _typed(raw).items()],
+    )
+
+
 def write_events(
     events: DataFrame,
     path: str,

@@ -16,17 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.events import RAW_SCHEMA, clean_events
+from ..sources.events import LOAD_SCHEMA, clean_events, csv_options
 
 
 def read_event_files(spark: SparkSession, landing_dir: str, *, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming scan of headered event CSV files as all-text columns."""
-    reader = (
-        spark.readStream.schema(RAW_SCHEMA)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-    )
+    reader = spark.readStream.schema(LOAD_SCHEMA).options(**csv_options())
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.csv(landing_dir)
@@ -41,14 +36,17 @@ def start_event_load(
     on_error: str = "fail",
     available_now: bool = False,
     processing_time: str | None = None,
+    max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
     """Start appending cleaned events, partitioned by ``event_date``, to ``table_dir``.
 
     ``available_now=True`` processes every file present and stops (a batch-style
     incremental run); otherwise the query keeps running on ``processing_time``.
-    ``checkpoint_dir`` must be on shared storage.
+    ``max_files_per_trigger`` bounds a batch, so that a first run does not take the
+    whole backlog at once. ``checkpoint_dir`` must be on shared storage.
     """
-    events = clean_events(read_event_files(spark, landing_dir), on_error=on_error)
+    raw = read_event_files(spark, landing_dir, max_files_per_trigger=max_files_per_trigger)
+    events = clean_events(raw, on_error=on_error)
     out = events.withColumn("event_date", F.to_date("event_time"))
     writer = (
         out.writeStream.format("parquet")

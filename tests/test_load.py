@@ -7,9 +7,11 @@ from decimal import Decimal
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
 from eventscope.operators import profile_event_share, profile_nulls, profile_volume
+from eventscope.sources import load_errors, parse_event_lines, read_table
 from eventscope.sources.events import EVENT_SCHEMA, clean_events, load_events, read_events, write_events
 
 from .conftest import as_dicts
@@ -32,6 +34,7 @@ def _csv(tmp_path, lines):
 def test_load_and_clean(spark, tmp_path):
     raw = load_events(spark, _csv(tmp_path, GOOD))
     assert all(f.dataType.typeName() == "string" for f in raw.schema.fields)
+    assert load_errors(raw).first().asDict() == {c: 0 for c in load_errors(raw).columns}
     ev = clean_events(raw)
     assert ev.schema == EVENT_SCHEMA
     rows = as_dicts(ev.orderBy("event_time"))
@@ -156,3 +159,96 @@ def test_streaming_and_command_line_keep_bad_rows_on_request(spark, tmp_path):
     cli_table = str(tmp_path / "cli_table")
     main(["load", str(landing / "a.csv"), cli_table, "--on-error", "null"])
     assert spark.read.parquet(cli_table).count() == 4
+
+
+WIDTH = [
+    "2020-09-25 00:00:03 UTC,view,1,2,a,b,1.00,5,s,extra\n",
+    "2020-09-25 00:00:04 UTC,view,1,2,a,b,1.00\n",
+]
+VALUES = {
+    "event_time": ["10:11,view,1,2,a,b,1.00,5,s\n", "2020,view,1,2,a,b,1.00,5,s\n"],
+    "event_type": ["2020-09-25 00:00:05 UTC," + "v" * 21 + ",1,2,a,b,1.00,5,s\n"],
+    "category_code": ["2020-09-25 00:00:05 UTC,view,1,2," + "c" * 201 + ",b,1.00,5,s\n"],
+    "brand": ["2020-09-25 00:00:05 UTC,view,1,2,a," + "b" * 101 + ",1.00,5,s\n"],
+    "user_session": ["2020-09-25 00:00:05 UTC,view,1,2,a,b,1.00,5," + "s" * 37 + "\n"],
+}
+
+
+@pytest.mark.parametrize("line", WIDTH)
+def test_rows_of_another_width_fail_or_are_counted(spark, tmp_path, line):
+    raw = load_events(spark, _csv(tmp_path, [*GOOD, line]))
+    with pytest.raises((PySparkException, Py4JJavaError), match="malformed row"):
+        clean_events(raw).collect()
+    assert clean_events(raw, on_error="null").where("event_time IS NULL AND user_id IS NULL AND price IS NULL").count() == 1
+    assert load_errors(raw).first()["corrupt_rows"] == 1
+
+
+@pytest.mark.parametrize("column,line", [(c, line) for c, lines in VALUES.items() for line in lines])
+def test_values_out_of_bounds_fail_or_are_counted(spark, tmp_path, column, line):
+    raw = load_events(spark, _csv(tmp_path, [*GOOD, line]))
+    with pytest.raises((PySparkException, Py4JJavaError), match=f"malformed {column}"):
+        clean_events(raw).collect()
+    errors = load_errors(raw).first().asDict()
+    assert {k for k, v in errors.items() if v} == {f"bad_{column}"}
+    assert clean_events(raw, on_error="null").where(F.col(column).isNull() & (F.col("product_id") == 1)).count() == 1
+
+
+def test_a_date_without_a_time_is_midnight(spark, tmp_path):
+    raw = load_events(spark, _csv(tmp_path, ["2020-09-25,view,1,2,a,b,1.00,5,s\n", "2020-09-25T07:08:09+02:00,view,1,2,a,b,1.00,5,s\n"]))
+    times = sorted(r["event_time"] for r in clean_events(raw).collect())
+    assert times == [dt.datetime(2020, 9, 25), dt.datetime(2020, 9, 25, 5, 8, 9)]
+
+
+def test_line_breaks_in_quoted_fields(spark, tmp_path):
+    path = _csv(tmp_path, [*GOOD, '2020-09-25 00:00:05 UTC,view,1,2,"two\nlines",b,1.00,5,s\n'])
+    assert clean_events(load_events(spark, path, multi_line=True)).where(F.col("category_code") == "two\nlines").count() == 1
+    assert load_errors(load_events(spark, path)).first()["corrupt_rows"] == 2
+
+
+def test_lines_parse_as_files_do(spark, tmp_path):
+    path = _csv(tmp_path, [*GOOD, *BAD, *WIDTH])
+    lines = spark.read.text(path).where(~F.col("value").startswith("event_time,"))
+    key = ["event_time", "product_id", "_corrupt_record"]
+    assert sorted(map(str, parse_event_lines(lines).select(key).collect())) == sorted(map(str, load_events(spark, path).select(*key).collect()))
+
+
+def test_appended_files_are_seen(spark, tmp_path):
+    df = spark.range(5)
+    df.write.parquet(str(tmp_path / "t.parquet"))
+    assert read_table(spark, str(tmp_path), "t").count() == 5
+    spark.range(7).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    assert read_table(spark, str(tmp_path), "t").count() == 12
+
+
+def test_user_bucketed_layout_statistics_and_row_groups(spark, tmp_path, session_events):
+    from eventscope.operators import cohort_activity
+    from eventscope.sources.events import write_events_table
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS es_user LOCATION '{tmp_path / 'wh'}'")
+    write_events_table(session_events, "es_user.by_user", buckets=4, bucket_column="user_id")
+    try:
+        plan = cohort_activity(spark.table("es_user.by_user"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(user_id" not in plan
+        stats = {r["info_name"]: r["info_value"] for r in spark.sql("DESCRIBE EXTENDED es_user.by_user user_id").collect()}
+        assert int(stats["distinct_count"]) == 13 and int(stats["num_nulls"]) == 0
+    finally:
+        spark.sql("DROP TABLE es_user.by_user")
+
+    import pyarrow.parquet as pq
+
+    many = session_events.crossJoin(spark.range(400)).drop("id")
+    spark.conf.set("parquet.block.size", str(16 * 1024))
+    try:
+        write_events(many, str(tmp_path / "sorted"), partition_by_date=False)
+    finally:
+        spark.conf.unset("parquet.block.size")
+    scan = spark.read.parquet(str(tmp_path / "sorted")).where("event_type = 'purchase'")
+    assert "EqualTo(event_type,purchase)" in scan._jdf.queryExecution().executedPlan().toString()
+    skipped = total = 0
+    for file in (tmp_path / "sorted").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            bounds = meta.row_group(g).column(1).statistics
+            total += 1
+            skipped += not bounds.min <= "purchase" <= bounds.max
+    assert 0 < skipped < total
