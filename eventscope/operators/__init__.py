@@ -2,7 +2,7 @@
 
 from .activity import active_users, daily_report, growth, monthly_report, weekly_report
 from .carts import cart_outcomes, cart_sessions
-from .funnel import funnel_by_period, funnel_durations, funnel_sessions, funnel_steps, step_durations
+from .funnel import StepNames, funnel_by_period, funnel_durations, funnel_sessions, funnel_steps, step_durations
 from .quality import profile_event_share, profile_nulls, profile_volume
 from .retention import (
     cohort_activity,
@@ -14,6 +14,7 @@ from .retention import (
 )
 
 __all__ = [
+    "StepNames",
     "active_users",
     "cart_outcomes",
     "cart_sessions",

@@ -37,6 +37,7 @@ reuses: every sort-merge join runs once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +47,26 @@ from ..functions.quantiles import exact_percentiles
 
 DEFAULT_STEPS = ("view", "cart", "purchase")
 
-# Output names of the three-step funnel (fixed values of the published report).
-THREE_STEP_ROLES = ("view", "cart", "purchase")
-THREE_STEP_TIMES = ("viewed_at", "carted_at", "purchased_at")
-THREE_STEP_LABELS = ("View", "Cart", "Purchase")
 
+class StepNames(NamedTuple):
+    """Names of a funnel's steps in the reports: role (column suffix), time column, label."""
 
-def step_roles(n: int) -> tuple[str, ...]:
-    return THREE_STEP_ROLES if n == 3 else tuple(f"step{i}" for i in range(1, n + 1))
+    roles: tuple[str, ...]
+    times: tuple[str, ...]
+    labels: tuple[str, ...]
 
+    @classmethod
+    def of(cls, steps: Sequence[str]) -> StepNames:
+        """The published names for the published steps, else names made from the event types."""
+        if tuple(steps) == DEFAULT_STEPS:
+            return PUBLISHED
+        return cls(tuple(steps), tuple(f"{s}_at" for s in steps), tuple(steps))
 
-def step_time_columns(n: int) -> tuple[str, ...]:
-    return THREE_STEP_TIMES if n == 3 else tuple(f"step{i}_at" for i in range(1, n + 1))
+
+# Output names of the published report (fixed values), for its own steps only.
+PUBLISHED = StepNames(
+    roles=("view", "cart", "purchase"), times=("viewed_at", "carted_at", "purchased_at"), labels=("View", "Cart", "Purchase")
+)
 
 
 def funnel_sessions(
@@ -67,13 +76,15 @@ def funnel_sessions(
     session: str = "user_session",
     time: str = "event_time",
     event_type: str = "event_type",
-    time_columns: Sequence[str] | None = None,
+    names: StepNames | None = None,
     skew_split: bool = True,
 ) -> DataFrame:
     """One row per session that reached step 1: ``session, t_1, ..., t_n``.
 
-    ``t_k`` is NULL when the session stopped before step k. Output columns are
-    ``viewed_at, carted_at, purchased_at`` for a three-step funnel.
+    ``t_k`` is NULL when the session stopped before step k. The time columns are
+    ``names.times``: ``viewed_at, carted_at, purchased_at`` for the published steps,
+    ``<event type>_at`` for others unless ``names`` says otherwise. Pass the same
+    ``names`` to the reports below.
 
     ``skew_split=False`` joins on the session alone: use it on input already
     bucketed by session (no session dominating), where events are then never
@@ -84,8 +95,8 @@ def funnel_sessions(
     steps = list(steps)
     if len(steps) < 2:
         raise ValueError("a funnel needs at least two steps")
-    names = list(time_columns or step_time_columns(len(steps)))
-    if len(names) != len(steps):
+    names = list((names or StepNames.of(steps)).times)
+    if len(names) != len(steps) or len(set(names)) != len(names):
         raise ValueError("one time column name per step is required")
 
     def step_events(k: int) -> DataFrame:
@@ -137,7 +148,7 @@ def funnel_steps(
     sessions: DataFrame,
     labels: Sequence[str] | None = None,
     *,
-    time_columns: Sequence[str] | None = None,
+    names: StepNames = PUBLISHED,
 ) -> DataFrame:
     """Funnel in long form with conversion and losses (one row per step).
 
@@ -149,10 +160,9 @@ def funnel_steps(
     row after the merge); conversions are computed on that single row and then
     unpivoted, so no window or sort runs over data.
     """
-    names = list(time_columns or _time_columns_of(sessions))
-    n = len(names)
-    labels = list(labels or (THREE_STEP_LABELS if n == 3 else [f"Step {i}" for i in range(1, n + 1)]))
-    totals = sessions.agg(*[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(names)])
+    n = len(names.times)
+    labels = list(labels or names.labels)
+    totals = sessions.agg(*[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(names.times)])
 
     def hundred_times(num: str, den: str) -> str:
         return f"round(100.0 * ({num}) / nullif({den}, 0), 2)"
@@ -173,7 +183,7 @@ def funnel_by_period(
     sessions: DataFrame,
     grain: str = "month",
     *,
-    time_columns: Sequence[str] | None = None,
+    names: StepNames = PUBLISHED,
 ) -> DataFrame:
     """Funnel per period of the step-1 event (entry period): month, ISO week or day.
 
@@ -183,15 +193,14 @@ def funnel_by_period(
     cr_cart_to_purchase_pct, cr_macro_pct`` (``week``/``day`` grains name the
     first two columns ``week, week_label`` / ``day, day_label``).
     """
-    names = list(time_columns or _time_columns_of(sessions))
-    roles = step_roles(len(names))
-    entered = F.col(names[0])
+    roles, times = names.roles, names.times
+    entered = F.col(times[0])
     period, label = {
         "month": (month_start(entered), month_label(entered)),
         "week": (week_start(entered), F.date_format(week_start(entered), "yyyy-MM-dd")),
         "day": (F.to_date(entered), F.date_format(entered, "yyyy-MM-dd")),
     }[grain]
-    counts = [F.count(F.col(c)).alias(f"sessions_{r}") for c, r in zip(names, roles)]
+    counts = [F.count(F.col(c)).alias(f"sessions_{r}") for c, r in zip(times, roles)]
     grouped = sessions.groupBy(period.alias(grain), label.alias(f"{grain}_label")).agg(*counts)
     ratios: list[Column] = [
         pct(f"sessions_{roles[i + 1]}", f"sessions_{roles[i]}").alias(f"cr_{roles[i]}_to_{roles[i + 1]}_pct")
@@ -205,21 +214,20 @@ def step_durations(
     sessions: DataFrame,
     *,
     session: str = "user_session",
-    time_columns: Sequence[str] | None = None,
+    names: StepNames = PUBLISHED,
 ) -> DataFrame:
     """Seconds between consecutive steps and in total, per session that reached step 2.
 
     Three-step columns: ``sec_view_to_cart, sec_cart_to_purchase, sec_total``
     (decimal seconds with microsecond precision; NULL when the step was not reached).
     """
-    names = list(time_columns or _time_columns_of(sessions))
-    roles = step_roles(len(names))
+    roles, times = names.roles, names.times
     cols = [
-        seconds_between(names[i], names[i + 1]).alias(f"sec_{roles[i]}_to_{roles[i + 1]}")
-        for i in range(len(names) - 1)
+        seconds_between(times[i], times[i + 1]).alias(f"sec_{roles[i]}_to_{roles[i + 1]}")
+        for i in range(len(times) - 1)
     ]
-    cols.append(seconds_between(names[0], names[-1]).alias("sec_total"))
-    return sessions.where(F.col(names[1]).isNotNull()).select(session, *cols)
+    cols.append(seconds_between(times[0], times[-1]).alias("sec_total"))
+    return sessions.where(F.col(times[1]).isNotNull()).select(session, *cols)
 
 
 def funnel_durations(
@@ -227,7 +235,7 @@ def funnel_durations(
     probs: Sequence[float] = (0.5, 0.9),
     *,
     session: str = "user_session",
-    time_columns: Sequence[str] | None = None,
+    names: StepNames = PUBLISHED,
 ) -> DataFrame:
     """One-row summary of step durations with exact interpolated percentiles.
 
@@ -238,10 +246,9 @@ def funnel_durations(
     step-to-step gap (0.5 is named ``median``, others ``p<percent>``); the total
     duration is reported as its median.
     """
-    names = list(time_columns or _time_columns_of(sessions))
-    roles = step_roles(len(names))
-    durations = step_durations(sessions, session=session, time_columns=names)
-    gaps = [f"sec_{roles[i]}_to_{roles[i + 1]}" for i in range(len(names) - 1)]
+    roles = names.roles
+    durations = step_durations(sessions, session=session, names=names)
+    gaps = [f"sec_{roles[i]}_to_{roles[i + 1]}" for i in range(len(roles) - 1)]
 
     def level(p: float) -> str:
         return "median" if p == 0.5 else f"p{100 * p:g}".replace(".", "_")
@@ -256,10 +263,3 @@ def funnel_durations(
     if len(gaps) > 1:
         counts.append(F.col(f"n_{gaps[-1]}").alias(f"sessions_with_{roles[-1]}"))
     return quantiles.select(*counts, *[F.round(F.col(a).cast("decimal(38,6)"), 1).alias(a) for a, _, _ in targets])
-
-
-def _time_columns_of(sessions: DataFrame) -> list[str]:
-    cols = [c for c in sessions.columns if c.endswith("_at")]
-    if len(cols) < 2:
-        raise ValueError("pass time_columns: cannot find the step time columns")
-    return cols

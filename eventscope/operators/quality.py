@@ -25,13 +25,18 @@ def profile_volume(
     An empty input still returns one row (counts 0, days NULL). ``approx_rsd``
     estimates the user and session counts with HyperLogLog++ instead.
     """
-    return events.agg(
-        F.count(F.lit(1)).alias("total_events"),
-        distinct_count(user, approx_rsd).alias("unique_users"),
-        distinct_count(session, approx_rsd).alias("unique_sessions"),
-        F.to_date(F.min(F.col(time))).alias("first_day"),
-        F.to_date(F.max(F.col(time))).alias("last_day"),
-        F.countDistinct(month_start(time)).alias("months_covered"),
+    # Counts per user, session and month first (combined on the map side): the
+    # three distinct counts then work on these rows, not on the events.
+    base = events.groupBy(F.col(user).alias("_user"), F.col(session).alias("_session"), month_start(time).alias("_month")).agg(
+        F.count(F.lit(1)).alias("_events"), F.min(F.col(time)).alias("_first"), F.max(F.col(time)).alias("_last")
+    )
+    return base.agg(
+        F.coalesce(F.sum("_events"), F.lit(0).cast("bigint")).alias("total_events"),
+        distinct_count("_user", approx_rsd).alias("unique_users"),
+        distinct_count("_session", approx_rsd).alias("unique_sessions"),
+        F.to_date(F.min("_first")).alias("first_day"),
+        F.to_date(F.max("_last")).alias("last_day"),
+        F.countDistinct("_month").alias("months_covered"),
     )
 
 

@@ -132,3 +132,31 @@ def test_approximate_distinct_counts_are_close(spark):
     v, a = profile_volume(ev).first(), profile_volume(ev, approx_rsd=0.01).first()
     assert abs(a["unique_users"] - v["unique_users"]) <= 0.05 * v["unique_users"]
     assert a["total_events"] == v["total_events"]
+
+
+def test_null_periods_come_last(spark):
+    rows = [(dt.datetime(2024, 1, d), "view", 1, u, "s") for d, u in [(1, 1), (2, 1), (2, 2), (9, 1)]] + [(None, "view", 1, u, "s") for u in range(5)]
+    events = events_df(spark, rows)
+    daily = [(r["activity_date"], r["dau"], r["dau_7d_moving_avg"]) for r in as_dicts(daily_report(events))]
+    assert daily == [(dt.date(2024, 1, 1), 1, 1), (dt.date(2024, 1, 2), 2, 2), (dt.date(2024, 1, 9), 1, 1), (None, 5, 2)]
+    weekly = [(r["week_start"], r["wau"], r["wau_diff"], r["wau_growth_pct"]) for r in as_dicts(weekly_report(events))]
+    assert weekly == [(dt.date(2024, 1, 1), 2, None, None), (dt.date(2024, 1, 8), 1, -1, Decimal("-50.00")), (None, 5, 4, Decimal("400.00"))]
+    filled = [(r["activity_date"], r["dau"]) for r in as_dicts(daily_report(events, fill_missing_days=True))]
+    assert len(filled) == 10 and filled[-1] == (None, 5) and filled[4] == (dt.date(2024, 1, 5), 0)
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_reports_read_the_events_once(spark, tmp_path, session_events):
+    from eventscope.operators import profile_volume
+
+    session_events.write.parquet(str(tmp_path / "ev"))
+    events = spark.read.parquet(str(tmp_path / "ev"))
+    for report in (monthly_report(events), daily_report(events, fill_missing_days=True), profile_volume(events)):
+        assert _final_plan(report).count("FileScan parquet") == 1
+    # distinct counts copy rows only after the first aggregate
+    plan = _final_plan(profile_volume(events))
+    assert plan.index("Expand") < plan.index("HashAggregate", plan.index("Expand")) < plan.index("FileScan")

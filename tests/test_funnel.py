@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from eventscope.operators import funnel_by_period, funnel_durations, funnel_sessions, funnel_steps, step_durations
+from eventscope.operators import StepNames, funnel_by_period, funnel_durations, funnel_sessions, funnel_steps, step_durations
 
 from .conftest import as_dicts
 
@@ -77,7 +77,7 @@ def test_n_step_funnel_and_empty(session_events):
     two = funnel_sessions(session_events, ("view", "purchase"))
     rows = {r["user_session"]: r for r in as_dicts(two)}
     # purchase strictly after the first view (no cart needed in a two-step funnel)
-    assert sorted(k for k, r in rows.items() if r["step2_at"] is not None) == ["A", "E", "F", "J"]
+    assert sorted(k for k, r in rows.items() if r["purchase_at"] is not None) == ["A", "E", "F", "J"]
     empty = funnel_sessions(session_events.where("false"))
     assert empty.count() == 0
     totals = as_dicts(funnel_steps(empty))
@@ -95,10 +95,24 @@ def test_plan_has_no_window_and_pushes_filters(session_events, tmp_path, spark):
 
 def test_two_step_durations(session_events):
     fs = funnel_sessions(session_events, ("view", "purchase"))
-    r = as_dicts(funnel_durations(fs))[0]
+    names = StepNames.of(("view", "purchase"))
+    r = as_dicts(funnel_durations(fs, names=names))[0]
     # A 300 s, E 60 s, F 60 s, J 210 s
-    assert r == {"sessions_with_step2": 4, "median_sec_step1_to_step2": Decimal("135.0"),
-                 "p90_sec_step1_to_step2": Decimal("273.0"), "median_sec_total": Decimal("135.0")}
+    assert r == {"sessions_with_purchase": 4, "median_sec_view_to_purchase": Decimal("135.0"),
+                 "p90_sec_view_to_purchase": Decimal("273.0"), "median_sec_total": Decimal("135.0")}
+    assert [x["step_name"] for x in as_dicts(funnel_steps(fs, names=names))] == ["view", "purchase"]
+
+
+def test_names_follow_the_steps_and_extra_columns_do_not_matter(session_events):
+    steps = ("view", "cart", "remove_from_cart")
+    names = StepNames.of(steps)
+    fs = funnel_sessions(session_events, steps).withColumn("loaded_at", F.lit("x"))
+    assert list(names.times) == ["view_at", "cart_at", "remove_from_cart_at"]
+    out = as_dicts(funnel_steps(fs, names=names))
+    assert [(r["step_name"], r["sessions"]) for r in out] == [("view", 9), ("cart", 6), ("remove_from_cart", 2)]
+    own = StepNames(("a", "b", "c"), ("t1", "t2", "t3"), ("A", "B", "C"))
+    renamed = funnel_by_period(funnel_sessions(session_events, steps, names=own), names=own)
+    assert "cr_a_to_b_pct" in renamed.columns and "sessions_c" in renamed.columns
 
 
 def test_events_with_unknown_time_are_ignored(spark):
@@ -143,10 +157,8 @@ def test_durations_reuse_the_funnel(session_events, tmp_path, spark):
         final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # both percentile passes read the same funnel: one scan per step, one join per step
+    # every level of the percentiles reads the same funnel: one scan per step, one join per step
     assert final.count("FileScan parquet") == 3 and final.count("SortMergeJoin") == 2
-    # the only broadcast is the per-percentile target table
-    assert final.count("BroadcastHashJoin") == 1
 
 
 def test_funnel_by_week_and_day(session_events):
