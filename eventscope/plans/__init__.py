@@ -1,19 +1,19 @@
 """Session settings and multi-report plans."""
 
-from .reports import FunnelReports, RetentionReports, cart_report, materialize, write_reports
-from .session import SCALE_CONF, build_session, configure, ensure_checkpoint_dir
+from .reports import FunnelReports, RetentionReports, Shared, cart_report, write_reports
+from .session import SCALE_CONF, build_session, configure, work_folder
 from .suite import report_builders, run_suite
 
 __all__ = [
     "SCALE_CONF",
     "FunnelReports",
     "RetentionReports",
+    "Shared",
     "build_session",
     "cart_report",
     "configure",
-    "ensure_checkpoint_dir",
-    "materialize",
     "report_builders",
     "run_suite",
+    "work_folder",
     "write_reports",
 ]

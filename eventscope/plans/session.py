@@ -7,16 +7,12 @@
   ``forceOptimizeSkewedJoin`` lets AQE split a hot session's partition even
   though the split adds an exchange before that (partial, hence small)
   aggregate.
-* The checkpoint directory is read from ``spark.checkpoint.dir``; a local one
-  is only created for a ``local[...]`` master (tests, local runs). On a cluster
-  an unset folder is an error rather than a machine-local fallback.
+* Intermediate tables go to ``spark.checkpoint.dir`` (or a folder passed in); an
+  unset folder is an error, never a machine-local fallback.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SCALE_CONF = {
@@ -49,16 +45,9 @@ def build_session(master: str | None = None, app_name: str = "eventscope",
     return configure(spark)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
-    sc = spark.sparkContext
-    existing = sc.getCheckpointDir()
-    if existing:
-        return existing
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+def work_folder(spark: SparkSession, work_dir: str | None = None) -> str:
+    """The shared folder for intermediate tables: ``work_dir``, else ``spark.checkpoint.dir``; unset is an error."""
+    path = work_dir or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
-        path = tempfile.mkdtemp(prefix="eventscope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+        raise ValueError("set spark.checkpoint.dir to a folder on shared storage, or pass work_dir")
+    return path.rstrip("/")

@@ -9,8 +9,8 @@ writes one Parquet folder per report:
 * block 3 (cohorts): ``retention_pct``, ``retention_users``, ``retention_long``, ``retention_curve``
   (plus ``retention_curve_row_fanout`` for parity with the published arithmetic).
 
-The per-session funnel table and the cohort activity table are checkpointed
-once (shared folder) and every report of their block reads them.
+The per-session funnel table and the cohort activity table are written once to
+the shared folder and every report of their block reads them.
 """
 
 from __future__ import annotations
@@ -25,24 +25,26 @@ from ..operators.quality import DEFAULT_NULL_COLUMNS, profile_event_share, profi
 from .reports import FunnelReports, RetentionReports, cart_report, write_reports
 
 
-def report_builders(events: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """Report builders by name; the shared intermediates are materialised lazily,
-    once, also when reports are built from several threads."""
-    shared: dict[str, object] = {}
-    lock = threading.Lock()
+class _Once:
+    """Values made on first use, each under its own lock, so that different ones are made at the same time."""
 
-    def once(key: str, make: Callable[[], object]) -> object:
-        with lock:
-            if key not in shared:
-                shared[key] = make()
-            return shared[key]
+    def __init__(self, **makers: Callable[[], object]) -> None:
+        self._makers = makers
+        self._locks = {key: threading.Lock() for key in makers}
+        self.made: dict[str, object] = {}
 
-    def funnel() -> FunnelReports:
-        return once("funnel", lambda: FunnelReports(events))  # type: ignore[return-value]
+    def __call__(self, key: str) -> object:
+        with self._locks[key]:
+            if key not in self.made:
+                self.made[key] = self._makers[key]()
+            return self.made[key]
 
-    def cohorts() -> RetentionReports:
-        return once("cohorts", lambda: RetentionReports(events))  # type: ignore[return-value]
 
+def report_builders(events: DataFrame, work_dir: str | None = None, shared: _Once | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """Report builders by name; the two intermediate tables are written on first use,
+    once each, also when reports are built from several threads."""
+    shared = shared or shared_tables(events, work_dir)
+    funnel, cohorts = lambda: shared("funnel"), lambda: shared("cohorts")
     return {
         "volume": lambda: profile_volume(events),
         "event_share": lambda: profile_event_share(events),
@@ -62,9 +64,21 @@ def report_builders(events: DataFrame) -> dict[str, Callable[[], DataFrame]]:
     }
 
 
-def run_suite(events: DataFrame, out_dir: str, mode: str = "overwrite", parallelism: int = 4) -> list[str]:
+def shared_tables(events: DataFrame, work_dir: str | None = None) -> _Once:
+    return _Once(
+        funnel=lambda: FunnelReports(events, work_dir=work_dir), cohorts=lambda: RetentionReports(events, work_dir=work_dir)
+    )
+
+
+def run_suite(events: DataFrame, out_dir: str, mode: str = "overwrite", parallelism: int = 4, work_dir: str | None = None) -> list[str]:
     """Compute every report and write it under ``out_dir/<name>``; returns the paths.
 
-    ``parallelism`` report jobs run at once (see :func:`write_reports`).
+    ``parallelism`` report jobs run at once (see :func:`write_reports`). The
+    intermediate tables are deleted when all reports are written.
     """
-    return write_reports(report_builders(events), out_dir, mode, parallelism)
+    shared = shared_tables(events, work_dir)
+    try:
+        return write_reports(report_builders(events, work_dir, shared), out_dir, mode, parallelism)
+    finally:
+        for reports in shared.made.values():
+            reports.shared.clean()

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import shutil
 import sys
+import tempfile
 import time
 from decimal import Decimal
 
@@ -26,17 +28,21 @@ SF001 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    shared = tempfile.mkdtemp(prefix="shared-")
     session = (
         SparkSession.builder.master("local[*]")
         .appName("eventscope-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", shared)
+        .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     configure(session)
     yield session
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 def ts(day: str, clock: str) -> dt.datetime:

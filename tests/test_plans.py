@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+
+import pytest
+
 from eventscope.operators import cohort_activity, funnel_sessions, funnel_steps, retention_long
 from eventscope.plans import FunnelReports, RetentionReports, write_reports
 
@@ -40,15 +44,36 @@ def test_parallel_suite_materialises_shared_tables_once(session_events, tmp_path
     built = {"funnel": 0, "cohorts": 0}
     real_funnel, real_cohorts = suite_mod.FunnelReports, suite_mod.RetentionReports
 
-    def funnel(events):
+    # each waits for the other: they are built at the same time, not one after the other
+    both = threading.Barrier(2, timeout=60)
+
+    def funnel(events, work_dir=None):
         built["funnel"] += 1
-        return real_funnel(events)
+        both.wait()
+        return real_funnel(events, work_dir=work_dir)
 
-    def cohorts(events):
+    def cohorts(events, work_dir=None):
         built["cohorts"] += 1
-        return real_cohorts(events)
+        both.wait()
+        return real_cohorts(events, work_dir=work_dir)
 
     monkeypatch.setattr(suite_mod, "FunnelReports", funnel)
     monkeypatch.setattr(suite_mod, "RetentionReports", cohorts)
-    paths = suite_mod.run_suite(session_events, str(tmp_path / "par"), parallelism=4)
+    work = tmp_path / "work"
+    paths = suite_mod.run_suite(session_events, str(tmp_path / "par"), parallelism=15, work_dir=str(work))
     assert len(paths) == 15 and built == {"funnel": 1, "cohorts": 1}
+    assert [p for p in work.iterdir() if not p.name.endswith(".crc")] == []  # the shared tables are gone
+
+
+def test_shared_folder_is_never_invented(spark, monkeypatch):
+    from eventscope.plans import session
+
+    class Bare:
+        class sparkContext:  # noqa: N801
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_folder(Bare)
+    assert session.work_folder(Bare, "/shared/x/") == "/shared/x"
+    assert session.work_folder(spark)
