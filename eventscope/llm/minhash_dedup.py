@@ -14,7 +14,7 @@ linked if ``100 * intersection >= percent * union``.
 * Keys met once are dropped. Each node is first compared with one other node of
   its tables, the smallest; verified links form components. Only in tables that
   still hold several components are more pairs looked at, one per node and round,
-  against nodes of another component; what ``ROUNDS`` rounds leave open is
+  against nodes of another component; what ``ROUNDS`` such rounds leave open is
   compared in full (all pairs of such a table across components, as far as their
   sizes allow a link). Pairs inside a component cannot change it, so no link
   between components is lost, and a large group of copies costs one comparison
@@ -22,7 +22,8 @@ linked if ``100 * intersection >= percent * union``.
 * Verification joins the two texts of a pair and compares their full sets.
 
 Texts needed for verification are read once, picked by a bit map of fixed size,
-and kept as Parquet in the shared folder while the operator runs.
+and kept compressed as Parquet in the shared folder while the operator runs. A
+bit map of the shared table keys likewise spares most rows the second shuffle.
 
 Defined results: NULL and empty texts are components of their own; equal rows fall
 together; NULL ids are never the smallest of a component that has another id; an
@@ -32,6 +33,7 @@ empty table gives no rows; extra columns are ignored or kept (`components`'s
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,7 +49,7 @@ NGRAM = 5
 PERCENT = 80
 SIDE = 10
 ROWS = 3
-ROUNDS = 3
+ROUNDS = 1
 BITS = 1 << 25
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -124,17 +126,47 @@ def _signatures(rows: DataFrame, ngram: int) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
+def _is_set(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values % (8 * len(bits))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _table_keys(nodes: DataFrame, wanted: bytes | None = None) -> DataFrame:
+    """``node, n, key``: each node's key in every table, or only those that ``wanted`` lets through."""
+    shared = nodes.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                a, b = (part.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SIDE) for c in "ab")
+                keys = mixed(a[:, :, None] + mixed(b, 301)[:, None, :], 302).reshape(len(a), -1).view(np.int64)
+                keep = np.ones(keys.shape, bool) if shared.value is None else _is_set(np.frombuffer(shared.value, np.uint8), keys)
+                row, table = np.nonzero(keep)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column("node").take(take), part.column("n").take(take), pa.array(keys[row, table])], ["node", "n", "key"])
+
+    return nodes.select("node", "n", "a", "b").mapInArrow(run, "node long, n int, key long")
+
+
 def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``body_key, body`` of rows whose text is wanted (and of a few others)."""
+    """``body_key, body`` (compressed) of rows whose text is wanted, and of a few others."""
     shared = rows.sparkSession.sparkContext.broadcast(bit_map(wanted, "body_key", BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at = batch.column("body_key").to_numpy(zero_copy_only=False) % BITS
-            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            part = batch.filter(pa.array(_is_set(bits, batch.column("body_key").to_numpy(zero_copy_only=False))))
+            packed = pa.array([zlib.compress(t.encode(), 6) for t in part.column("body").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("body_key"), packed], ["body_key", "body"])
 
-    return rows.select("body_key", "body").mapInArrow(run, "body_key long, body string")
+    return rows.select("body_key", "body").mapInArrow(run, "body_key long, body binary")
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Compressed texts as one byte array and their offsets."""
+    texts = [zlib.decompress(x) for x in column.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> DataFrame:
@@ -145,11 +177,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts_a, texts_b = utf8(batch.column("text_a")), utf8(batch.column("text_b"))
-            for i, j in slices(texts_a[1] + texts_b[1]):
+            for i in range(0, batch.num_rows, 128):
+                j = min(i + 128, batch.num_rows)
                 sets, of = [], []
-                for raw, offs in (texts_a, texts_b):
-                    s, at = shingle_sets(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], ngram)
+                for side in ("text_a", "text_b"):
+                    s, at = shingle_sets(*_unpacked(batch.column(side).slice(i, j - i)), ngram)
                     sets.append(s)
                     of.append(np.repeat(np.arange(j - i), np.diff(at)))
                 s, pair = np.concatenate(sets), np.concatenate(of)
@@ -163,45 +195,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def _components(nodes: DataFrame, members: DataFrame, texts: DataFrame, ngram: int, percent: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _components(members: DataFrame, texts: DataFrame, ngram: int, percent: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``node, component`` of nodes that have a verified link."""
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = staged(members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub")).select(*ordered("node", "hub")).distinct())
-    tested, edges = pairs, staged(_verified(pairs, texts, ngram, percent))
-    component = connected_components(edges)
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    pairs = staged(members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub")).select(*ordered("node", "hub")))
+    tested, component = pairs, connected_components(_verified(pairs, texts, ngram, percent))
     for turn in range(ROUNDS + 1):
-        placed = members.join(component.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-            "key", "node", F.coalesce("component", "node").alias("c")
+        placed = members.join(component.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
+            "key", "node", "n", F.coalesce("component", "node").alias("c")
         )
-        mixed_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
-        still = store(placed.join(mixed_keys, F.col("key") == F.col("k")).select("key", "node", "c"))
+        # another node of the table, against which the other components are held
+        rank = F.xxhash64("node", F.lit(turn))
+        tables = placed.groupBy("key").agg(
+            F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("node", "c", "n"), rank).alias("hub")
+        ).where("lo < hi").select(F.col("key").alias("k"), F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"), F.col("hub.n").alias("hub_n"))
+        still = store(placed.join(tables, F.col("key") == F.col("k")).drop("k"))
         if still.isEmpty():
             break
         if turn < ROUNDS:
-            # a node of the table, another one each round, against which the other components are held
-            rank = F.xxhash64("node", F.lit(turn))
-            hubs = still.groupBy("key").agg(F.min_by(F.struct("node", "c"), rank).alias("h")).select(F.col("key").alias("k"), F.col("h.node").alias("hub"), F.col("h.c").alias("hub_c"))
-            found = still.join(hubs, F.col("key") == F.col("k")).where("c <> hub_c").select("node", "hub")
+            found = still.where("c <> hub_c").where(fits("n", "hub_n")).select(*ordered("node", "hub"))
         else:
-            other = still.select(F.col("key").alias("k"), F.col("node").alias("hub"), F.col("c").alias("hub_c"))
-            found = still.join(other, (F.col("key") == F.col("k")) & (F.col("c") < F.col("hub_c"))).select("node", "hub")
-        sizes = nodes.select(F.col("node").alias("s"), "n_shingles")
-        fit = (
-            found.select(*ordered("node", "hub")).distinct()
-            .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            .join(sizes.withColumnRenamed("n_shingles", "n_a"), F.col("a") == F.col("s")).drop("s")
-            .join(sizes.withColumnRenamed("n_shingles", "n_b"), F.col("b") == F.col("s")).drop("s")
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        )
+            other = still.select(F.col("key").alias("k"), F.col("node").alias("o"), F.col("c").alias("o_c"), F.col("n").alias("o_n"))
+            found = still.join(other, (F.col("key") == F.col("k")) & (F.col("c") < F.col("o_c")) & fits("n", "o_n")).select(*ordered("node", "o"))
+        fresh = found.distinct().join(tested, ["a", "b"], "left_anti")
         if turn < ROUNDS:
             # one pair per node and round
-            fit = fit.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b", F.lit(turn))).alias("b"))
-        pairs = staged(fit.select("a", "b"))
-        tested = staged(tested.unionByName(pairs))
-        more = staged(_verified(pairs, texts, ngram, percent))
-        if not more.isEmpty():
-            edges = staged(edges.unionByName(more))
-            component = connected_components(edges)
+            fresh = fresh.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        pairs = staged(fresh)
+        tested = tested.unionByName(pairs)
+        more = _verified(pairs, texts, ngram, percent)
+        # new links join components
+        at = component.select(F.col("node").alias("m"), "component")
+        lifted = more.join(at, F.col("a") == F.col("m"), "left").select("b", F.coalesce("component", "a").alias("a"))
+        lifted = lifted.join(at, F.col("b") == F.col("m"), "left").select("a", F.coalesce("component", "b").alias("b"))
+        joined = connected_components(lifted).select(F.col("node").alias("m"), F.col("component").alias("c"))
+        grown = component.join(joined, F.col("component") == F.col("m"), "left").select("node", F.coalesce("c", "component").alias("component"))
+        alone = joined.join(component.select("node"), F.col("m") == F.col("node"), "left_anti").select(F.col("m").alias("node"), F.col("c").alias("component"))
+        component = staged(grown.unionByName(alone))
     return component
 
 
@@ -216,35 +247,34 @@ def components(
     rows = docs.select(F.struct(F.col(doc_id).alias("doc")).alias("row"), F.xxhash64(body).alias("body_key"), body.alias("body"))
     with scratch(spark) as store:
         signed = store(_signatures(rows, ngram).select(F.col("row.doc").alias("doc"), "body_key", "n_shingles", "node", "guard", "a", "b"))
-        full = signed.where("node IS NOT NULL")
         clash = F.when(F.min("guard") != F.max("guard"), F.raise_error(F.lit("two shingle sets share a digest"))).otherwise(F.lit(True))
-        nodes = full.groupBy("node").agg(
-            F.min("doc").alias("doc"), F.min("body_key").alias("body_key"), F.first("n_shingles").alias("n_shingles"), clash.cast("boolean").alias("sound")
-        ).where("sound")
-        one = full.join(
-            nodes.select(F.col("node").alias("n"), F.col("body_key").alias("k")), (F.col("node") == F.col("n")) & (F.col("body_key") == F.col("k"))
-        ).groupBy("node").agg(F.first("a").alias("a"), F.first("b").alias("b"))
-        tensor = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-        keys = one.select("node", F.explode(tensor).alias("key"))
-        shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("k"), "hub")
-        members = store(keys.join(shared, F.col("key") == F.col("k")).select("key", "node", "hub"))
-        wanted = nodes.join(members.select(F.col("node").alias("n")).distinct(), F.col("node") == F.col("n")).select("node", "body_key")
-        texts = store(
-            _picked(rows, wanted).groupBy("body_key").agg(F.first("body").alias("body"))
-            .join(wanted.withColumnRenamed("body_key", "k"), F.col("body_key") == F.col("k")).select("node", "body")
+        nodes = store(
+            signed.where("node IS NOT NULL").groupBy("node").agg(
+                F.min("doc").alias("doc"), F.min("body_key").alias("body_key"), F.first("n_shingles").cast("int").alias("n"),
+                F.first("a").alias("a"), F.first("b").alias("b"), clash.cast("boolean").alias("sound"),
+            ).where("sound").drop("sound")
         )
-        component = _components(nodes, members, texts, ngram, percent, store)
-        least = staged(
-            nodes.join(component.withColumnRenamed("node", "n"), F.col("node") == F.col("n"))
-            .select("node", "component", "doc")
+        shared = store(
+            _table_keys(nodes).groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("met"))
+            .where("met > 1").select(F.col("key").alias("k"), "hub")
+        )
+        # the second pass sends only keys that may be shared; the join decides
+        again = _table_keys(nodes, bit_map(shared, "k", BITS))
+        members = store(again.join(shared, F.col("key") == F.col("k")).select("key", "node", "n", "hub"))
+        wanted = store(
+            members.select(F.col("node").alias("m")).distinct().join(nodes, F.col("node") == F.col("m")).select("node", F.col("body_key").alias("k"))
+        )
+        texts = store(
+            _picked(rows, wanted.withColumnRenamed("k", "body_key")).groupBy("body_key").agg(F.first("body").alias("body"))
+            .join(wanted, F.col("body_key") == F.col("k")).select("node", "body")
         )
-        smallest = least.groupBy("component").agg(F.min("doc").alias("component_id"))
-        of_node = least.join(smallest, "component").select(F.col("node").alias("n"), "component_id")
-        alone = nodes.select(F.col("node").alias("m"), F.col("doc").alias("own_id"))
+        component = _components(members, texts, ngram, percent, store).withColumnRenamed("node", "m")
+        least = nodes.join(component, F.col("node") == F.col("m"), "left").select("node", "doc", F.coalesce("component", "node").alias("c"))
+        smallest = least.groupBy("c").agg(F.min("doc").alias("component_id")).withColumnRenamed("c", "k")
+        of_node = least.join(smallest, F.col("c") == F.col("k")).select(F.col("node").alias("m"), "component_id")
         placed = staged(
-            signed.select("doc", "body_key", "n_shingles", "node")
-            .join(alone, F.col("node") == F.col("m"), "left").join(of_node, F.col("node") == F.col("n"), "left")
-            .select("doc", "body_key", "n_shingles", F.coalesce("component_id", "own_id", "doc").alias("component_id"))
+            signed.select("doc", "body_key", "n_shingles", "node").join(of_node, F.col("node") == F.col("m"), "left")
+            .select("doc", "body_key", "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
         )
     placed = placed.withColumn("kept", F.col("doc").eqNullSafe(F.col("component_id")))
     if keep == [doc_id]:

@@ -221,6 +221,4 @@ def read(spark: SparkSession, folder: str, *, payloads: bool = True) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    # one file at a time in a worker's hands
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return files.mapInArrow(run, schema)
