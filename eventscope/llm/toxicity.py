@@ -13,7 +13,7 @@
    The driver sees sums of fixed size only.
 3. Classifier. Logistic regression on the posterior labels of at most ``LABELLED``
    labelled rows (a label counts as one more, reliable vote) and about ``FIT_ROWS``
-   other documents picked by text hash. Its inputs are the terms and patterns of
+   other documents picked by hash. Its inputs are the terms and patterns of
    the text, nothing else. It scores whole texts, all documents.
 
 The two bounds are parameters of `train`; counts, masks and scores cover all rows.
@@ -69,9 +69,9 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return raw, starts, ends - starts, np.searchsorted(offs, starts, "right") - 1
 
 
-def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _terms(texts: list[str], words: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all terms (words and word beginnings) and the text of each."""
-    raw, starts, lengths, doc = _words(texts)
+    raw, starts, lengths, doc = words or _words(texts)
     hashes, docs = [mixed(run_hashes(raw, starts, lengths), 1)], [doc]
     for k in PREFIXES:
         longer = lengths > k
@@ -80,23 +80,24 @@ def _terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes).view(np.int64), np.concatenate(docs)
 
 
-def _patterns(texts: list[str]) -> np.ndarray:
-    """Fixed patterns, one column each."""
-    raw, starts, lengths, doc = _words(texts)
+def _patterns(texts: list[str], whole: np.ndarray, doc: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Fixed patterns, one column each; ``whole`` are the hashes of the words, in order."""
     n = len(texts)
     words = np.bincount(doc, minlength=n)
-    long_words = np.bincount(doc, weights=lengths, minlength=n)
+    letters = np.bincount(doc, weights=lengths, minlength=n)
     chars = np.array([len(t) for t in texts])
-    upper = np.array([sum(map(t.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) if t.isupper() or t[:64].isupper() else 0 for t in texts])
+    upper = np.array([sum(map(t.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) if t[:64].isupper() else 0 for t in texts])
     bang = np.array([t.count("!") for t in texts])
     ask = np.array([t.count("?") for t in texts])
-    h = run_hashes(raw, starts, lengths)
-    pair = np.unique(np.stack([doc.astype(np.int64), h.view(np.int64)]), axis=1)[0] if len(h) else np.zeros(0, np.int64)
-    kinds = np.bincount(pair, minlength=n)
+    order = np.lexsort((whole, doc))
+    h, d = whole[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    kinds = np.bincount(d[new], minlength=n)
     some = np.maximum(words, 1)
     return np.stack([
-        upper > 0.4 * np.maximum(chars, 1), bang > 0.2 * some, ask > 0.1 * some, long_words < 0.5 * chars,
-        words < 20, words > 2000, kinds < 0.3 * words, long_words > 9 * some,
+        upper > 0.4 * np.maximum(chars, 1), bang > 0.2 * some, ask > 0.1 * some, letters < 0.5 * chars,
+        words < 20, words > 2000, kinds < 0.3 * words, letters > 9 * some,
     ], axis=1)
 
 
@@ -113,29 +114,25 @@ class Model:
     bias: float = -np.inf
     voters: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """``(text, term)`` pairs of the texts, each once."""
-        if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hashes, doc = _terms(texts)
+    def inputs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(text, input)`` pairs of the texts, each once: terms they hold, then patterns they match."""
+        words = _words(texts)
+        hashes, doc = _terms(texts, words)
+        n = len(words[1])
+        pattern = np.nonzero(_patterns(texts, hashes[:n], doc[:n], words[2]))
         if not hasattr(self, "_filter"):
             self._filter = np.zeros(1 << 20, bool)
             self._filter[self.terms & (2**20 - 1)] = True
         met = self._filter[hashes & (2**20 - 1)]
         hashes, doc = hashes[met], doc[met]
         at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        right = self.terms[at] == hashes
-        pair = np.unique(doc[right] * len(self.terms) + at[right])
-        return pair // len(self.terms), pair % len(self.terms)
-
-    def inputs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As `hits`, with the patterns as further terms."""
-        doc, term = self.hits(texts)
-        pattern = np.nonzero(_patterns(texts))
+        right = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
+        pair = np.unique(doc[right] * max(len(self.terms), 1) + at[right])
+        doc, term = pair // max(len(self.terms), 1), pair % max(len(self.terms), 1)
         return np.concatenate([doc, pattern[0]]), np.concatenate([term, len(self.terms) + pattern[1]])
 
-    def masks(self, texts: list[str]) -> np.ndarray:
-        doc, term = self.inputs(texts)
+    def masks(self, texts: list[str], inputs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        doc, term = inputs or self.inputs(texts)
         voter = np.concatenate([self.lexicon, LEXICONS + np.arange(N_PATTERNS)])[term]
         out = np.zeros(len(texts), np.int64)
         np.bitwise_or.at(out, doc[voter >= 0], np.int64(1) << voter[voter >= 0])
@@ -315,15 +312,16 @@ def train(
             cut = np.searchsorted(doc[order], np.arange(1, len(texts)))
             lists = [x.astype(np.int16).tobytes() for x in np.split(term[order], cut)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(shared.value.masks(texts)), pa.array(lists, pa.binary()), part.column("toxic")], ["mask", "terms", "toxic"]
+                [pa.array(shared.value.masks(texts, (doc, term))), pa.array(lists, pa.binary()), part.column("toxic")], ["mask", "terms", "toxic"]
             )
 
-        every = docs.select(body)
-        counts = store(_batches(every, "mask long, n long", masks).groupBy("mask").agg(F.sum("n").alias("n")))
+        every = docs.select(F.col(doc_id).alias("id"), body)
+        counts = store(_batches(every.select("body"), "mask long, n long", masks).groupBy("mask").agg(F.sum("n").alias("n")))
         total = counts.agg(F.sum("n")).first()[0]
-        share = min(1.0, fit_rows / max(total, 1))
-        others = every.where(F.pmod(F.xxhash64("body", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("toxic", F.lit(None).cast("int"))
-        fit = _batches(labelled.unionByName(others.limit(2 * fit_rows)), "mask long, terms binary, toxic int", examples).collect()
+        share = int(min(1.0, fit_rows / max(total, 1)) * 1_000_000)
+        # id and text pick the row, so copies of one text are picked one by one
+        others = every.where(F.pmod(F.xxhash64("id", "body"), F.lit(1_000_000)) < share).select("body", F.lit(None).cast("int").alias("toxic"))
+        fit = _batches(labelled.unionByName(others), "mask long, terms binary, toxic int", examples).collect()
         votes = _votes(np.array([r["mask"] for r in fit], np.int64))
         known = np.array([-1 if r["toxic"] is None else r["toxic"] for r in fit])
         rate = lambda y: np.clip((votes[known == y].sum(0) + 0.5) / ((known == y).sum() + 1), 1e-4, 1 - 1e-4)
