@@ -84,8 +84,7 @@ def staged(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     held = df.persist(StorageLevel.DISK_ONLY)
     try:
-        # no more partitions than cores: what follows writes a shuffle file for each
-        return held.checkpoint(eager=True).coalesce(df.sparkSession.sparkContext.defaultParallelism)
+        return few(held.checkpoint(eager=True))
     finally:
         held.unpersist()
 
@@ -130,6 +129,12 @@ def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """At most as many partitions as cores. For tables that are small next to the input: each partition
+    writes shuffle files of its own, so a thousand near-empty ones cost more than their rows."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 JUMPS = 2
 
 
@@ -149,17 +154,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         links = staged(links.distinct())
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("up"))
+        parent = few(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("up")))
         for _ in range(JUMPS):
             above = parent.select(F.col("node").alias("n"), F.col("up").alias("top"))
-            parent = parent.join(above, F.col("up") == F.col("n")).select("node", F.col("top").alias("up"))
+            parent = few(parent.join(above, F.col("up") == F.col("n")).select("node", F.col("top").alias("up")))
         parent = staged(parent)
         root = parent.select(F.col("node").alias("n"), F.col("up").alias("r"))
         if labels is None:
             labels = parent
         else:
             labels = staged(labels.join(root, F.col("up") == F.col("n"), "left").select("node", F.coalesce("r", "up").alias("up")))
-        left = links.join(root, F.col("u") == F.col("n")).select("v", F.col("r").alias("ru"))
+        left = few(links.join(root, F.col("u") == F.col("n")).select("v", F.col("r").alias("ru")))
         left = left.join(root, F.col("v") == F.col("n")).select("ru", F.col("r").alias("rv")).where("ru <> rv")
         links = staged(left.select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")))
         if links.isEmpty():

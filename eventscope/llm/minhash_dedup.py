@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bit_map, configure, connected_components, scratch, staged
+from .common import bit_map, configure, connected_components, few, scratch, staged
 from .textops import lowered, mixed, run_hashes, slices, utf8, word_runs
 
 NGRAM = 5
@@ -173,7 +173,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> D
     """The pairs ``(a, b)`` whose full sets are similar enough."""
     left = texts.select(F.col("node").alias("node_a"), F.col("body").alias("text_a"))
     right = texts.select(F.col("node").alias("node_b"), F.col("body").alias("text_b"))
-    both = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b")).select("a", "b", "text_a", "text_b")
+    half = few(pairs.join(left, F.col("a") == F.col("node_a")).select("a", "b", "text_a"))
+    both = half.join(right, F.col("b") == F.col("node_b")).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,15 +203,15 @@ def _components(members: DataFrame, texts: DataFrame, ngram: int, percent: int,
     pairs = staged(members.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub")).select(*ordered("node", "hub")))
     tested, component = pairs, connected_components(_verified(pairs, texts, ngram, percent))
     for turn in range(ROUNDS + 1):
-        placed = members.join(component.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
+        placed = few(members.join(component.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select(
             "key", "node", "n", F.coalesce("component", "node").alias("c")
-        )
+        ))
         # another node of the table, against which the other components are held
         rank = F.xxhash64("node", F.lit(turn))
         tables = placed.groupBy("key").agg(
             F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("node", "c", "n"), rank).alias("hub")
         ).where("lo < hi").select(F.col("key").alias("k"), F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"), F.col("hub.n").alias("hub_n"))
-        still = store(placed.join(tables, F.col("key") == F.col("k")).drop("k"))
+        still = store(placed.join(few(tables), F.col("key") == F.col("k")).drop("k"))
         if still.isEmpty():
             break
         if turn < ROUNDS:
@@ -218,17 +219,19 @@ def _components(members: DataFrame, texts: DataFrame, ngram: int, percent: int,
         else:
             other = still.select(F.col("key").alias("k"), F.col("node").alias("o"), F.col("c").alias("o_c"), F.col("n").alias("o_n"))
             found = still.join(other, (F.col("key") == F.col("k")) & (F.col("c") < F.col("o_c")) & fits("n", "o_n")).select(*ordered("node", "o"))
-        fresh = found.distinct().join(tested, ["a", "b"], "left_anti")
+        fresh = few(few(found).distinct()).join(tested, ["a", "b"], "left_anti")
         if turn < ROUNDS:
             # one pair per node and round
-            fresh = fresh.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            fresh = few(fresh).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         pairs = staged(fresh)
+        if pairs.isEmpty():
+            continue
         tested = tested.unionByName(pairs)
         more = _verified(pairs, texts, ngram, percent)
         # new links join components
         at = component.select(F.col("node").alias("m"), "component")
-        lifted = more.join(at, F.col("a") == F.col("m"), "left").select("b", F.coalesce("component", "a").alias("a"))
-        lifted = lifted.join(at, F.col("b") == F.col("m"), "left").select("a", F.coalesce("component", "b").alias("b"))
+        lifted = few(more.join(at, F.col("a") == F.col("m"), "left").select("b", F.coalesce("component", "a").alias("a")))
+        lifted = few(lifted.join(at, F.col("b") == F.col("m"), "left").select("a", F.coalesce("component", "b").alias("b")))
         joined = connected_components(lifted).select(F.col("node").alias("m"), F.col("component").alias("c"))
         grown = component.join(joined, F.col("component") == F.col("m"), "left").select("node", F.coalesce("c", "component").alias("component"))
         alone = joined.join(component.select("node"), F.col("m") == F.col("node"), "left_anti").select(F.col("m").alias("node"), F.col("c").alias("component"))
