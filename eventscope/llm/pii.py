@@ -5,8 +5,24 @@ dropped without retry): ``email``, ``ip`` (parts at most 255), ``card`` (14 to 1
 digits, Luhn), ``phone`` (10 to 15 digits). The strings found are the protected
 entities.
 
-Sanitisation. Words beside an entity (up to ``CONTEXT_WORDS`` on either side, on its
-line) are its context terms. Over the whole corpus we count
+Sanitisation with ``unit="document"`` (what op8 runs). Terms are all runs of letters,
+digits and non-ASCII characters of any length, A-Z lowered, that touch no base span. Over
+the whole corpus, in documents, we count those that hold a term, an entity, and both.
+The information content of an entity is ``IC = log2(n / with_entity)``; a term discloses
+an entity if their pointwise mutual information ``log2(both * n / (with_term *
+with_entity))`` is at least ``IC + log2(min_posterior)`` (within a bit of all there is to
+know; the same as ``both / with_term >= min_posterior``) and at least ``min_pmi_bits``.
+No support is asked for and nothing depends on where in the document the term stands.
+Then all its occurrences outside base spans become spans of kind ``term``.
+
+Exact without counting every pair: a term whose documents hold entities in less than
+``min_posterior`` cannot pass. Pairs that meet in one text only are judged by that
+text's rarest entity. Pairs are formed of terms and entities that both have
+two texts or more.
+
+Sanitisation with ``unit="line"``. Words beside an entity (up to ``CONTEXT_WORDS`` on
+either side, on its line) are its context terms; the rest of the document is not looked
+at. Over the whole corpus we count
 
 * ``both``: documents in which a term stands in the entity's context,
 * ``with_term`` / ``with_entity``: documents that hold the term / the entity, of ``n``.
@@ -17,14 +33,14 @@ more often than by chance. A term discloses an entity if it does so in at least
 ``min_support`` different texts, with ``min_posterior`` and ``min_pmi_bits``; then all its
 occurrences become spans of kind ``term``, removed or generalised by `sanitise`.
 
-Three passes over the documents: base spans and contexts; document counts of
+Its three passes over the documents: base spans and contexts; document counts of
 terms that reach the support; spans of disclosing terms. Between them only term
 counts move, combined on the map side. A fixed-size bit map of the wanted terms
 (``BITS`` bits, whatever the corpus) goes to the workers as a first filter; exact
 joins on the term's hash decide.
 
-Terms are runs of letters A-Z, a-z and non-ASCII characters of 4 bytes or more,
-A-Z lowered.
+Terms of ``unit="line"`` are runs of letters A-Z, a-z and non-ASCII characters of 4 bytes
+or more, A-Z lowered.
 
 Defined results: NULL and empty texts have no spans; repeated rows each get
 theirs; an empty table gives no rows; extra columns are kept (``spans`` replaces an
@@ -61,6 +77,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 _TERM = re.compile("[A-Za-z\u0080-\U0010ffff]+")
 _IS_TERM = np.zeros(256, bool)
 _IS_TERM[0x41:0x5B] = _IS_TERM[0x61:0x7B] = _IS_TERM[0x80:] = True
+_IS_ANY_TERM = _IS_TERM.copy()
+_IS_ANY_TERM[0x30:0x3A] = True
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -128,8 +146,8 @@ def _hash64(words: list[bytes]) -> np.ndarray:
     return run_hashes(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)
 
 
-def _base(rows: DataFrame) -> DataFrame:
-    """``row, body_key, spans, pairs``: base spans, and the ``(entity, term)`` pairs of each row."""
+def _base(rows: DataFrame, unit: str) -> DataFrame:
+    """``row, body_key, spans, pairs``: base spans, and the ``(entity, term)`` pairs of each row (``line``) or its entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +159,11 @@ def _base(rows: DataFrame) -> DataFrame:
                 pairs = []
                 for t, found in zip(texts, spans, strict=True):
                     each = []
-                    for entity, terms in (_context(t, found) if found else {}).items():
+                    if unit == "document":
+                        beside = {f"{k}:{t[s:e].translate(_ASCII_LOWER)}": () for k, s, e in found}
+                    else:
+                        beside = _context(t, found) if found else {}
+                    for entity, terms in beside.items():
                         each += [{"entity": entity, "term": h} for h in _hash64(sorted(terms)).view(np.int64).tolist()] if terms else []
                         each.append({"entity": entity, "term": None})
                     pairs.append(each)
@@ -166,9 +188,11 @@ _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 _PAIRS_ARROW = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64())]))
 
 
-def _terms_of(raw: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _terms_of(
+    raw: np.ndarray, offsets: np.ndarray, bits: np.ndarray | None, letters: np.ndarray = _IS_TERM, least: int = MIN_TERM_BYTES,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts, byte ends and hashes of the terms that the bit map lets through."""
-    inside = _IS_TERM[raw]
+    inside = letters[raw]
     before = np.concatenate([[False], inside[:-1]])
     head = offsets[:-1][offsets[:-1] < len(raw)]
     before[head] = False
@@ -177,14 +201,83 @@ def _terms_of(raw: np.ndarray, offsets: np.ndarray, bits: np.ndarray) -> tuple[n
     last = offsets[1:] - 1
     after[last[last >= 0]] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    big = ends - starts >= MIN_TERM_BYTES
+    big = ends - starts >= least
     starts, ends = starts[big], ends[big]
     hashes = run_hashes(lowered(raw), starts, ends - starts).view(np.int64)
+    if bits is None:
+        return starts, ends, hashes
     at = hashes % BITS
     passed = (bits[at >> 3] >> (at & 7)) & 1 == 1
     return starts[passed], ends[passed], hashes[passed]
 
 
+def _terms_outside(
+    texts: list[str], raw: np.ndarray, offsets: np.ndarray, bits: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`_terms_of` for terms of any length, without those that touch a base span; and which texts hold an entity."""
+    starts, ends, hashes = _terms_of(raw, offsets, bits, _IS_ANY_TERM, 1)
+    holds, edge = np.zeros(len(texts), bool), np.zeros(len(raw) + 1, np.int32)
+    for k, text in enumerate(texts):
+        found = base_spans(text)
+        if found:
+            holds[k] = True
+            body = raw[offsets[k] : offsets[k + 1]]
+            points = offsets[k] + np.append(np.flatnonzero((body & 0xC0) != 0x80), len(body))
+            np.add.at(edge, points[[s for _, s, _ in found]], 1)
+            np.add.at(edge, points[[e for _, _, e in found]], -1)
+    if holds.any():
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+        free = covered[starts] == covered[ends]
+        starts, ends, hashes = starts[free], ends[free], hashes[free]
+    return starts, ends, hashes, holds
+
+
+def _candidates(rows: DataFrame, min_posterior: float) -> DataFrame:
+    """``term, with_term``: rows that hold each term, for terms whose rows hold entities often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = utf8(batch.column("body"))
+            for i, j in slices(offs):
+                at = offs[i : j + 1] - offs[i]
+                texts = batch.column("body").slice(i, j - i).to_pylist()
+                starts, _, hashes, holds = _terms_outside(texts, raw[offs[i] : offs[j]], at, None)
+                owner = np.searchsorted(at, starts, "right") - 1
+                order = np.lexsort((owner, hashes))
+                owner, hashes = owner[order], hashes[order]
+                new = np.ones(len(hashes), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                owner, hashes = owner[new], hashes[new]
+                term, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                near = np.add.reduceat(holds[owner].astype(np.int64), first) if len(first) else n
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64()), pa.array(near, pa.int64())], ["term", "n", "near"])
+
+    counts = rows.select("body").mapInArrow(run, "term long, n long, near long").groupBy("term").agg(F.sum("n").alias("with_term"), F.sum("near").alias("near"))
+    return counts.where((F.col("near") > 0) & (F.col("near") >= min_posterior * F.col("with_term"))).select("term", "with_term")
+
+
+def _disclosing(hits: DataFrame, counts: DataFrame, entities: DataFrame, n: int, min_posterior: float, min_pmi_bits: float) -> DataFrame:
+    """``term``: terms that disclose an entity, from the texts' ``hits`` and ``entities`` (``body_key, entity``, one a row)."""
+    per_text = entities.groupBy("body_key", "entity").agg(F.count(F.lit(1)).alias("m"))
+    each = per_text.groupBy("entity").agg(F.sum("m").alias("with_entity"), F.count(F.lit(1)).alias("texts"))
+    known = staged(per_text.select("body_key", "entity").join(each, "entity"))
+
+    def discloses(both: str, with_entity: str) -> Column:
+        pmi = F.log2(F.col(both) * F.lit(float(n)) / (F.col("with_term") * F.col(with_entity)))
+        return (F.col(both) >= min_posterior * F.col("with_term")) & (pmi >= min_pmi_bits)
+
+    held = hits.where("near").select("body_key", "m", F.explode(F.array_distinct("hits.term")).alias("term")).join(counts, "term")
+    held = staged(held)
+    rarest = known.groupBy("body_key").agg(F.min("with_entity").alias("least"))
+    # a pair that meets in one text: its rows are those of the text, and the rarest entity has the most information
+    alone = staged(held.join(rarest, "body_key").where(discloses("m", "least")).select("term").distinct())
+    often = held.groupBy("term").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("term")
+    rest = held.join(often, "term", "left_semi").join(alone, "term", "left_anti")
+    met = rest.join(known.where("texts > 1"), "body_key").where(F.col("with_entity") >= min_posterior * F.col("with_term"))
+    both = met.groupBy("entity", "term", "with_term", "with_entity").agg(F.sum("m").alias("both"))
+    return alone.unionByName(both.where(discloses("both", "with_entity")).select("term").distinct())
+
+
 def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``term, with_term``: rows that hold each wanted term."""
     wanted_bits = bit_map(wanted, "term", BITS)
@@ -206,11 +299,13 @@ def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("body").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
 
 
-def _term_spans(rows: DataFrame, flagged: DataFrame) -> DataFrame:
-    """``body_key, terms``: spans of flagged terms, for each text that holds one."""
-    wanted_bits = bit_map(flagged, "term", BITS)
+def _hits(rows: DataFrame, wanted: DataFrame, unit: str) -> DataFrame:
+    """``body_key, hits, m, near``: where wanted terms stand, for each text that holds one; ``m`` rows have the text,
+    ``near`` tells whether it holds an entity (``document``)."""
+    wanted_bits = bit_map(wanted, "term", BITS)
+    schema = "body_key string, near boolean, hits array<struct<term:long,start:long,end:long>>"
     if not any(wanted_bits):
-        return flagged.select(F.lit("").alias("body_key"), F.array().cast(T.ArrayType(_SPAN)).alias("terms")).where(F.lit(False))
+        return rows.sparkSession.createDataFrame([], schema + ", m long")
     shared = rows.sparkSession.sparkContext.broadcast(wanted_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +314,10 @@ def _term_spans(rows: DataFrame, flagged: DataFrame) -> DataFrame:
             raw, offs = utf8(batch.column("body"))
             for i, j in slices(offs):
                 body, at = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                starts, ends, hashes = _terms_of(body, at, bits)
+                if unit == "document":
+                    starts, ends, hashes, holds = _terms_outside(batch.column("body").slice(i, j - i).to_pylist(), body, at, bits)
+                else:
+                    (starts, ends, hashes), holds = _terms_of(body, at, bits), np.zeros(j - i, bool)
                 owner = np.searchsorted(at, starts, "right") - 1
                 points = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])
                 base = points[at[:-1]][owner]
@@ -233,21 +331,28 @@ def _term_spans(rows: DataFrame, flagged: DataFrame) -> DataFrame:
                         ["term", "start", "end"],
                     ),
                 )
-                yield pa.RecordBatch.from_arrays([keys, hits], ["body_key", "hits"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(holds[held]), hits], ["body_key", "near", "hits"])
 
-    found = rows.mapInArrow(run, "body_key string, hits array<struct<term:long,start:long,end:long>>")
+    found = rows.mapInArrow(run, schema)
     # equal texts have equal hits, so one list per text is enough
-    hits = found.groupBy("body_key").agg(F.first("hits").alias("hits")).selectExpr("body_key", "inline(hits)")
-    exact = hits.join(flagged.select("term"), "term")
+    return found.groupBy("body_key").agg(F.first("near").alias("near"), F.first("hits").alias("hits"), F.count(F.lit(1)).alias("m"))
+
+
+def _term_spans(hits: DataFrame, flagged: DataFrame) -> DataFrame:
+    """``body_key, terms``: spans of flagged terms, for each text that holds one."""
+    exact = hits.selectExpr("body_key", "inline(hits)").join(flagged.select("term"), "term")
     span = F.struct(F.lit("term").alias("kind"), "start", "end")
     return exact.groupBy("body_key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def find(
-    docs: DataFrame, *, keep: list[str] | None = None, text: str = "text",
+    docs: DataFrame, *, keep: list[str] | None = None, text: str = "text", unit: str = "line",
     min_support: int = 3, min_posterior: float = 0.5, min_pmi_bits: float = 1.0,
 ) -> DataFrame:
-    """Columns ``keep`` (default all) of ``docs`` plus ``spans array<struct<kind, start, end>>`` in order of start."""
+    """Columns ``keep`` (default all) of ``docs`` plus ``spans array<struct<kind, start, end>>`` in order of start.
+
+    ``unit``: whole documents (``"document"``) or the words beside an entity (``"line"``, with ``min_support``) are its context.
+    """
     configure(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
     body = F.coalesce(F.col(text), F.lit(""))
@@ -257,28 +362,35 @@ def find(
         F.concat_ws(".", F.hex(F.xxhash64(body)), F.hex(F.xxhash64(F.lit(1), body))).alias("body_key"),
     )
     texts = rows.select("body", "body_key")
-    base = _base(rows)
+    base = _base(rows, unit)
     if text in keep:  # texts stay where they are: the short columns alone are kept for the second use
-        slim = _base(texts.withColumn("row", F.struct(F.lit(0).alias("z"))))
+        slim = _base(texts.withColumn("row", F.struct(F.lit(0).alias("z"))), unit)
         pairs = staged(slim.where(F.size("pairs") > 0).selectExpr("body_key", "inline(pairs)"))
     else:
         base = staged(base)
         pairs = base.selectExpr("body_key", "inline(pairs)")
     n = docs.count()
-    with_entity = pairs.where("term IS NULL").groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    support = pairs.where("term IS NOT NULL").groupBy("entity", "term", "body_key").agg(F.count(F.lit(1)).alias("rows"))
-    both = staged(
-        support.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_support)
-    )
-    counts = _document_counts(texts, both.select("term").distinct())
-    judged = both.join(counts, "term").join(with_entity, "entity")
-    flagged = staged(
-        judged.where(
-            (F.col("both") >= min_posterior * F.col("with_term"))
-            & (F.log2(F.col("both") * F.lit(float(n)) / (F.col("with_term") * F.col("with_entity"))) >= min_pmi_bits)
-        ).select("term").distinct()
-    )
-    terms = _term_spans(texts, flagged)
+    if unit == "document":
+        counts = staged(_candidates(texts, min_posterior))
+        hits = staged(_hits(texts, counts, unit))
+        entities = pairs.where("term IS NULL").select("body_key", "entity")
+        flagged = staged(_disclosing(hits, counts, entities, n, min_posterior, min_pmi_bits))
+    else:
+        with_entity = pairs.where("term IS NULL").groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+        support = pairs.where("term IS NOT NULL").groupBy("entity", "term", "body_key").agg(F.count(F.lit(1)).alias("rows"))
+        both = staged(
+            support.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_support)
+        )
+        counts = _document_counts(texts, both.select("term").distinct())
+        judged = both.join(counts, "term").join(with_entity, "entity")
+        flagged = staged(
+            judged.where(
+                (F.col("both") >= min_posterior * F.col("with_term"))
+                & (F.log2(F.col("both") * F.lit(float(n)) / (F.col("with_term") * F.col("with_entity"))) >= min_pmi_bits)
+            ).select("term").distinct()
+        )
+        hits = _hits(texts, flagged, unit)
+    terms = _term_spans(hits, flagged)
     order = F.array_sort(
         F.transform(
             F.concat("spans", F.coalesce("terms", F.array().cast(T.ArrayType(_SPAN)))),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -81,6 +83,39 @@ def test_terms_that_disclose_an_entity(docs):
     assert pii.find(docs(rows).where("doc_id > 200")).collect() == []
 
 
+def test_terms_of_whole_documents_disclose_an_entity(docs):
+    common = "the notes of Kim go to 12 at the office\n"
+    rows = [(i, common) for i in range(20)]
+    rows += [(30, common + "Ann Lee 00471\nöann@y.org"), (31, common + "zanzibar joe@x.org"), (32, common + "joe@x.org or 10.0.0.1 zanzibar")]
+    rows += [(33, "Lee " + common), (34, "zanzibar"), (35, "quiet " + common), (36, None), (37, "lee lee")]
+    rows += [(40 + i, f"copper {i % 2} +49 (0)30 1234567") for i in range(4)]
+    got = {r.doc_id: r.spans for r in pii.find(docs(rows), unit="document").collect()}
+    text = dict(rows)
+
+    # every pair of term and entity, counted one by one
+    held, named = {}, {}
+    for i, t in rows:
+        base = brute.pii_spans(t or "")
+        runs = [m for m in re.finditer("[A-Za-z0-9\u0080-\U0010ffff]+", t or "") if not any(s < m.end() and m.start() < e for _, s, e in base)]
+        for m in runs:
+            held.setdefault(m.group().lower(), set()).add(i)
+        for k, s, e in base:
+            named.setdefault((k, t[s:e].lower()), set()).add(i)
+    bad = {
+        w for w, a in held.items() for b in named.values()
+        if len(a & b) >= 0.5 * len(a) and math.log2(max(len(a & b), 1e-9) * len(rows) / (len(a) * len(b))) >= 1
+    }
+    assert {"ann", "00471", "zanzibar", "copper", "or"} <= bad and not bad & {"the", "kim", "12", "at", "lee", "quiet"}
+    for i, spans in got.items():
+        terms = [(s.start, s.end) for s in spans if s.kind == "term"]
+        base = brute.pii_spans(text[i] or "")
+        assert [(s.kind, s.start, s.end) for s in spans if s.kind != "term"] == base
+        assert terms == [
+            m.span() for m in re.finditer("[A-Za-z0-9\u0080-\U0010ffff]+", text[i] or "")
+            if m.group().lower() in bad and not any(s < m.end() and m.start() < e for _, s, e in base)
+        ]
+
+
 def toxic_rows(n, seed):
     rnd = random.Random(seed)
     words = ["".join(rnd.choice("abdeghilmnorst") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
