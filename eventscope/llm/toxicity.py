@@ -80,13 +80,21 @@ def _terms(texts: list[str], words: tuple | None = None) -> tuple[np.ndarray, np
     return np.concatenate(hashes).view(np.int64), np.concatenate(docs)
 
 
+def _capitals(texts: list[str]) -> np.ndarray:
+    """How many capitals A-Z each whole text holds."""
+    parts = [t.encode() for t in texts]
+    raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)  # a byte between texts, so that none is empty
+    first = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
+    return np.add.reduceat(raw - np.uint8(0x41) < 26, first, dtype=np.int64) if parts else np.zeros(0, np.int64)
+
+
 def _patterns(texts: list[str], whole: np.ndarray, doc: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Fixed patterns, one column each; ``whole`` are the hashes of the words, in order."""
     n = len(texts)
     words = np.bincount(doc, minlength=n)
     letters = np.bincount(doc, weights=lengths, minlength=n)
     chars = np.array([len(t) for t in texts])
-    upper = np.array([sum(map(t.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) if t[:64].isupper() else 0 for t in texts])
+    upper = _capitals(texts)
     bang = np.array([t.count("!") for t in texts])
     ask = np.array([t.count("?") for t in texts])
     order = np.lexsort((whole, doc))

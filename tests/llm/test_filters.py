@@ -155,6 +155,14 @@ def test_toxicity_never_reads_held_out_labels(docs):
     assert (a.terms == b.terms).all() and np.allclose(a.weights, b.weights)
 
 
+def test_toxicity_counts_capitals_of_whole_texts():
+    texts = ["", "An ordinary sentence of lower letters, as long as any prefix may be. " + "SHOUTING " * 40, "LOUD " * 5, "é" * 9 + "ÄÖ", "Z", "[@`{"]
+    assert toxicity._capitals(texts).tolist() == [sum("A" <= c <= "Z" for c in t) for t in texts]
+    assert toxicity._capitals([]).tolist() == []
+    whole, doc, lengths = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    assert toxicity._patterns(texts, whole, doc, lengths)[:, 0].tolist() == [False, True, True, False, True, False]
+
+
 def test_toxicity_edges(docs):
     rows = [(1, None), (2, ""), (2, ""), (None, "some words")]
     gold = docs([(0, "")]).sparkSession.createDataFrame([(1, 0)], "doc_id long, toxic int")
