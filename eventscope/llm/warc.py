@@ -5,15 +5,19 @@ the one with the smallest id is a ``response`` and the others are ``revisit`` re
 that name it; smaller payloads are all ``response``. The first of each payload is a
 map-side combined ``min`` per digest, joined back on the digest (a hot payload is
 split by the skew join; payloads too small to be shared get a key of their own,
-so they spread). Records are written by Spark's text sink, one record per
-line with the record separator as line separator, gzip-compressed, at most
-``records_per_file`` in a file, so the reader's memory has a bound.
+so they spread). Records are written by Spark's text sink, at most ``records_per_file``
+in a file, so the reader's memory has a bound. With ``gzip`` (the default) each record is
+a member of its own, compressed in the tasks; the sink wants a line separator, and an
+empty member serves. File names end in ``.txt``, as the sink does not compress. Otherwise
+the record separator is the line separator, and the codec is the sink's.
 
 Reading. Each file is scanned from its start. A record holds if its version line,
 headers, ``Content-Length``, closing separator and payload digest check out. After a
 failed check the reader logs a quarantined gap, searches for the next gzip
 member (compressed files) or version line, and goes on with the first one that
-holds; so a torn or overwritten stretch costs its own records only. Gaps carry file,
+holds; so a torn or overwritten stretch costs its own records only. Of a damaged member
+all that comes out before the damaged byte is looked through; in an archive of others
+with many records in a member, those behind the damage in their member are lost. Gaps carry file,
 stream, offset and length: they count in the decompressed bytes of the stream at
 ``member`` or, where a member does not decompress, in the file's own bytes.
 
@@ -41,6 +45,7 @@ RECORDS_PER_FILE = 4096
 SEPARATOR = "\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_EMPTY_MEMBER = _MEMBER + bytes(6) + b"\xff\x03" + bytes(9)
 
 RECORD = (
     "file string, member long, offset long, length long, kind string, record_type string, id long, uri string, "
@@ -90,8 +95,25 @@ def records(pages: DataFrame, *, id: str = "page_id", uri: str = "url", payload:
     )
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record, closed, as a gzip member."""
+    for batch in batches:
+        out = []
+        for value in batch.column("value"):
+            engine = zlib.compressobj(6, zlib.DEFLATED, 31)
+            out.append(engine.compress(value.as_buffer()) + engine.compress(SEPARATOR.encode()) + engine.flush())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+
 def write(pages: DataFrame, folder: str, *, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip", **options) -> None:
     """Archive ``pages`` into ``folder`` (on shared storage)."""
+    if compression == "gzip":
+        configure(pages.sparkSession)
+        members = records(pages, **options).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+        members.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("compression", "none").option(
+            "maxRecordsPerFile", records_per_file
+        ).text(folder)
+        return
     records(pages, **options).write.option("lineSep", SEPARATOR).option("compression", compression).option(
         "maxRecordsPerFile", records_per_file
     ).text(folder)
@@ -162,6 +184,27 @@ def _salvage_stream(data: bytes, member: int) -> Iterator[dict]:
         yield {"kind": "gap", "member": member, "offset": gap, "length": at - gap}
 
 
+def _inflate(data: bytes, start: int) -> tuple[bytes, int | None]:
+    """What comes out of the member at ``start`` before any damaged byte, and the member's end if it is whole."""
+    engine, out, pos, step = zlib.decompressobj(31), [], start, 4096
+    try:
+        while pos < len(data) and not engine.eof:
+            out.append(engine.decompress(data[pos : pos + step]))
+            pos, step = min(pos + step, len(data)), min(2 * step, 65536)
+    except zlib.error:
+        # the failing call gave nothing: up to it once more, then by single bytes
+        engine = zlib.decompressobj(31)
+        for k in range(start, pos, 65536):
+            engine.decompress(data[k : min(k + 65536, pos)])
+        try:
+            for k in range(pos, min(pos + step, len(data))):
+                out.append(engine.decompress(data[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), None
+    return b"".join(out), pos - len(engine.unused_data) if engine.eof else None
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and quarantined gaps of an archive file, compressed (any number of members) or not."""
     if not data.startswith(_MEMBER) and _VERSION.search(data):
@@ -172,16 +215,8 @@ def salvage(data: bytes) -> Iterator[dict]:
         start = data.find(_MEMBER, at)
         if start < 0:
             break
-        engine, out, whole, pos = zlib.decompressobj(31), [], False, start
-        try:
-            while pos < len(data) and not engine.eof:
-                out.append(engine.decompress(data[pos : pos + 65536]))
-                pos += 65536
-            whole = engine.eof
-        except zlib.error:
-            pass  # what came out before the damage is still looked through
-        text = b"".join(out)
-        end = min(pos, len(data)) - len(engine.unused_data) if whole else None
+        text, end = _inflate(data, start)
+        whole = end is not None
         if not text and not whole:
             at = start + 1
             continue

@@ -127,6 +127,38 @@ def test_salvage_of_members(spark, pages, tmp_path):
     assert sum(x["kind"] == "gap" for x in found) >= 3
 
 
+def test_salvage_of_damaged_gzip_archives(spark, pages, tmp_path):
+    import gzip
+
+    data = archive(spark, pages, tmp_path, "gzip")
+    whole = list(warc.salvage(data))
+    assert all(x["kind"] == "record" for x in whole) and len(whole) == len(PAGES) - 1
+    assert sum(x["length"] for x in whole) == len(gzip.decompress(data))  # any reader of gzip takes it
+    starts = [x["member"] for x in whole]
+    assert starts == sorted(set(starts))
+    spans = list(zip(whole, starts, [*starts[1:], len(data)], strict=True))
+    rnd = random.Random(2)
+    for _ in range(200):
+        hurt = bytearray(data)
+        a = rnd.randrange(len(data))
+        b = min(len(data), a + rnd.randint(1, 60))
+        hurt[a:b] = bytes(rnd.randrange(256) for _ in range(rnd.choice([0, b - a, 7])))
+        kept = {(x["id"], x["payload_digest"]) for x in warc.salvage(bytes(hurt)) if x["kind"] == "record"}
+        assert {(x["id"], x["payload_digest"]) for x, s, e in spans if e <= a or s >= b} <= kept
+
+
+def test_salvage_of_a_damaged_member_of_many_records(spark, pages, tmp_path):
+    import gzip
+
+    plain = archive(spark, pages, tmp_path, "none")
+    data = gzip.compress(plain)
+    ids = [x["id"] for x in warc.salvage(plain)]
+    found = list(warc.salvage(data[:-8] + b"\0" * 8))  # the checksum is wrong, the records are not
+    assert [x["id"] for x in found if x["kind"] == "record"] == ids
+    found = list(warc.salvage(data[: len(data) // 2] + b"\xff" * 40 + data[len(data) // 2 + 40 :]))
+    assert 0 < sum(x["kind"] == "record" for x in found) < len(ids)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300))
 def test_salvage_of_any_bytes(data):
