@@ -41,6 +41,20 @@ def test_line_dedup_edges(docs):
     assert line_dedup.dedup_lines(docs(rows).where("doc_id > 9")).collect() == []
 
 
+def test_line_dedup_leaves_parts_of_lines_and_short_repeats(docs):
+    words = [f"w{i}" for i in range(60)]
+    passage = " ".join(words)
+    broken = " ".join(words[:20]) + "\n" + " ".join(words[20:40]) + "\n" + " ".join(words[40:])
+    texts = [
+        f"a {passage} b", f"c {passage} d",  # inside one line
+        f"e {broken} f", f"g {broken} h",  # its only whole line has 20 words
+        "licence text\nx", "licence text\ny", "licence text\nz",
+        f"p\n{passage}\nq", f"r\n{passage}\ns",  # whole lines: the later one goes
+    ]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup_lines(docs(list(enumerate(texts)))).collect()}
+    assert got == {i: (t, 0) for i, t in enumerate(texts)} | {8: ("r\ns", 1)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
