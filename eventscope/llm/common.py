@@ -135,82 +135,6 @@ def few(df: DataFrame) -> DataFrame:
     return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
 
-JUMPS = 2
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``(a, b)`` links -> ``(node, component)``: the smallest node reachable, for every linked node.
-
-    A round hooks every node to its smallest neighbour (one aggregate, combined
-    on the map side, so a hub with a third of the links stays cheap), shortens
-    the trees by pointer jumping, and replaces both ends of each link by their
-    tree's root; links inside a tree go. The next round works on what is left,
-    and the labels are composed. Stars and shallow trees take one round. Joins on
-    a hot root are ones that the adaptive skew rule can split; the driver only
-    asks whether links are left.
-    """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    labels = None
-    while True:
-        links = staged(links.distinct())
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = few(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("up")))
-        for _ in range(JUMPS):
-            above = parent.select(F.col("node").alias("n"), F.col("up").alias("top"))
-            parent = few(parent.join(above, F.col("up") == F.col("n")).select("node", F.col("top").alias("up")))
-        parent = staged(parent)
-        root = parent.select(F.col("node").alias("n"), F.col("up").alias("r"))
-        if labels is None:
-            labels = parent
-        else:
-            labels = staged(labels.join(root, F.col("up") == F.col("n"), "left").select("node", F.coalesce("r", "up").alias("up")))
-        left = few(links.join(root, F.col("u") == F.col("n")).select("v", F.col("r").alias("ru")))
-        left = left.join(root, F.col("v") == F.col("n")).select("ru", F.col("r").alias("rv")).where("ru <> rv")
-        links = staged(left.select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")))
-        if links.isEmpty():
-            return labels.select("node", F.col("up").alias("component"))
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """A store of intermediate tables as Parquet in the shared folder; they go when the block ends."""
-    folder = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    count = iter(range(1_000_000))
-
-    def store(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{next(count)}"
-        df.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    try:
-        yield store
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def bit_map(values: DataFrame, column: str, bits: int) -> bytes:
-    """The values of a long column as a map of ``bits`` bits (value modulo ``bits``).
-
-    Built on the executors; whatever the input, the driver gets ``bits / 32768`` rows of 4 kB at most.
-    """
-    bit = F.pmod(column, F.lit(bits)) + 1
-    found = values.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m"))
-    full = bytearray(bits // 8)
-    for r in found.toLocalIterator():
-        at = (r["b"] - 1) * len(r["m"])
-        full[at : at + len(r["m"])] = r["m"]
-    return bytes(full)
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def text_or_empty(col: str | Column) -> Column:
-    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` links -> ``(node, component)``: the smallest node reachable, for every linked node.
 

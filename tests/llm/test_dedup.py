@@ -61,6 +61,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_no_name_is_defined_twice():
+    import ast
+    from collections import Counter
+    from pathlib import Path
+
+    for file in Path(line_dedup.__file__).parent.glob("*.py"):
+        names = Counter(x.name for x in ast.parse(file.read_text()).body if isinstance(x, ast.FunctionDef | ast.ClassDef))
+        assert [n for n, k in names.items() if k > 1] == [], file.name
+
+
 def near_rows(seed):
     rnd = random.Random(seed)
     base = [[rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(0, 40))] for _ in range(10)]
