@@ -12,6 +12,9 @@ module                 method
 ``minhash_dedup``      MinHash with tensored banding, links verified on full sets
 ``pii``                base patterns plus terms whose co-occurrence discloses an entity
 ``chat``               chat template with grammar round trip and reversible escapes (SQL only)
+``quality_rules``      thresholds per stratum, certified by exact binomial bounds (SQL only)
+``hard_negatives``     inverted multi-index, cells visited by half-score bounds
+``lexical_search``     best position algorithm over impact lists
 ``warc``               WARC writer with revisit records and a salvaging reader
 =====================  ==========================================================================
 

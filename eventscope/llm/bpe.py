@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import configure
-from .textops import code_points, pre_tokens, ragged, run_hashes, slices, utf8
+from .textops import classes, code_points, pre_tokens, ragged, slices, utf8
 
 LEAF_BYTES = 256
 PIECE_BYTES = 65_536
@@ -132,8 +132,7 @@ class Vocabulary:
     def counts(self, raw: np.ndarray, offsets: np.ndarray, *, want_ids: bool = True):
         """Split of the texts plus tokens per pre-token and, asked for, all ids in order."""
         starts, lengths, kind, first = self.split(raw, offsets)
-        hashes = run_hashes(raw, starts, lengths)
-        _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        where, inverse = classes(raw, starts, lengths)
         body = raw.tobytes()
         s, e, special = starts[where].tolist(), (starts + lengths)[where].tolist(), kind[where].tolist()
         word, merge = self.word, self._merge

@@ -107,6 +107,19 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, for results that are read after their operator has returned.
+
+    The folder goes when the session's file system is closed, that is when the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    df.write.option("compression", "zstd").parquet(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def bit_map(values: DataFrame, column: str, bits: int) -> bytes:
     """The values of a long column as a map of ``bits`` bits (value modulo ``bits``).
 

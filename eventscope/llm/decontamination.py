@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import configure, staged
-from .textops import lowered, ragged, run_hashes, slices, utf8, word_runs
+from .textops import Lexicon, classes, lowered, ragged, slices, utf8, word_runs
 
 WINDOW = 10
 SHARD_WORDS = 1_000_000
@@ -138,9 +138,9 @@ class Phrases:
         offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         body = np.concatenate(raw) if raw else np.zeros(0, np.uint8)
         starts, lengths, first = word_runs(body, offs)
-        hashes = run_hashes(body, starts, lengths)
-        self.vocabulary = np.unique(hashes)
-        ids = np.searchsorted(self.vocabulary, hashes) + 1
+        some, of = classes(body, starts, lengths)
+        self.vocabulary = Lexicon([body[starts[k] : starts[k] + lengths[k]].tobytes() for k in some])
+        ids = of + 1
         self.names = np.array(sorted({i for i, _ in items}), object)
         number = {name: k for k, name in enumerate(self.names)}
         by_length: dict[int, dict[tuple, set[int]]] = {}
@@ -157,11 +157,9 @@ class Phrases:
             self.groups.append((size, np.array(list(found), np.int64), np.cumsum(n) - n, n, flat))
         self.shortest = min((g[0] for g in self.groups), default=0)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+    def ids(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Number of each word, from 1 on; 0 for words that no item has."""
+        return self.vocabulary.ids(raw, starts, lengths) + 1
 
     def hits(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[list[str]]]:
         """Which words of a shard are hit, and the sorted item names per document."""
@@ -228,7 +226,7 @@ class _Part:
         self.batch = batch
         body = lowered(raw)
         starts, lengths, self.first = word_runs(body, offsets)
-        self.ids = phrases.ids(run_hashes(body, starts, lengths)).astype(np.int32)
+        self.ids = phrases.ids(body, starts, lengths).astype(np.int32)
         # spans are told in code points of their own document
         points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         base = np.repeat(points[offsets[:-1]], np.diff(self.first))

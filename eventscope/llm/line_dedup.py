@@ -14,7 +14,7 @@ in order). Every line inside a later repeat is deleted; first occurrences stay.
 3. Extend both ways. From the lines of a window that passed, the match is grown
    forward (shortest run that starts there) and backward (shortest run that ends
    there). The lines of a repeated run are exactly covered by such runs that
-   lie inside it. Equal runs meet by their 128-bit content key; the least place of
+   lie inside it. Equal runs meet by two independent 64-bit content keys; the least place of
    each is combined on the map side and joined back (a hot run's partition is
    split by the skew join), and all later places are deleted.
 
@@ -39,7 +39,6 @@ from .textops import line_runs, mixed, run_hashes, slices, utf8, word_runs
 
 MIN_WORDS = 50
 BITS = 1 << 25
-_STEP = pow(0x9E3779B97F4A7C15, 1, 2**64)
 
 
 class _Lines:
@@ -76,16 +75,8 @@ class _Lines:
         return np.minimum.reduceat(padded, np.stack([begin, stop], 1).ravel())[::2]
 
     def keys(self, begin: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
-        """128-bit content keys of runs of lines, from prefix sums."""
-        n = self.hash.shape[1]
-        up = np.cumprod(np.full(n + 1, _STEP, np.uint64))
-        down = np.cumprod(np.full(n + 1, pow(_STEP, -1, 2**64), np.uint64))
-        out = []
-        for k in (0, 1):
-            value = (mixed(self.hash[k], 11 + k) | np.uint64(1)) * up[:n]
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
-            out.append(mixed((total[stop] - total[begin]) * down[begin], 13 + k) + mixed((stop - begin).astype(np.uint64), 17 + k))
-        return out
+        """Two 64-bit content keys of runs of lines, each over the line hashes of its own seed, taken in one after another."""
+        return [run_hashes(self.hash[k].view(np.uint8), 8 * begin, 8 * (stop - begin), seed=k) for k in (0, 1)]
 
 
 def _fingerprint_counts(rows: DataFrame, min_words: int) -> DataFrame:

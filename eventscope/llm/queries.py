@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, embedding_dedup, line_dedup, minhash_dedup, pii, token_counts, toxicity, warc
+from . import (
+    bpe, chat, decontamination, embedding_dedup, hard_negatives, lexical_search, line_dedup, minhash_dedup, pii, quality_rules, token_counts, toxicity, warc,
+)
 from .common import read, shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -130,6 +132,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged, _ = quality_rules.apply(docs, read(spark, sf_dir, "labels"), strata="lang", keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), hard_negatives.whole_numbers("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # at the top of the repository; it imports the operators
 
@@ -145,6 +164,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_warc": op10_warc,
+        "op11_quality_rules": op11_quality_rules,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -272,6 +294,104 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc
 FROM documents d LEFT JOIN size_of ON size_of.doc_id = d.doc_id LEFT JOIN least_of ON least_of.a = d.doc_id"""
 
 
+_DARK = r"[^\x20\x09-\x0D]+"
+# The rules' values by doc, thresholds by sorted lists, the binomial sum by log-gamma.
+_OP11 = rf"""WITH RECURSIVE split AS (
+    SELECT row_number() OVER () AS d, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_DARK}') AS ws FROM documents
+),
+lines AS (SELECT d, unnest(string_split(text, chr(10))) AS l FROM split),
+dup AS (SELECT d, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines WHERE regexp_matches(l, '{_DARK}') GROUP BY d),
+grams AS (SELECT d, j, ws[j : j + 7] AS g FROM (SELECT d, ws, unnest(range(1, len(ws) - 6)) AS j FROM split WHERE len(ws) >= 8)),
+twice AS (SELECT d, unnest(range(j, j + 8)) AS p FROM grams JOIN (SELECT d, g FROM grams GROUP BY d, g HAVING count(*) > 1) USING (d, g)),
+again AS (SELECT d, count(DISTINCT p) AS n_repeat_words FROM twice GROUP BY d),
+m AS (
+    SELECT d, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+           CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words
+    FROM split LEFT JOIN dup USING (d) LEFT JOIN again USING (d)
+),
+judged AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           [CAST(-n_words AS DOUBLE), -word_chars / greatest(n_words, 1), word_chars / greatest(n_words, 1), n_symbols / greatest(n_words, 1),
+            n_dup_lines / greatest(n_words, 1), n_repeat_words / greatest(n_words, 1)] AS vals
+    FROM m
+),
+good AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+labelled AS (
+    SELECT d, coalesce(lang, '?') AS s, good, r, vals[r] AS v, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 1) < '8' AS fits
+    FROM judged JOIN good USING (doc_id), range(1, 7) t(r) WHERE NOT base_failed
+),
+sorted AS (SELECT s, r, list(v ORDER BY v) AS vs FROM labelled WHERE fits AND good GROUP BY s, r),
+levels AS (SELECT unnest(range(0, 12)) AS level, unnest([{', '.join(str(x) for x in quality_rules.LEVELS)}]) AS share),
+cuts AS (SELECT s, r, level, vs[greatest(1, CAST(ceil((1 - share) * len(vs)) AS BIGINT))] AS c FROM sorted, levels),
+hits AS (
+    SELECT s, r, level, any_value(c) AS c, count(*) FILTER (WHERE good) AS goods, count(*) FILTER (WHERE NOT good) AS bads,
+           count(*) FILTER (WHERE good AND v > c) AS g, count(*) FILTER (WHERE NOT good AND v > c) AS b
+    FROM labelled JOIN cuts USING (s, r) WHERE fits GROUP BY s, r, level
+),
+used AS (SELECT s, r, level, c FROM hits WHERE b * greatest(goods, 1) > 3 * greatest(g, 1) * greatest(bads, 1)),
+planned AS (SELECT DISTINCT s FROM cuts),
+held AS (SELECT DISTINCT s, d, level FROM labelled JOIN planned USING (s), levels WHERE NOT fits AND good),
+gone AS (SELECT DISTINCT s, d, level FROM labelled JOIN used USING (s, r) WHERE NOT fits AND good AND v > c),
+tested AS (SELECT s, level, count(*) AS n, count(gone.d) AS k FROM held LEFT JOIN gone USING (s, d, level) GROUP BY s, level),
+passed AS (
+    SELECT s, level, list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)) FOR j IN range(0, k + 1)])
+                     <= 0.05 / (SELECT count(DISTINCT s) FROM tested) AS ok
+    FROM tested
+),
+last AS (SELECT s, coalesce(min(level) FILTER (WHERE NOT ok), 12) - 1 AS level FROM passed GROUP BY s),
+rejected AS (
+    SELECT DISTINCT d FROM judged JOIN last ON last.s = coalesce(lang, '?') JOIN used ON used.s = last.s AND used.level = last.level WHERE vals[used.r] > used.c
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND d NOT IN (SELECT d FROM rejected) AS kept
+FROM judged"""
+
+# Scores of all rows for every anchor; windows by their place among the rows inside.
+_OP12 = """WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS mate,
+           CAST(CASE WHEN len(a.e) = 0 THEN 0 ELSE list_dot_product(a.e, b.e) END AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+),
+p AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE mate
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT mate AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5"""
+
+_OP13 = rf"""WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS ws FROM documents),
+sized AS (SELECT row_number() OVER () AS d, doc_id, ws, len(ws) AS n FROM docs WHERE len(ws) > 0),
+whole AS (SELECT count(*) AS big_n, sum(n) AS big_l FROM sized),
+items AS (
+    SELECT item_id, text, t, count(*) AS q
+    FROM (SELECT item_id, text, unnest(regexp_extract_all({_LOWER}, '{_WORDS}')) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark))
+    GROUP BY item_id, text, t
+),
+posted AS (
+    SELECT d, doc_id, n, t, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(ws) AS t FROM sized)
+    WHERE t IN (SELECT t FROM items) GROUP BY d, doc_id, n, t
+),
+spread AS (SELECT t, count(*) AS df FROM posted GROUP BY t),
+valued AS (
+    SELECT d, doc_id, t,
+           CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + CAST((75 * n * big_n) // big_l AS BIGINT)))) AS part
+    FROM posted JOIN spread USING (t), whole
+),
+scored AS (SELECT item_id, text, d, doc_id, CAST(sum(q * part) AS BIGINT) AS score FROM items JOIN valued USING (t) GROUP BY item_id, text, d, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express on whole tables; the others are tested against brute force."""
     return {
@@ -281,4 +401,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash_dedup": _OP7,
         "op9_chat_formatting": _OP9,
         "op10_warc": _OP10,
+        "op11_quality_rules": _OP11,
+        "op12_hard_negatives": _OP12,
+        "op13_lexical_search": _OP13,
     }

@@ -12,9 +12,13 @@ import pyarrow as pa
 # Bytes of text worked on at once in a Python worker.
 SLICE_BYTES = 2_000_000
 
+# Start values of the two hashes, and the multipliers behind each block.
 _rng = np.random.Generator(np.random.PCG64(20240601))
-_BYTE_KEYS = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_START = _rng.integers(1, 2**63, 2, dtype=np.uint64)
+_TIMES = _rng.integers(1, 2**63, 3, dtype=np.uint64) | np.uint64(1)
+_MASK = np.array([2 ** (8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+# Runs beyond so many bytes are hashed in pieces, and then the pieces' hashes.
+PIECE = 512
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,31 +43,119 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-@cache
-def _powers(n: int) -> np.ndarray:
-    """``n`` odd 64-bit multipliers, one per position in a run."""
-    return np.cumprod(np.full(n, _STEP, np.uint64)) | np.uint64(1)
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number (zeros behind the end)."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def _folded(h: np.ndarray) -> np.ndarray:
+    h *= _TIMES[0]
+    h ^= h >> np.uint64(32)
+    h *= _TIMES[1]
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def run_hashes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each run of bytes ``raw[starts : starts + lengths]`` (none empty); seeds 0 and 1 are independent."""
+    """64-bit hash of each run of bytes ``raw[starts : starts + lengths]`` (none empty), by ``seed`` 0 or 1.
+
+    Blocks of eight bytes are taken in one after another, each followed by
+    multiplications and shifts, so that no sum of terms stands for a run. The hash
+    tells runs apart, it does not prove them equal: ``same_runs`` does.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(6, int(lengths.max() - 1).bit_length())
-    powers = _powers(size)
-    ends = np.cumsum(lengths)
-    first = ends - lengths
-    within = np.arange(int(ends[-1]), dtype=np.int64) - np.repeat(first, lengths)
-    if int(ends[-1]) == len(raw):
-        body = raw
-    else:
-        body = raw[within + np.repeat(starts, lengths)]
-    value = _BYTE_KEYS[seed][body] * powers[within]
-    h = np.add.reduceat(value, first) + lengths.astype(np.uint64) * _STEP
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    return h
+    window, lengths = _words(raw), lengths.astype(np.int64)
+    h = np.full(len(starts), _START[seed], np.uint64)
+    short = lengths <= PIECE
+    live = np.flatnonzero(short)
+    for at in range(0, int(lengths[live].max(initial=0)), 8):
+        if at:
+            live = live[lengths[live] > at]
+        left = np.minimum(lengths[live] - at, 8)
+        h[live] = _folded(h[live] ^ (window[starts[live] + at] & _MASK[left]))
+    if len(rest := np.flatnonzero(~short)):
+        count = -(-lengths[rest] // PIECE)
+        first = np.cumsum(count) - count
+        within = (np.arange(int(count.sum())) - np.repeat(first, count)) * PIECE
+        size = np.minimum(np.repeat(lengths[rest], count) - within, PIECE)
+        pieces = run_hashes(raw, np.repeat(starts[rest], count) + within, size, seed)
+        h[rest] = run_hashes(pieces.view(np.uint8), 8 * first, 8 * count, seed)
+    return _folded(h ^ (lengths.astype(np.uint64) * _TIMES[2]))
+
+
+def same_runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.ndarray, other_lengths: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each run equal those of the run that starts at ``other``."""
+    same = lengths == other_lengths
+    window = _words(raw)
+    live = np.flatnonzero(same & (starts != other))
+    for k in live[lengths[live] > PIECE]:
+        same[k] = np.array_equal(raw[starts[k] : starts[k] + lengths[k]], raw[other[k] : other[k] + lengths[k]])
+    live = live[lengths[live] <= PIECE]
+    for at in range(0, int(lengths[live].max(initial=0)), 8):
+        live = live[lengths[live] > at]
+        differ = (window[starts[live] + at] ^ window[other[live] + at]) & _MASK[np.minimum(lengths[live] - at, 8)] != 0
+        same[live[differ]] = False
+        live = live[~differ]
+    return same
+
+
+def classes(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal runs as classes: the index of a run of each class, and the class of every run.
+
+    Runs meet by their hash; their bytes decide, so runs that only share a hash are told apart.
+    """
+    _, first, of = np.unique(run_hashes(raw, starts, lengths), return_index=True, return_inverse=True)
+    while True:
+        at = first[of]
+        apart = np.flatnonzero(~same_runs(raw, starts, lengths, starts[at], lengths[at]))
+        if not len(apart):
+            return first, of
+        # runs unlike the one that speaks for their hash: the same anew, under the other hash and within the old class
+        _, more, inner = np.unique(np.stack([of[apart].astype(np.uint64), run_hashes(raw, starts[apart], lengths[apart], seed=1)]), axis=1, return_index=True, return_inverse=True)
+        inner = inner.ravel()
+        alone = ~same_runs(raw, starts[apart], lengths[apart], starts[apart[more[inner]]], lengths[apart[more[inner]]])
+        if alone.any():
+            names: dict[bytes, int] = {}
+            inner = np.array([names.setdefault(raw[starts[k] : starts[k] + lengths[k]].tobytes(), len(names)) for k in apart])
+            more = np.unique(inner, return_index=True)[1]
+        of = of.copy()
+        of[apart] = len(first) + inner
+        first = np.concatenate([first, apart[more]])
+
+
+class Lexicon:
+    """Distinct words with numbers from 0 on; words of texts are looked up by hash and compared by their bytes."""
+
+    def __init__(self, words: list[bytes]):
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        raw, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+        # words that share a hash stand next to each other; a look-up tries as many neighbours as the longest such run has
+        hashes = run_hashes(raw, starts, lengths)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+        self.raw, self.starts, self.lengths = raw, starts, lengths
+        self.tries = int(np.unique(self.hashes, return_counts=True)[1].max(initial=0))
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def ids(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Number of each run of bytes, -1 for words that are not in the lexicon."""
+        found = np.full(len(starts), -1, np.int64)
+        if not len(self) or not len(starts):
+            return found
+        hashes = run_hashes(raw, starts, lengths)
+        at = np.searchsorted(self.hashes, hashes)
+        both = np.concatenate([raw, self.raw])
+        for k in range(self.tries):
+            spot = np.minimum(at + k, len(self) - 1)
+            maybe = np.flatnonzero((found < 0) & (self.hashes[spot] == hashes))
+            word = self.order[spot[maybe]]
+            same = same_runs(both, starts[maybe], lengths[maybe], len(raw) + self.starts[word], self.lengths[word])
+            found[maybe[same]] = word[same]
+        return found
 
 
 def mixed(h: np.ndarray, salt: int) -> np.ndarray:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -101,6 +102,53 @@ def vector_links(rows, threshold=0.9):
     return {i: (links[i], forest.top(i)) for i, _ in rows}
 
 
+def lexical_ranks(docs, items, k=10):
+    """Item text -> its best ``(doc, score)``; documents and items as ``(id, text)``."""
+    counts = [(d, Counter(WORD.findall((t or "").translate(LOWER)))) for d, t in docs]
+    counts = [(d, c, sum(c.values())) for d, c in counts if c]
+    n, words = len(counts), sum(x[2] for x in counts)
+    df = Counter(t for _, c, _ in counts for t in c)
+    out = {}
+    for name, text in items:
+        found = []
+        for d, c, size in counts:
+            m, score = 25 + 75 * size * n // words, 0
+            for t, q in Counter(WORD.findall((text or "").translate(LOWER))).items():
+                if c[t]:
+                    score += q * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+            if score > 0:
+                found.append((-score, d))
+        out[name, text] = [(d, -s) for s, d in sorted(found)[:k]]
+    return out
+
+
+def hard_negatives(rows, anchors, k=5, low=80, high=100):
+    """``(anchor, positive, rank, negative, positive score, negative score)`` of rows ``id -> (label, whole numbers)``."""
+    out = []
+    for a in anchors:
+        label, v = rows[a]
+        scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i, other) for i, (other, w) in rows.items() if i != a and len(w) == len(v))
+        for p, i, _ in [x for x in scores if x[2] == label][:k]:
+            inside = [(s, j) for s, j, other in scores if other != label and low * -p <= 100 * -s <= high * -p]
+            out += [(a, i, r + 1, j, -p, -s) for r, (s, j) in enumerate(inside[:k])]
+    return sorted(out)
+
+
+def quality_measures(text):
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``."""
+    text = text or ""
+    words = DARK.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if DARK.search(line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    often = Counter(grams)
+    again = {p for i, g in enumerate(grams) if often[g] > 1 for p in range(i, i + 8)}
+    return len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), dup, len(again)
+
+
 PII = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),

@@ -35,7 +35,7 @@ def rows(spark, name):
 @pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages", "benchmark", "embeddings"):
+    for t in ("documents", "conversations", "pages", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     ok, message = compare(spark, con, name, registered.queries()[name], registered.oracle_sql()[name], SF)
     assert ok, message
