@@ -14,12 +14,19 @@ linked if ``100 * intersection >= percent * union``.
 * Keys met once are dropped. Each node is first compared with one other node of
   its tables, the smallest; verified links form components. Only in tables that
   still hold several components are more pairs looked at, one per node and round,
-  against nodes of another component; what ``ROUNDS`` such rounds leave open is
-  compared in full (all pairs of such a table across components, as far as their
-  sizes allow a link). Pairs inside a component cannot change it, so no link
-  between components is lost, and a large group of copies costs one comparison
-  per member instead of all its pairs.
-* Verification joins the two texts of a pair and compares their full sets.
+  against nodes of another component. Pairs inside a component cannot change it, so
+  no link between components is lost, and a large group of copies costs one
+  comparison per member instead of all its pairs.
+* What ``ROUNDS`` such rounds leave open is compared in full. Of tables with at most
+  ``SMALL`` open nodes the pairs across components are formed, as far as their sizes allow a
+  link: at most ``SMALL / 2`` rows a node. Larger ones are mostly copies of one text with
+  many edits, part of them too far from any hub. Their tables, as far as they share
+  nodes, are one cluster; it is dealt into blocks of about ``BLOCK_NODES`` nodes or
+  ``BLOCK_SHINGLES`` shingles, and each two blocks meet in a task that holds the full sets
+  and returns only links that join components it has not yet seen joined. A node is
+  sent once for each block of its cluster, so the rows are those of the cluster times
+  its blocks; the comparisons inside tasks are quadratic in an open cluster.
+* Verification compares full sets: of pairs by joining their two texts.
 
 Texts needed for verification are read once, picked by a bit map of fixed size,
 and kept compressed as Parquet in the shared folder while the operator runs. A
@@ -43,13 +50,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bit_map, configure, connected_components, few, scratch, staged
-from .textops import lowered, mixed, run_hashes, slices, utf8, word_runs
+from .textops import lowered, mixed, ragged, run_hashes, slices, utf8, word_runs
 
 NGRAM = 5
 PERCENT = 80
 SIDE = 10
 ROWS = 3
 ROUNDS = 1
+SMALL = 32
+BLOCK_NODES = 1024
+BLOCK_SHINGLES = 500_000
 BITS = 1 << 25
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -173,7 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> D
     """The pairs ``(a, b)`` whose full sets are similar enough."""
     left = texts.select(F.col("node").alias("node_a"), F.col("body").alias("text_a"))
     right = texts.select(F.col("node").alias("node_b"), F.col("body").alias("text_b"))
-    half = few(pairs.join(left, F.col("a") == F.col("node_a")).select("a", "b", "text_a"))
+    half = pairs.join(left, F.col("a") == F.col("node_a")).select("a", "b", "text_a")
     both = half.join(right, F.col("b") == F.col("node_b")).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +206,104 @@ def _verified(pairs: DataFrame, texts: DataFrame, ngram: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
+class _Forest:
+    """Components that links of one task have joined."""
+
+    def __init__(self, size: int):
+        self.up = np.arange(size)
+
+    def tops(self) -> np.ndarray:
+        """The top of every component (paths are cut short on the way)."""
+        while True:
+            above = self.up[self.up]
+            if np.array_equal(above, self.up):
+                return above
+            self.up = above
+
+    def join(self, x: int, y: int) -> bool:
+        while self.up[x] != x:
+            x = self.up[x]
+        while self.up[y] != y:
+            y = self.up[y]
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def links_between(
+    s: np.ndarray, at: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int
+) -> Iterator[tuple[int, int]]:
+    """Links ``(row, row)`` of sets ``s[at[i] : at[i + 1]]`` across ``left`` and ``right`` rows, enough to join all components that links join.
+
+    A row's set is marked in a table of all elements and counted over the rows of
+    the other side; where most of them are in its component already, over the rest.
+    """
+    ids = np.unique(s, return_inverse=True)[1]
+    sizes, same = np.diff(at), left is right
+    _, group = np.unique(component, return_inverse=True)
+    forest = _Forest(int(group.max(initial=-1)) + 1)
+    mark = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
+    top = forest.tops()
+
+    def side(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return rows, ids[ragged(at[rows], sizes[rows])], np.cumsum(sizes[rows]) - sizes[rows]
+
+    everything, rest = side(right), (-1, None)
+    for i in left:
+        mine = top[group[i]]
+        # within one block, the component that comes first does the comparing
+        apart = top[group[right]] > mine if same else top[group[right]] != mine
+        if not apart.any():
+            continue
+        if 2 * np.count_nonzero(apart) < len(right):
+            if rest[0] != mine:
+                rest = mine, side(right[apart])
+            rows, elements, begin = rest[1]
+        else:
+            rows, elements, begin = everything
+        own = ids[at[i] : at[i + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[elements], begin)
+        mark[own] = 0
+        joined = False
+        for j in rows[(100 * common >= percent * (sizes[i] + sizes[rows] - common)) & (top[group[rows]] != mine)]:
+            if forest.join(group[i], group[j]):
+                joined = True
+                yield int(i), int(j)
+        if joined:
+            top, rest = forest.tops(), (-1, None)
+
+
+def _within_clusters(still: DataFrame, texts: DataFrame, ngram: int, percent: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links ``(a, b)`` across components, of the tables in ``still`` (``key, node, n, c``) as clusters."""
+    least = still.groupBy("key").agg(F.min("node").alias("least")).withColumnRenamed("key", "k")
+    stars = still.join(least, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    cluster = connected_components(stars).select(F.col("node").alias("m"), F.col("component").alias("cluster"))
+    nodes = store(still.select("node", "n", "c").distinct().join(cluster, F.col("node") == F.col("m")).drop("m"))
+    blocks = nodes.groupBy(F.col("cluster").alias("k")).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    body = texts.select(F.col("node").alias("m"), "body")
+    dealt = nodes.join(blocks, F.col("cluster") == F.col("k")).withColumn("own", own).join(body, F.col("node") == F.col("m")).select(
+        "cluster", "node", "c", "own", "body", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "c", "body")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        s, at = shingle_sets(*_unpacked(table.column("body")), ngram)
+        own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
+        node, component = table.column("node").to_numpy(), table.column("c").to_numpy()
+        # rows in order of component: those of one component share what they are compared with
+        in_order = lambda rows: rows[np.argsort(component[rows], kind="stable")]
+        left = in_order(np.flatnonzero(own == i))
+        right = left if i[0] == j[0] else in_order(np.flatnonzero(own == j))
+        found = list(links_between(s, at, component, left, right, percent))
+        a, b = (node[np.array([x[k] for x in found], np.int64)] for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def _components(members: DataFrame, texts: DataFrame, ngram: int, percent: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``node, component`` of nodes that have a verified link."""
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -209,25 +317,34 @@ def _components(members: DataFrame, texts: DataFrame, ngram: int, percent: int,
         # another node of the table, against which the other components are held
         rank = F.xxhash64("node", F.lit(turn))
         tables = placed.groupBy("key").agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("node", "c", "n"), rank).alias("hub")
-        ).where("lo < hi").select(F.col("key").alias("k"), F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"), F.col("hub.n").alias("hub_n"))
+            F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("node", "c", "n"), rank).alias("hub"), F.count(F.lit(1)).alias("open")
+        ).where("lo < hi").select(
+            F.col("key").alias("k"), F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c"), F.col("hub.n").alias("hub_n"), "open"
+        )
         still = store(placed.join(few(tables), F.col("key") == F.col("k")).drop("k"))
         if still.isEmpty():
             break
+        beside = None
         if turn < ROUNDS:
             found = still.where("c <> hub_c").where(fits("n", "hub_n")).select(*ordered("node", "hub"))
         else:
-            other = still.select(F.col("key").alias("k"), F.col("node").alias("o"), F.col("c").alias("o_c"), F.col("n").alias("o_n"))
-            found = still.join(other, (F.col("key") == F.col("k")) & (F.col("c") < F.col("o_c")) & fits("n", "o_n")).select(*ordered("node", "o"))
+            large = still.where(F.col("open") > SMALL).select("key", "node", "n", "c")
+            if not large.isEmpty():
+                beside = staged(_within_clusters(large, texts, ngram, percent, store))
+            small = still.where(F.col("open") <= SMALL)
+            other = small.select(F.col("key").alias("k"), F.col("node").alias("o"), F.col("c").alias("o_c"), F.col("n").alias("o_n"))
+            found = small.join(other, (F.col("key") == F.col("k")) & (F.col("c") < F.col("o_c")) & fits("n", "o_n")).select(*ordered("node", "o"))
         fresh = few(few(found).distinct()).join(tested, ["a", "b"], "left_anti")
         if turn < ROUNDS:
             # one pair per node and round
             fresh = few(fresh).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         pairs = staged(fresh)
-        if pairs.isEmpty():
+        if pairs.isEmpty() and beside is None:
             continue
         tested = tested.unionByName(pairs)
         more = _verified(pairs, texts, ngram, percent)
+        if beside is not None:
+            more = more.unionByName(beside)
         # new links join components
         at = component.select(F.col("node").alias("m"), "component")
         lifted = few(more.join(at, F.col("a") == F.col("m"), "left").select("b", F.coalesce("component", "a").alias("a")))

@@ -114,6 +114,52 @@ def test_minhash_links_that_only_a_later_round_finds(docs):
     assert got == {d: c for d, (_, c) in brute.near_components(rows, 1).items()}
 
 
+def edited_copies(seed, copies, size, most):
+    """Copies of one text with up to ``most`` words replaced: near its text, but often too far from each other."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(size)]
+    out = []
+    for d in range(copies):
+        words = list(base)
+        for i in rnd.sample(range(size), rnd.randint(0, most)):
+            words[i] = f"e{rnd.randint(0, 60)}"
+        out.append(words)
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_minhash_clusters_of_far_copies(docs, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "SMALL", 3)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_NODES", block)
+    texts = [" ".join(x) for seed in (1, 2) for x in edited_copies(seed, 90, 60, 9)]
+    rows = [((7 * d) % 200, t + (" other" * 3 if d >= 90 else "")) for d, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.components(docs(rows), ngram=2).collect()}
+    want = {d: c for d, (_, c) in brute.near_components(rows, 2).items()}
+    assert got == want and 2 < len(set(want.values())) < 150
+
+
+def test_links_between_blocks_join_what_all_pairs_join():
+    words = edited_copies(5, 240, 50, 8)
+    sets = [np.unique([hash(w) for w in zip(x, x[1:], strict=False)]) for x in words]
+    s, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    component = np.arange(240)
+    component[50:150] = 50
+    linked = lambda i, j: 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n)
+
+    def joined(links):
+        forest = brute.Forest(set(component.tolist()))
+        for i, j in links:
+            forest.link(int(component[i]), int(component[j]))
+        return [forest.top(int(c)) for c in component]
+
+    rows = np.argsort(component, kind="stable")
+    for left, right in ((rows, rows), (rows[::2], rows[1::2])):
+        links = list(minhash_dedup.links_between(s, at, component, left, right, 80))
+        assert all(linked(i, j) and component[i] != component[j] for i, j in links) and len(links) < 240
+        pairs = [(i, j) for i in left for j in right if i != j and linked(i, j)]
+        assert joined(links) == joined(pairs)
+
+
 def vectors(seed, dim, groups):
     rng = np.random.default_rng(seed)
     out = []
