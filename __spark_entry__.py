@@ -32,23 +32,35 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from eventscope.operators import (  # noqa: E402
     StepNames,
+    active_from_days,
+    add_users,
     cart_outcomes,
     cart_sessions,
+    cells_from_months,
     cohort_activity,
     daily_report,
+    day_bitmaps,
     funnel_by_period,
     funnel_durations,
+    funnel_from_slices,
     funnel_sessions,
+    funnel_slices,
     funnel_steps,
+    merge_days,
+    merge_months,
+    monthly_growth,
     monthly_report,
+    number_users,
     profile_event_share,
     profile_nulls,
     profile_volume,
     retention_curve,
     retention_long,
     retention_matrix,
+    user_months,
     weekly_report,
 )
+from eventscope.functions.staging import staged  # noqa: E402
 from eventscope.plans.session import configure  # noqa: E402
 from eventscope.sources import (  # noqa: E402
     EVENT_COLUMNS,
@@ -57,14 +69,13 @@ from eventscope.sources import (  # noqa: E402
     load_errors,
     order_events,
     parse_event_lines,
+    quarantined,
     read_table,
 )
 
 try:  # the training-data operators are an optional part of the library
     import eventscope.llm.queries as llm  # noqa: E402
-except ModuleNotFoundError as missing:
-    if (missing.name or "").removesuffix(".queries") not in ("eventscope.llm", "corpus_pipeline"):
-        raise
+except ImportError:  # left out, or a package that only they need is missing
     llm = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -154,6 +165,48 @@ def _funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel_sessions(_events(spark, sf_dir), FUNNEL_STEPS)
 
 
+def _sliced_funnel(events: DataFrame, steps: tuple[str, ...]) -> DataFrame:
+    return funnel_from_slices(funnel_slices(events, steps), steps)
+
+
+def _stored_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of the first half of the days are kept as a table, the others' are appended."""
+    events = _events(spark, sf_dir)
+    first, last = events.agg(F.min("event_time"), F.max("event_time")).first()
+    if first is None:
+        return _sliced_funnel(events, FUNNEL_STEPS)
+    half = (first + (last - first) / 2).replace(hour=0, minute=0, second=0, microsecond=0)
+    old, new = (funnel_slices(events.where(c), FUNNEL_STEPS) for c in (F.col("event_time") < F.lit(half), F.col("event_time") >= F.lit(half)))
+    return funnel_from_slices(staged(old).unionByName(new), FUNNEL_STEPS)
+
+
+def _merged_months(events: DataFrame) -> DataFrame:
+    """Cells from a stored table of user months with the last month's events merged into it."""
+    last = F.date_trunc("month", F.lit(events.agg(F.max("event_time")).first()[0]))
+    old, new = (user_months(events.where(c)) for c in (F.col("event_time") < last, F.col("event_time") >= last))
+    return cells_from_months(merge_months(staged(old), new))
+
+
+def _month_rollup(events: DataFrame) -> DataFrame:
+    """Monthly actives from day bitmaps: a stored table of all but the last month, the last month's days added."""
+    last = F.date_trunc("month", F.lit(events.agg(F.max("event_time")).first()[0]))
+    old, new = (events.where(c) for c in (F.col("event_time") < last, F.col("event_time") >= last))
+    numbers = staged(number_users(old))
+    stored = staged(day_bitmaps(old, numbers))
+    return monthly_growth(active_from_days(merge_days(stored, day_bitmaps(new, staged(add_users(numbers, new)))), "month"))
+
+
+def _week_rollup(events: DataFrame) -> DataFrame:
+    return active_from_days(day_bitmaps(events, staged(number_users(events))), "week")
+
+
+def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects by column, reason and value; the lines themselves are in the rows behind the counts."""
+    return quarantined(_event_lines(spark, sf_dir)).groupBy("column_name", "reason", "value").agg(
+        F.count(F.lit(1)).alias("defects"), F.countDistinct("line").alias("lines")
+    )
+
+
 def _carts(spark: SparkSession, sf_dir: str, paid_rule: str = "first_purchase") -> DataFrame:
     return cart_sessions(_events(spark, sf_dir), paid_rule=paid_rule, **CART_ROLES)
 
@@ -190,6 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_events": lambda s, d: clean_events(_raw_text_events(s, d)),
         "load_events_text": lambda s, d: clean_events(_event_lines(s, d), on_error="null"),
         "load_errors": lambda s, d: load_errors(_event_lines(s, d)),
+        "load_quarantine": _quarantine,
         # activity
         "dau_moving_avg": lambda s, d: daily_report(_events(s, d)),
         "dau_moving_avg_orders": lambda s, d: daily_report(_orders(s, d)),
@@ -199,6 +253,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "mau_sticky": lambda s, d: monthly_report(_orders(s, d)),
         "mau_sticky_events": lambda s, d: monthly_report(_events(s, d)),
         "mau_sticky_gaps": lambda s, d: monthly_report(_orders_with_gaps(s, d)),
+        "wau_rollup": lambda s, d: _week_rollup(_events_with_gaps(s, d)),
+        "mau_rollup": lambda s, d: _month_rollup(_orders(s, d)),
         # ordered funnel
         "funnel_sessions": lambda s, d: _funnel(s, d),
         "funnel_steps": lambda s, d: funnel_steps(_funnel(s, d), names=FUNNEL_NAMES),
@@ -206,6 +262,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "funnel_monthly": lambda s, d: funnel_by_period(_funnel(s, d), names=FUNNEL_NAMES),
         "funnel_monthly_orders": lambda s, d: funnel_by_period(_customer_funnel(s, d), names=ORDER_NAMES),
         "funnel_durations": lambda s, d: funnel_durations(_funnel(s, d), names=FUNNEL_NAMES),
+        "funnel_sessions_sliced": lambda s, d: _sliced_funnel(_events(s, d), FUNNEL_STEPS),
+        "funnel_sessions_stored": _stored_funnel,
+        "funnel_steps_sliced_gaps": lambda s, d: funnel_steps(_sliced_funnel(_events_with_gaps(s, d), FUNNEL_STEPS), names=FUNNEL_NAMES),
         # carts
         "cart_sessions": lambda s, d: _carts(s, d),
         "cart_outcomes": lambda s, d: cart_outcomes(_carts(s, d)),
@@ -218,6 +277,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "retention_matrix_pct_masked_gaps": lambda s, d: retention_matrix(_cohorts_with_gaps(s, d), mask_unobserved=True),
         "retention_matrix_users": lambda s, d: retention_matrix(_cohorts(s, d), as_pct=False),
         "retention_long": lambda s, d: retention_long(_cohorts(s, d)),
+        "retention_long_merged": lambda s, d: retention_long(_merged_months(_orders(s, d))),
+        "retention_matrix_pct_masked_gaps_merged": lambda s, d: retention_matrix(_merged_months(_orders_with_gaps(s, d)), mask_unobserved=True),
         "retention_curve": lambda s, d: retention_curve(_cohorts(s, d)),
         "retention_curve_gaps": lambda s, d: retention_curve(_cohorts_with_gaps(s, d)),
         "retention_curve_row_fanout": lambda s, d: _row_fanout(_cohorts(s, d)),
@@ -348,6 +409,17 @@ SELECT count(*) FILTER (WHERE {_WIDTH}) AS corrupt_rows,
        CAST(0 AS BIGINT) AS bad_user_session
 FROM r"""
 
+# A row of the wrong width is one defect; the others lose a time or a brand.
+_QUARANTINE = f"""WITH {_STAGED},
+d AS (
+    SELECT NULL AS column_name, 'wrong number of fields' AS reason, NULL AS value, event_id FROM r WHERE {_WIDTH}
+    UNION ALL
+    SELECT 'event_time', 'malformed', strftime(ts, '%H:%M'), event_id FROM r WHERE kind = 'error'
+    UNION ALL
+    SELECT 'brand', 'too long', repeat('b', 101), event_id FROM r WHERE {_LONG}
+)
+SELECT column_name, reason, value, count(*) AS defects, count(DISTINCT event_id) AS lines FROM d GROUP BY column_name, reason, value"""
+
 
 def _active(src: str, period: str) -> str:
     """x(p, n, i): distinct users per period, periods numbered in order."""
@@ -388,6 +460,17 @@ SELECT a.p AS week_start, CAST(isoyear(a.p) AS INTEGER) AS iso_year, CAST(weekof
 FROM x a LEFT JOIN x b ON b.i + 1 = a.i"""
 
 
+def _wau_alone(src: str) -> str:
+    return f"""WITH {_active(src, _WEEK)}
+SELECT p AS week_start, n AS wau FROM x"""
+
+
+def _mau_alone(src: str) -> str:
+    return f"""WITH {_active(src, "strftime(t, '%Y-%m')")}
+SELECT CAST(a.p || '-01' AS DATE) AS activity_month, a.p AS month_label, a.n AS mau, a.n - b.n AS mau_diff, {_pct2('(a.n - b.n)', 'b.n')} AS mau_growth_pct
+FROM x a LEFT JOIN x b ON b.i + 1 = a.i"""
+
+
 def _mau(src: str) -> str:
     return f"""WITH {src},
 seen AS (SELECT strftime(t, '%Y-%m') AS m, CAST(t AS DATE) AS d, u FROM e GROUP BY ALL),
@@ -583,6 +666,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_events": _CLEAN,
         "load_events_text": _LOADED,
         "load_errors": _LOAD_ERRORS,
+        "load_quarantine": _QUARANTINE,
         "dau_moving_avg": _dau(_EV),
         "dau_moving_avg_orders": _dau(_ORD),
         "dau_moving_avg_orders_filled": _dau_filled(_ORD),
@@ -591,7 +675,12 @@ def oracle_sql() -> dict[str, str]:
         "mau_sticky": _mau(_ORD),
         "mau_sticky_events": _mau(_EV),
         "mau_sticky_gaps": _mau(_ORD_GAPS),
+        "wau_rollup": _wau_alone(_EV_GAPS),
+        "mau_rollup": _mau_alone(_ORD),
         "funnel_sessions": _FUNNEL_SESSIONS,
+        "funnel_sessions_sliced": _FUNNEL_SESSIONS,
+        "funnel_sessions_stored": _FUNNEL_SESSIONS,
+        "funnel_steps_sliced_gaps": _funnel_steps(_EV_GAPS),
         "funnel_steps": _funnel_steps(_EV),
         "funnel_steps_gaps": _funnel_steps(_EV_GAPS),
         "funnel_monthly": _funnel_monthly(_EV, FUNNEL_STEPS),
@@ -607,6 +696,8 @@ def oracle_sql() -> dict[str, str]:
         "retention_matrix_pct_masked_gaps": _matrix(_ORD_GAPS, True, True),
         "retention_matrix_users": _matrix(_ORD, False, False),
         "retention_long": _RETENTION_LONG,
+        "retention_long_merged": _RETENTION_LONG,
+        "retention_matrix_pct_masked_gaps_merged": _matrix(_ORD_GAPS, True, True),
         "retention_curve": _curve(_ORD),
         "retention_curve_gaps": _curve(_ORD_GAPS),
         "retention_curve_row_fanout": _CURVE_FANOUT,

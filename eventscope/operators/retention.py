@@ -70,6 +70,11 @@ def cohort_cells(activity: DataFrame) -> DataFrame:
     )
 
 
+def _cells(table: DataFrame) -> DataFrame:
+    """The cells of a cohort activity table; a table of cells is taken as it is."""
+    return table if "lapsed_users" in table.columns else cohort_cells(table)
+
+
 def cohort_sizes(cells: DataFrame, months: int = 0) -> DataFrame:
     """``cohort_month, total_users, max_observable_month`` per cohort.
 
@@ -111,7 +116,7 @@ def retention_matrix(
     ``mask_unobserved=True`` gives NULL for months after the data ends.
     """
     # One aggregate per cohort gives the size, the horizon and every cell.
-    joined = cohort_sizes(cohort_cells(activity), months)
+    joined = cohort_sizes(_cells(activity), months)
 
     def cell(k: int):
         active = f"coalesce(_a{k}, CAST(0 AS BIGINT))"
@@ -136,7 +141,7 @@ def retention_long(activity: DataFrame) -> DataFrame:
     non-empty cell, so no month is missed). A cell of events without a time
     comes last in its cohort with rolling retention 0; the NULL cohort has no rows.
     """
-    cells = cohort_cells(activity).where(F.col("cohort_month").isNotNull())
+    cells = _cells(activity).where(F.col("cohort_month").isNotNull())
     by_cohort = Window.partitionBy("cohort_month")
     later_first = by_cohort.orderBy(F.desc("month_num")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.max(F.when(F.col("month_num") == 0, F.col("active_users"))).over(by_cohort)
@@ -171,7 +176,7 @@ def retention_curve(activity: DataFrame, weighting: str = "cohort_size") -> Data
     """
     if weighting not in WEIGHTINGS:
         raise ValueError(f"weighting must be one of {WEIGHTINGS}")
-    cells = cohort_cells(activity)
+    cells = _cells(activity)
     sizes = cohort_sizes(cells)
     if weighting == "row_fanout":
         rows = cells.join(sizes, on="cohort_month").where(F.col("max_observable_month") >= F.col("month_num"))

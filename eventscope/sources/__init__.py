@@ -12,7 +12,9 @@ from .events import (
     write_events,
     write_events_table,
 )
+from .quarantine import load_with_quarantine, quarantined, read_clean, read_quarantine
 from .tables import clickstream_events, order_events, read_table
+from .versions import current_version, load_batch, read_current, replace_events, vacuum
 
 __all__ = [
     "EVENT_COLUMNS",
@@ -20,12 +22,21 @@ __all__ = [
     "RAW_SCHEMA",
     "clean_events",
     "clickstream_events",
+    "current_version",
+    "load_batch",
     "load_errors",
     "load_events",
+    "load_with_quarantine",
     "order_events",
     "parse_event_lines",
+    "quarantined",
+    "read_clean",
+    "read_current",
     "read_events",
+    "read_quarantine",
     "read_table",
+    "replace_events",
+    "vacuum",
     "write_events",
     "write_events_table",
 ]
