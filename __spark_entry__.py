@@ -38,6 +38,7 @@ from eventscope.operators import (  # noqa: E402
     cart_sessions,
     cells_from_months,
     cohort_activity,
+    cohort_activity_observed,
     daily_report,
     day_bitmaps,
     funnel_by_period,
@@ -272,6 +273,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cart_outcomes_gaps": lambda s, d: cart_outcomes(cart_sessions(_events_with_gaps(s, d), **CART_ROLES)),
         # cohorts
         "cohort_activity": lambda s, d: _cohorts(s, d),
+        "cohort_activity_one_pass": lambda s, d: cohort_activity_observed(_orders(s, d))[0],
         "retention_matrix_pct": lambda s, d: retention_matrix(_cohorts(s, d)),
         "retention_matrix_pct_masked": lambda s, d: retention_matrix(_cohorts(s, d), mask_unobserved=True),
         "retention_matrix_pct_masked_gaps": lambda s, d: retention_matrix(_cohorts_with_gaps(s, d), mask_unobserved=True),
@@ -691,6 +693,7 @@ def oracle_sql() -> dict[str, str]:
         "cart_outcomes_any_after_cart": _cart_report(_EV, _PAID_ANY),
         "cart_outcomes_gaps": _cart_report(_EV_GAPS, _PAID_FIRST),
         "cohort_activity": _COHORT_ACTIVITY,
+        "cohort_activity_one_pass": _COHORT_ACTIVITY,
         "retention_matrix_pct": _matrix(_ORD, True, False),
         "retention_matrix_pct_masked": _matrix(_ORD, True, True),
         "retention_matrix_pct_masked_gaps": _matrix(_ORD_GAPS, True, True),

@@ -8,6 +8,7 @@ from .lifetimes import cells_from_months, lifetimes, merge_months, user_months
 from .quality import profile_event_share, profile_nulls, profile_volume
 from .retention import (
     cohort_activity,
+    cohort_activity_observed,
     cohort_cells,
     cohort_sizes,
     retention_curve,
@@ -25,6 +26,7 @@ __all__ = [
     "cart_sessions",
     "cells_from_months",
     "cohort_activity",
+    "cohort_activity_observed",
     "cohort_cells",
     "cohort_sizes",
     "daily_report",

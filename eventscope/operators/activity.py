@@ -180,9 +180,12 @@ def monthly_report(
         F.sum("_events").alias("_events_of_days"), F.sum("_sessions").alias("_sessions_of_days"),
     )
     # Both sides are one row per month: AQE broadcasts whichever is small. The
-    # totals of both levels agree; the test keeps their columns in the plan.
-    joined = monthly.join(per_month, F.col("activity_month") == F.col("_month")).where(
-        (F.col("events_total") == F.col("_events_of_days")) & (F.col("_sessions_of_days") >= 0)
+    # totals of both levels are the same counts, added up in two ways: a month in
+    # which they differ stops the report.
+    same = (F.col("events_total") == F.col("_events_of_days")) & (F.col("_sessions_of_days") >= 0)
+    differ = F.raise_error(F.concat(F.lit("the days of a month do not add up to it: "), F.col("activity_month").cast("string"))).cast("bigint")
+    joined = monthly.join(per_month, F.col("activity_month") == F.col("_month")).withColumn(
+        "events_total", F.when(same, F.col("events_total")).otherwise(differ)
     )
     if exclude_partial:
         joined = _drop_partial_months(joined)

@@ -17,10 +17,13 @@ month without a self-join. Everything after that works on the cells table
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pyspark.sql import DataFrame, Window
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import month_from_index, month_index, month_label, pct
+from ..functions.staging import shared_folder, staged
 
 WEIGHTINGS = ("cohort_size", "row_fanout")
 
@@ -41,18 +44,45 @@ def cohort_activity(events: DataFrame, *, user: str = "user_id", time: str = "ev
     )
     # one row, from a second read of the time column alone
     bound = events.agg(F.max(month_index(time)).alias("_data_last"))
+    return _placed(months, user).crossJoin(F.broadcast(bound)).select(*_activity_columns(user), month_from_index("_data_last").alias("data_last_month"))
+
+
+def _activity_columns(user: str) -> list[str]:
+    return [user, "cohort_month", "month_num", "last_active_month"]
+
+
+def _placed(months: DataFrame, user: str) -> DataFrame:
+    """Distinct ``user, _m`` -> each month's place in its user's life."""
     by_user = Window.partitionBy(user)
     first = F.min("_m").over(by_user)
     last = F.max("_m").over(by_user)
-    placed = months.select(
+    return months.select(
         user,
         month_from_index(first).alias("cohort_month"),
         (F.col("_m") - first).alias("month_num"),
         (last - first).alias("last_active_month"),
     )
-    return placed.crossJoin(F.broadcast(bound)).select(
-        user, "cohort_month", "month_num", "last_active_month", month_from_index("_data_last").alias("data_last_month")
+
+
+def cohort_activity_observed(events: DataFrame, *, user: str = "user_id", time: str = "event_time") -> tuple[DataFrame, dict[str, Any]]:
+    """:func:`cohort_activity` and the figures of the data, from one read of the events.
+
+    The pass that reduces events to distinct ``(user, month)`` pairs, staged in the shared
+    folder (which must be set), also observes ``total_events, first_day, last_day`` and the last month of
+    all events, which becomes a constant of the plan. The job runs when the function is called. If Spark
+    has to repeat tasks of the pass, ``total_events`` may count their rows again; ranges cannot change.
+    """
+    if shared_folder(events.sparkSession) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
+    seen = Observation()
+    watched = events.select(F.col(user).alias(user), F.col(time).alias("_t"), month_index(time).alias("_m")).observe(
+        seen, F.count(F.lit(1)).alias("total_events"), F.min(F.to_date("_t")).alias("first_day"), F.max(F.to_date("_t")).alias("last_day"),
+        F.max("_m").alias("_last"),
     )
+    months = staged(watched.where(F.col(user).isNotNull()).select(user, "_m").distinct())
+    figures = dict(seen.get)
+    last: Column = F.lit(figures.pop("_last")).cast("int")
+    return _placed(months, user).select(*_activity_columns(user), month_from_index(last).alias("data_last_month")), figures
 
 
 def cohort_cells(activity: DataFrame) -> DataFrame:
@@ -208,6 +238,7 @@ def retention_curve(activity: DataFrame, weighting: str = "cohort_size") -> Data
 __all__: Sequence[str] = [
     "WEIGHTINGS",
     "cohort_activity",
+    "cohort_activity_observed",
     "cohort_cells",
     "cohort_sizes",
     "retention_curve",

@@ -1,7 +1,7 @@
 """Session settings and multi-report plans."""
 
 from .reports import FunnelReports, RetentionReports, Shared, cart_report, write_reports
-from .session import SCALE_CONF, build_session, configure, work_folder
+from .session import SCALE_CONF, build_session, configure, cost_based, work_folder
 from .suite import report_builders, run_suite
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "build_session",
     "cart_report",
     "configure",
+    "cost_based",
     "report_builders",
     "run_suite",
     "work_folder",

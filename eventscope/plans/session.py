@@ -13,6 +13,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 SCALE_CONF = {
@@ -31,6 +34,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+COST_CONF = {"spark.sql.cbo.enabled": "true", "spark.sql.cbo.joinReorder.enabled": "true", "spark.sql.cbo.planStats.enabled": "true"}
+
+
+@contextmanager
+def cost_based(spark: SparkSession) -> Iterator[SparkSession]:
+    """Plans made inside the block use the tables' statistics (see ``write_dated_table``); the session's settings come back after it."""
+    before = {k: spark.conf.get(k) for k in COST_CONF}
+    for k, v in COST_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield spark
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def build_session(master: str | None = None, app_name: str = "eventscope",
                   shuffle_partitions: int | None = None, extra: dict[str, str] | None = None) -> SparkSession:
     """Local/test session builder; on a cluster use the cluster's session and :func:`configure`."""

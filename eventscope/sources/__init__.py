@@ -9,6 +9,7 @@ from .events import (
     load_events,
     parse_event_lines,
     read_events,
+    write_dated_table,
     write_events,
     write_events_table,
 )
@@ -37,6 +38,7 @@ __all__ = [
     "read_table",
     "replace_events",
     "vacuum",
+    "write_dated_table",
     "write_events",
     "write_events_table",
 ]

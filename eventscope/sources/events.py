@@ -155,6 +155,8 @@ def write_events(
     mode: str = "overwrite",
     partition_by_date: bool = True,
     rebalance: bool = True,
+    point_columns: tuple[str, ...] = ("user_id", "user_session"),
+    values_per_row_group: int = 1_000_000,
 ) -> None:
     """Write typed events as Parquet partitioned by UTC ``event_date``.
 
@@ -167,6 +169,11 @@ def write_events(
     into advisory-size pieces and merges small ones, so each task writes about
     one well-sized file per date instead of one small file per date it happens
     to contain.
+
+    ``point_columns`` get a Parquet bloom filter per row group, sized for
+    ``values_per_row_group`` distinct values: rows are not in their order, so minimum and
+    maximum skip nothing, but a filter on one user or session then reads only the
+    row groups that hold it.
     """
     out = events
     writer_cols: list[str] = []
@@ -177,6 +184,11 @@ def write_events(
             out = out.hint("rebalance", "event_date")
     out = out.sortWithinPartitions(*writer_cols, "event_type", "event_time")
     writer = out.write.mode(mode)
+    for c in point_columns:
+        if c in events.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(
+                f"parquet.bloom.filter.expected.ndv#{c}", str(values_per_row_group)
+            )
     if writer_cols:
         writer = writer.partitionBy(*writer_cols)
     writer.parquet(path)
@@ -213,6 +225,30 @@ def write_events_table(
         events.sparkSession.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS {columns}")
 
 
+def write_dated_table(events: DataFrame, table: str, *, mode: str = "overwrite", analyze: bool = True, histogram_bins: int = 64) -> None:
+    """Save as a catalog table in the date-partitioned layout, with statistics and column histograms.
+
+    ``ANALYZE`` counts rows and, for the columns that reports filter, group or join by, distinct
+    values, NULLs, ranges and equi-height histograms. Under
+    :func:`eventscope.plans.session.cost_based` Spark estimates the rows of filters and joins from them.
+    """
+    spark = events.sparkSession
+    dated = events.withColumn("event_date", F.to_date("event_time")).hint("rebalance", "event_date")
+    dated.sortWithinPartitions("event_date", "event_type", "event_time").write.mode(mode).partitionBy("event_date").saveAsTable(table)
+    if not analyze:
+        return
+    settings = {"spark.sql.statistics.histogram.enabled": "true", "spark.sql.statistics.histogram.numBins": str(histogram_bins)}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
+        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR COLUMNS event_time, event_type, user_id, user_session")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Read events written by :func:`write_events`.
 

@@ -1,0 +1,88 @@
+"""Point access and statistics of the stored layouts; cohorts and figures from one read."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from eventscope.operators import cohort_activity, cohort_activity_observed, funnel_sessions, monthly_report
+from eventscope.plans.session import cost_based
+from eventscope.sources import write_dated_table, write_events
+
+
+def rows_read(df):
+    """Rows that the Parquet reader returned, by the scan's own counter."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def many_sessions(spark, n=120_000):
+    return spark.range(0, n, 1, 2).select(
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 80_000).alias("event_time"), F.lit("view").alias("event_type"),
+        (F.xxhash64("id") % 50_000).alias("user_id"), F.concat(F.lit("s-"), F.hex(F.xxhash64(F.col("id") % 90_000))).alias("user_session"),
+    )
+
+
+def test_one_session_reads_few_row_groups(spark, tmp_path):
+    events = many_sessions(spark)
+    small_groups = {"parquet.block.size": str(256 * 1024), "parquet.page.size": str(16 * 1024)}
+    conf = spark._jsc.hadoopConfiguration()
+    try:
+        for k, v in small_groups.items():
+            conf.set(k, v)
+        write_events(events, str(tmp_path / "with"), values_per_row_group=10_000)
+        write_events(events, str(tmp_path / "without"), point_columns=())
+    finally:
+        for k in small_groups:
+            conf.unset(k)
+    wanted = events.where("event_time >= '2023-11-14'").select("user_session", "user_id").first()
+    for name, value in (("user_session", wanted.user_session), ("user_id", wanted.user_id)):
+        read = {}
+        for kind in ("with", "without"):
+            table = spark.read.parquet(str(tmp_path / kind))
+            read[kind] = rows_read(table.where(F.col(name) == value).select("event_time", name))
+            assert table.where(F.col(name) == value).count() == events.where(F.col(name) == value).count()
+        assert 0 < read["with"] < 0.5 * read["without"]
+
+
+def test_cost_based_plans_know_the_rows_of_funnel_joins(spark):
+    rows = [(dt.datetime(2024, 1, 1 + i % 3, i % 24), ("view", "cart", "purchase")[i % 3], i % 7, f"s{i % 40}") for i in range(600)]
+    events = spark.createDataFrame(rows, "event_time timestamp, event_type string, user_id int, user_session string")
+    spark.sql("CREATE DATABASE IF NOT EXISTS es_dated")
+    write_dated_table(events, "es_dated.events")
+    stats = {r.info_name: r.info_value for r in spark.sql("DESCRIBE EXTENDED es_dated.events user_session").collect()}
+    assert abs(int(stats["distinct_count"]) - 40) <= 4 and stats["num_nulls"] == "0"
+    kinds = {r.info_name: r.info_value for r in spark.sql("DESCRIBE EXTENDED es_dated.events event_time").collect()}
+    assert "height" in kinds["histogram"]  # equi-height bins
+    assert spark.conf.get("spark.sql.cbo.enabled") == "false"
+    with cost_based(spark):
+        costed = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("cost")
+        text = funnel_sessions(spark.table("es_dated.events"))._jdf.queryExecution().explainString(costed)
+    joins = [line for line in text.split("Physical Plan")[0].splitlines() if "Join " in line]
+    assert len(joins) >= 2 and all("rowCount=" in line for line in joins)
+    scans = [line for line in text.splitlines() if "Relation " in line]
+    assert scans and all("rowCount=600" in line for line in scans)
+    assert spark.conf.get("spark.sql.cbo.enabled") == "false"
+    spark.sql("DROP DATABASE es_dated CASCADE")
+
+
+def test_cohorts_and_figures_from_one_read(spark, cohort_events, tmp_path):
+    path = str(tmp_path / "events")
+    late = cohort_events.limit(1).select(*[F.lit(dt.datetime(2025, 2, 3)).alias(c) if c == "event_time" else F.lit(None).cast(t).alias(c) for c, t in cohort_events.dtypes])
+    cohort_events.unionByName(late).write.parquet(path)
+    events = spark.read.parquet(path)
+    got, figures = cohort_activity_observed(events)
+    want = cohort_activity(events)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert figures == {"total_events": events.count(), "first_day": dt.date(2024, 1, 15), "last_day": dt.date(2025, 2, 3)}
+    assert path not in got._jdf.queryExecution().executedPlan().toString()  # the events are not read again
+    empty, none = cohort_activity_observed(events.limit(0))
+    assert empty.collect() == [] and none == {"total_events": 0, "first_day": None, "last_day": None}
+
+
+def test_a_month_whose_days_do_not_add_up_stops_the_report(spark):
+    events = spark.createDataFrame([(dt.datetime(2024, 1, 1), 1, "a"), (dt.datetime(2024, 1, 2), 2, "b")], "event_time timestamp, user_id int, user_session string")
+    assert monthly_report(events).count() == 1
+    assert "do not add up" in monthly_report(events)._jdf.queryExecution().optimizedPlan().toString()
