@@ -5,42 +5,32 @@ dropped without retry): ``email``, ``ip`` (parts at most 255), ``card`` (14 to 1
 digits, Luhn), ``phone`` (10 to 15 digits). The strings found are the protected
 entities.
 
-Sanitisation with ``unit="document"`` (what op8 runs). Terms are all runs of letters,
-digits and non-ASCII characters of any length, A-Z lowered, that touch no base span. Over
-the whole corpus, in documents, we count those that hold a term, an entity, and both.
-The information content of an entity is ``IC = log2(n / with_entity)``; a term discloses
-an entity if their pointwise mutual information ``log2(both * n / (with_term *
-with_entity))`` is at least ``IC + log2(min_posterior)`` (within a bit of all there is to
-know; the same as ``both / with_term >= min_posterior``) and at least ``min_pmi_bits``.
-No support is asked for and nothing depends on where in the document the term stands.
-Then all its occurrences outside base spans become spans of kind ``term``.
-
-Exact without counting every pair: a term whose documents hold entities in less than
-``min_posterior`` cannot pass. Pairs that meet in one text only are judged by that
-text's rarest entity. Pairs are formed of terms and entities that both have
-two texts or more.
-
-Sanitisation with ``unit="line"``. Words beside an entity (up to ``CONTEXT_WORDS`` on
-either side, on its line) are its context terms; the rest of the document is not looked
-at. Over the whole corpus we count
-
-* ``both``: documents in which a term stands in the entity's context,
-* ``with_term`` / ``with_entity``: documents that hold the term / the entity, of ``n``.
-
-``both / with_term`` is how surely the term points to the entity, and
-``log2(both * n / (with_term * with_entity))`` (pointwise mutual information) how much
-more often than by chance. A term discloses an entity if it does so in at least
-``min_support`` different texts, with ``min_posterior`` and ``min_pmi_bits``; then all its
-occurrences become spans of kind ``term``, removed or generalised by `sanitise`.
-
-Its three passes over the documents: base spans and contexts; document counts of
-terms that reach the support; spans of disclosing terms. Between them only term
-counts move, combined on the map side. A fixed-size bit map of the wanted terms
-(``BITS`` bits, whatever the corpus) goes to the workers as a first filter; exact
-joins on the term's hash decide.
-
-Terms of ``unit="line"`` are runs of letters A-Z, a-z and non-ASCII characters of 4 bytes
-or more, A-Z lowered.
+Terms are all runs of letters, digits and non-ASCII characters, A-Z lowered, that touch
+no base span. A term discloses an entity if co-occurrence in the corpus shows that it
+points to it; then all its occurrences outside base spans become spans of kind ``term``,
+which `sanitise` removes or generalises. Candidates are terms whose documents hold
+entities in at least ``min_posterior`` of them. Evidence is counted in distinct texts,
+so that copies of one text are one witness.
+
+* Terms of ``FEW + 1`` texts or more speak for themselves. For an entity, ``both`` of the
+  term's ``texts`` hold it: the lower Wilson bound of ``both / texts`` must reach
+  ``min_posterior``, and the pointwise mutual information ``log2(both * n / (texts *
+  with_entity))`` must reach ``min_pmi_bits``. With fewer texts no bound can reach a half.
+* Rarer terms are judged by their class: their shape (with a digit, capitalised, other)
+  and their distance from the nearest entity in words (1, 2, 3 to 4, 5 to 8). A word
+  that stands near an entity by chance is rare as often as words elsewhere are. Of a
+  class' occurrences the share of rare terms (in at most ``FEW`` documents) has a lower
+  Wilson bound ``L``, and words of the shape farther from any entity are rare with share
+  ``p``: of the class' rare terms a share of at least ``1 - p / L`` stands there because of the
+  entity. The class discloses if that share reaches ``min_posterior``. Rare terms farther
+  than 8 words from every entity are not flagged.
+
+Three passes over the documents: base spans; counts of terms and classes; places of
+candidates. Between them term counts move, combined on the map side, and the places of
+candidates, once per distinct text. A fixed-size bit map of the candidates (``BITS`` bits,
+whatever the corpus) goes to the workers as a first filter; exact joins on the term's
+hash decide. Pairs are formed inside a text only of terms and entities that both stand in
+several texts.
 
 Defined results: NULL and empty texts have no spans; repeated rows each get
 theirs; an empty table gives no rows; extra columns are kept (``spans`` replaces an
@@ -58,13 +48,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bit_map, configure, staged
+from .common import bit_map, configure, kept_table, staged
 from .textops import lowered, run_hashes, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT_WORDS = 8
-CONTEXT_CHARS = 200
-MIN_TERM_BYTES = 4
+FEW = 2
+# Distances in words up to which a class reaches, and the classes of distance 1, 2, ...
+REACH = 8
+_NEAR = np.array([-1, 0, 1, 2, 2, 3, 3, 3, 3, -1])
+SHAPES = 3
+BUCKETS = 4
+Z_TERM, Z_CLASS = 1.645, 2.576
 BITS = 1 << 23
 
 # Fixed patterns of the base kinds.
@@ -74,11 +68,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_TERM = re.compile("[A-Za-z\u0080-\U0010ffff]+")
 _IS_TERM = np.zeros(256, bool)
-_IS_TERM[0x41:0x5B] = _IS_TERM[0x61:0x7B] = _IS_TERM[0x80:] = True
-_IS_ANY_TERM = _IS_TERM.copy()
-_IS_ANY_TERM[0x30:0x3A] = True
+_IS_TERM[0x30:0x3A] = _IS_TERM[0x41:0x5B] = _IS_TERM[0x61:0x7B] = _IS_TERM[0x80:] = True
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -121,192 +112,130 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
-def _context(text: str, spans: list[tuple[str, int, int]]) -> dict[str, set[bytes]]:
-    """Entity -> terms beside it, outside all spans."""
-    out: dict[str, set[bytes]] = {}
-    for kind, start, end in spans:
-        lo = max(text.rfind("\n", 0, start) + 1, start - CONTEXT_CHARS)
-        hi = text.find("\n", end, end + CONTEXT_CHARS)
-        hi = min(len(text), end + CONTEXT_CHARS) if hi < 0 else hi
-        # a word that the stretch cuts off is no term
-        left = [m for m in _TERM.finditer(text, lo, start) if m.start() > lo or lo == 0 or not _TERM.match(text[lo - 1])]
-        right = [m for m in _TERM.finditer(text, end, hi) if m.end() < hi or hi == len(text) or not _TERM.match(text[hi])]
-        terms = out.setdefault(f"{kind}:{text[start:end].translate(_ASCII_LOWER)}", set())
-        for m in left[-CONTEXT_WORDS:] + right[:CONTEXT_WORDS]:
-            if any(s < m.end() and m.start() < e for _, s, e in spans):
-                continue
-            word = m.group().translate(_ASCII_LOWER).encode()
-            if len(word) >= MIN_TERM_BYTES:
-                terms.add(word)
-    return out
-
-
 def _hash64(words: list[bytes]) -> np.ndarray:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     return run_hashes(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)
 
 
-def _base(rows: DataFrame, unit: str) -> DataFrame:
-    """``row, body_key, spans, pairs``: base spans, and the ``(entity, term)`` pairs of each row (``line``) or its entities."""
+def _base(rows: DataFrame) -> DataFrame:
+    """``row, body_key, spans, entities``: base spans, and the distinct entities of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = utf8(batch.column("body"))
+            _, offs = utf8(batch.column("body"))
             for i, j in slices(offs):
                 part = batch.slice(i, j - i)
-                texts = part.column("body").to_pylist()
+                texts = [t or "" for t in part.column("body").to_pylist()]
                 spans = [base_spans(t) for t in texts]
-                pairs = []
-                for t, found in zip(texts, spans, strict=True):
-                    each = []
-                    if unit == "document":
-                        beside = {f"{k}:{t[s:e].translate(_ASCII_LOWER)}": () for k, s, e in found}
-                    else:
-                        beside = _context(t, found) if found else {}
-                    for entity, terms in beside.items():
-                        each += [{"entity": entity, "term": h} for h in _hash64(sorted(terms)).view(np.int64).tolist()] if terms else []
-                        each.append({"entity": entity, "term": None})
-                    pairs.append(each)
+                entities = [sorted({f"{k}:{t[s:e].translate(_ASCII_LOWER)}" for k, s, e in x}) for t, x in zip(texts, spans, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row"), part.column("body_key"),
                         pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], _SPANS_ARROW),
-                        pa.array(pairs, _PAIRS_ARROW),
+                        pa.array(entities, pa.list_(pa.string())),
                     ],
-                    ["row", "body_key", "spans", "pairs"],
+                    ["row", "body_key", "spans", "entities"],
                 )
 
     out = T.StructType([
         T.StructField("row", rows.schema["row"].dataType), T.StructField("body_key", T.StringType()),
-        T.StructField("spans", T.ArrayType(_SPAN)),
-        T.StructField("pairs", T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.LongType())]))),
+        T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("entities", T.ArrayType(T.StringType())),
     ])
     return rows.mapInArrow(run, out)
 
 
 _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_PAIRS_ARROW = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.int64())]))
-
-
-def _terms_of(
-    raw: np.ndarray, offsets: np.ndarray, bits: np.ndarray | None, letters: np.ndarray = _IS_TERM, least: int = MIN_TERM_BYTES,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts, byte ends and hashes of the terms that the bit map lets through."""
-    inside = letters[raw]
-    before = np.concatenate([[False], inside[:-1]])
-    head = offsets[:-1][offsets[:-1] < len(raw)]
-    before[head] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.concatenate([inside[1:], [False]])
-    last = offsets[1:] - 1
-    after[last[last >= 0]] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    big = ends - starts >= least
-    starts, ends = starts[big], ends[big]
-    hashes = run_hashes(lowered(raw), starts, ends - starts).view(np.int64)
-    if bits is None:
-        return starts, ends, hashes
-    at = hashes % BITS
-    passed = (bits[at >> 3] >> (at & 7)) & 1 == 1
-    return starts[passed], ends[passed], hashes[passed]
-
-
-def _terms_outside(
-    texts: list[str], raw: np.ndarray, offsets: np.ndarray, bits: np.ndarray | None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """`_terms_of` for terms of any length, without those that touch a base span; and which texts hold an entity."""
-    starts, ends, hashes = _terms_of(raw, offsets, bits, _IS_ANY_TERM, 1)
-    holds, edge = np.zeros(len(texts), bool), np.zeros(len(raw) + 1, np.int32)
-    for k, text in enumerate(texts):
-        found = base_spans(text)
-        if found:
-            holds[k] = True
-            body = raw[offsets[k] : offsets[k + 1]]
-            points = offsets[k] + np.append(np.flatnonzero((body & 0xC0) != 0x80), len(body))
-            np.add.at(edge, points[[s for _, s, _ in found]], 1)
-            np.add.at(edge, points[[e for _, _, e in found]], -1)
-    if holds.any():
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-        free = covered[starts] == covered[ends]
-        starts, ends, hashes = starts[free], ends[free], hashes[free]
-    return starts, ends, hashes, holds
-
-
-def _candidates(rows: DataFrame, min_posterior: float) -> DataFrame:
-    """``term, with_term``: rows that hold each term, for terms whose rows hold entities often enough."""
+
+
+class _Runs:
+    """Terms of some texts outside base spans: byte starts and ends, hashes, text, shape, class (-1: far from any entity)."""
+
+    def __init__(self, texts: list[str], raw: np.ndarray, offsets: np.ndarray):
+        inside = _IS_TERM[raw]
+        before = np.concatenate([[False], inside[:-1]])
+        before[offsets[:-1][offsets[:-1] < len(raw)]] = False
+        starts = np.flatnonzero(inside & ~before)
+        after = np.concatenate([inside[1:], [False]])
+        last = offsets[1:] - 1
+        after[last[last >= 0]] = False
+        ends = np.flatnonzero(inside & ~after) + 1
+        self.holds, edge, heads = np.zeros(len(texts), bool), np.zeros(len(raw) + 1, np.int32), []
+        for k, text in enumerate(texts):
+            found = base_spans(text)
+            if found:
+                self.holds[k] = True
+                body = raw[offsets[k] : offsets[k + 1]]
+                points = offsets[k] + np.append(np.flatnonzero((body & 0xC0) != 0x80), len(body))
+                np.add.at(edge, points[[s for _, s, _ in found]], 1)
+                np.add.at(edge, points[[e for _, _, e in found]], -1)
+                heads.append(points[[s for _, s, _ in found]])
+        if heads:
+            covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+            free = covered[starts] == covered[ends]
+            starts, ends = starts[free], ends[free]
+        self.starts, self.ends = starts, ends
+        self.owner = np.searchsorted(offsets, starts, "right") - 1
+        self.hashes = run_hashes(lowered(raw), starts, ends - starts).view(np.int64)
+        digits = np.concatenate([[0], np.cumsum((raw >= 0x30) & (raw < 0x3A))])
+        capital = (raw[starts] >= 0x41) & (raw[starts] < 0x5B)
+        self.shape = np.where(digits[ends] > digits[starts], 0, np.where(capital, 1, 2))
+        far = np.full(len(starts), REACH + 1)
+        if heads:
+            at = np.concatenate(heads)
+            text = np.searchsorted(offsets, at, "right") - 1
+            place = np.searchsorted(starts, at)  # the first term behind the entity's start
+            for d in range(1, REACH + 1):
+                for spot in (place - d, place + d - 1):
+                    ok = (spot >= 0) & (spot < len(starts))
+                    spot, own = spot[ok], text[ok]
+                    spot = spot[self.owner[spot] == own]
+                    far[spot] = np.minimum(far[spot], d)
+        near = _NEAR[far]
+        self.cls = np.where(near >= 0, self.shape * BUCKETS + near, -1)
+
+
+_COUNTS = ["n", "near", *[f"far{s}" for s in range(SHAPES)]]
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """``term, cls, n, near, far0, ..``: per term its documents, those with an entity, and its occurrences far from any by shape;
+    rows without a term count the occurrences of each class (in ``n``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = utf8(batch.column("body"))
             for i, j in slices(offs):
-                at = offs[i : j + 1] - offs[i]
-                texts = batch.column("body").slice(i, j - i).to_pylist()
-                starts, _, hashes, holds = _terms_outside(texts, raw[offs[i] : offs[j]], at, None)
-                owner = np.searchsorted(at, starts, "right") - 1
-                order = np.lexsort((owner, hashes))
-                owner, hashes = owner[order], hashes[order]
+                found = _Runs([t or "" for t in batch.column("body").slice(i, j - i).to_pylist()], raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                order = np.lexsort((found.owner, found.hashes))
+                owner, hashes = found.owner[order], found.hashes[order]
+                away = np.where(found.cls[order] < 0, found.shape[order], -1)
+                term, first = np.unique(hashes, return_index=True)
                 new = np.ones(len(hashes), bool)
                 new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-                owner, hashes = owner[new], hashes[new]
-                term, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                near = np.add.reduceat(holds[owner].astype(np.int64), first) if len(first) else n
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64()), pa.array(near, pa.int64())], ["term", "n", "near"])
-
-    counts = rows.select("body").mapInArrow(run, "term long, n long, near long").groupBy("term").agg(F.sum("n").alias("with_term"), F.sum("near").alias("near"))
-    return counts.where((F.col("near") > 0) & (F.col("near") >= min_posterior * F.col("with_term"))).select("term", "with_term")
-
-
-def _disclosing(hits: DataFrame, counts: DataFrame, entities: DataFrame, n: int, min_posterior: float, min_pmi_bits: float) -> DataFrame:
-    """``term``: terms that disclose an entity, from the texts' ``hits`` and ``entities`` (``body_key, entity``, one a row)."""
-    per_text = entities.groupBy("body_key", "entity").agg(F.count(F.lit(1)).alias("m"))
-    each = per_text.groupBy("entity").agg(F.sum("m").alias("with_entity"), F.count(F.lit(1)).alias("texts"))
-    known = staged(per_text.select("body_key", "entity").join(each, "entity"))
-
-    def discloses(both: str, with_entity: str) -> Column:
-        pmi = F.log2(F.col(both) * F.lit(float(n)) / (F.col("with_term") * F.col(with_entity)))
-        return (F.col(both) >= min_posterior * F.col("with_term")) & (pmi >= min_pmi_bits)
-
-    held = hits.where("near").select("body_key", "m", F.explode(F.array_distinct("hits.term")).alias("term")).join(counts, "term")
-    held = staged(held)
-    rarest = known.groupBy("body_key").agg(F.min("with_entity").alias("least"))
-    # a pair that meets in one text: its rows are those of the text, and the rarest entity has the most information
-    alone = staged(held.join(rarest, "body_key").where(discloses("m", "least")).select("term").distinct())
-    often = held.groupBy("term").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("term")
-    rest = held.join(often, "term", "left_semi").join(alone, "term", "left_anti")
-    met = rest.join(known.where("texts > 1"), "body_key").where(F.col("with_entity") >= min_posterior * F.col("with_term"))
-    both = met.groupBy("entity", "term", "with_term", "with_entity").agg(F.sum("m").alias("both"))
-    return alone.unionByName(both.where(discloses("both", "with_entity")).select("term").distinct())
-
-
-def _document_counts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``term, with_term``: rows that hold each wanted term."""
-    wanted_bits = bit_map(wanted, "term", BITS)
-    if not any(wanted_bits):  # nothing is wanted: no row can hold it
-        return wanted.select("term", F.lit(0).cast("long").alias("with_term"))
-    shared = rows.sparkSession.sparkContext.broadcast(wanted_bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            raw, offs = utf8(batch.column("body"))
-            for i, j in slices(offs):
-                at = offs[i : j + 1] - offs[i]
-                starts, _, hashes = _terms_of(raw[offs[i] : offs[j]], at, bits)
-                pair = np.unique(np.stack([np.searchsorted(at, starts, "right") - 1, hashes]), axis=1)
-                term, n = np.unique(pair[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], ["term", "n"])
+                total = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)  # noqa: E731, B023
+                columns = [total(new), total(new & found.holds[owner]), *[total(away == s) for s in range(SHAPES)]]
+                cls, many = np.unique(found.cls[found.cls >= 0], return_counts=True)
+                pad = np.zeros(len(cls), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([term, pad]), pa.int64(), mask=np.arange(len(term) + len(cls)) >= len(term)),
+                        pa.array(np.concatenate([np.full(len(term), -1), cls]).astype(np.int32)),
+                        pa.array(np.concatenate([columns[0], many])), *[pa.array(np.concatenate([c, pad])) for c in columns[1:]],
+                    ],
+                    ["term", "cls", *_COUNTS],
+                )
 
-    return rows.select("body").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
+    schema = "term long, cls int, " + ", ".join(f"{c} long" for c in _COUNTS)
+    return texts.select("body").mapInArrow(run, schema).groupBy("term", "cls").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
-def _hits(rows: DataFrame, wanted: DataFrame, unit: str) -> DataFrame:
-    """``body_key, hits, m, near``: where wanted terms stand, for each text that holds one; ``m`` rows have the text,
-    ``near`` tells whether it holds an entity (``document``)."""
-    wanted_bits = bit_map(wanted, "term", BITS)
-    schema = "body_key string, near boolean, hits array<struct<term:long,start:long,end:long>>"
-    if not any(wanted_bits):
-        return rows.sparkSession.createDataFrame([], schema + ", m long")
-    shared = rows.sparkSession.sparkContext.broadcast(wanted_bits)
+def _places(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``body_key, m, near, hits``: where candidates stand, for each distinct text that holds one (``m`` rows have it)."""
+    wanted = bit_map(candidates, "term", BITS)
+    schema = "body_key string, near boolean, hits array<struct<term:long,start:long,end:long,cls:int>>"
+    if not any(wanted):
+        return texts.sparkSession.createDataFrame([], schema + ", m long")
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
@@ -314,28 +243,62 @@ def _hits(rows: DataFrame, wanted: DataFrame, unit: str) -> DataFrame:
             raw, offs = utf8(batch.column("body"))
             for i, j in slices(offs):
                 body, at = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                if unit == "document":
-                    starts, ends, hashes, holds = _terms_outside(batch.column("body").slice(i, j - i).to_pylist(), body, at, bits)
-                else:
-                    (starts, ends, hashes), holds = _terms_of(body, at, bits), np.zeros(j - i, bool)
-                owner = np.searchsorted(at, starts, "right") - 1
+                part = batch.slice(i, j - i)
+                runs = _Runs([t or "" for t in part.column("body").to_pylist()], body, at)
+                spot = runs.hashes % BITS
+                passed = (bits[spot >> 3] >> (spot & 7)) & 1 == 1
+                owner, starts, ends = runs.owner[passed], runs.starts[passed], runs.ends[passed]
                 points = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])
                 base = points[at[:-1]][owner]
-                part = batch.slice(i, j - i)
                 held, first = np.unique(owner, return_index=True)
-                keys = part.column("body_key").take(pa.array(held))
                 hits = pa.ListArray.from_arrays(
                     pa.array(np.append(first, len(owner)).astype(np.int32)),
                     pa.StructArray.from_arrays(
-                        [pa.array(hashes, pa.int64()), pa.array(points[starts] - base, pa.int64()), pa.array(points[ends] - base, pa.int64())],
-                        ["term", "start", "end"],
+                        [pa.array(runs.hashes[passed], pa.int64()), pa.array(points[starts] - base, pa.int64()),
+                         pa.array(points[ends] - base, pa.int64()), pa.array(runs.cls[passed].astype(np.int32))],
+                        ["term", "start", "end", "cls"],
                     ),
                 )
-                yield pa.RecordBatch.from_arrays([keys, pa.array(holds[held]), hits], ["body_key", "near", "hits"])
+                yield pa.RecordBatch.from_arrays([part.column("body_key").take(pa.array(held)), pa.array(runs.holds[held]), hits], ["body_key", "near", "hits"])
 
-    found = rows.mapInArrow(run, schema)
     # equal texts have equal hits, so one list per text is enough
-    return found.groupBy("body_key").agg(F.first("near").alias("near"), F.first("hits").alias("hits"), F.count(F.lit(1)).alias("m"))
+    return texts.mapInArrow(run, schema).groupBy("body_key").agg(F.first("near").alias("near"), F.first("hits").alias("hits"), F.count(F.lit(1)).alias("m"))
+
+
+def wilson(share: Column, n: Column, z: float) -> Column:
+    """Lower bound of a share seen in ``n`` draws."""
+    middle, spread = share + z * z / (2 * n), z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (middle - spread) / (1 + z * z / n)
+
+
+def _by_themselves(hits: DataFrame, texts_of: DataFrame, entities: DataFrame, n: int, min_posterior: float, min_pmi_bits: float) -> DataFrame:
+    """``term``: terms of more than ``FEW`` texts that disclose an entity (``entities``: ``body_key, entity`` per distinct text)."""
+    known = entities.join(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where("with_entity > 1"), "entity")
+    often = texts_of.where(F.col("texts") > FEW)
+    held = hits.where("near").select("body_key", F.explode(F.array_distinct("hits.term")).alias("term")).join(often, "term")
+    # an entity of fewer texts than the term's share needs cannot reach it
+    met = held.join(known, "body_key").where(F.col("with_entity") >= min_posterior * F.col("texts"))
+    both = met.groupBy("entity", "term", "texts", "with_entity").agg(F.count(F.lit(1)).alias("both"))
+    pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("texts") * F.col("with_entity")))
+    return both.where((wilson(F.col("both") / F.col("texts"), F.col("texts"), Z_TERM) >= min_posterior) & (pmi >= min_pmi_bits)).select("term").distinct()
+
+
+def _by_class(hits: DataFrame, texts_of: DataFrame, candidates: DataFrame, counts: DataFrame, min_posterior: float) -> DataFrame:
+    """``term``: terms of at most ``FEW`` texts with an occurrence in a class whose rare terms stand there because of entities."""
+    away = counts.where("term IS NOT NULL").agg(*[
+        ((F.coalesce(F.sum(F.when(F.col("n") <= FEW, F.col(f"far{s}"))), F.lit(0)) + 1) / (F.coalesce(F.sum(f"far{s}"), F.lit(0)) + 2)).alias(f"p{s}")
+        for s in range(SHAPES)
+    ])
+    placed = hits.where("near").select("m", F.explode("hits").alias("h")).select("m", "h.term", "h.cls").where("cls >= 0")
+    seen = placed.join(candidates.where(F.col("with_term") <= FEW).select("term"), "term", "left_semi")
+    rare = seen.groupBy("cls").agg(F.sum("m").alias("rare")).withColumnRenamed("cls", "c")
+    totals = counts.where("term IS NULL").select("cls", F.col("n").alias("all"))
+    bound = wilson(F.col("rare") / F.col("all"), F.col("all"), Z_CLASS)
+    chance = F.get(F.array(*[F.col(f"p{s}") for s in range(SHAPES)]), F.floor(F.col("cls") / BUCKETS).cast("int"))
+    classes = totals.join(rare, F.col("cls") == F.col("c")).crossJoin(F.broadcast(away)).where(chance <= (1 - min_posterior) * bound).select(F.col("cls").alias("c"))
+    # as many rows as there are classes
+    disclosing = [r.c for r in classes.collect()]
+    return placed.where(F.col("cls").isin(disclosing)).select("term").distinct().join(texts_of.where(F.col("texts") <= FEW), "term", "left_semi")
 
 
 def _term_spans(hits: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -346,13 +309,9 @@ def _term_spans(hits: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def find(
-    docs: DataFrame, *, keep: list[str] | None = None, text: str = "text", unit: str = "line",
-    min_support: int = 3, min_posterior: float = 0.5, min_pmi_bits: float = 1.0,
+    docs: DataFrame, *, keep: list[str] | None = None, text: str = "text", min_posterior: float = 0.5, min_pmi_bits: float = 1.0,
 ) -> DataFrame:
-    """Columns ``keep`` (default all) of ``docs`` plus ``spans array<struct<kind, start, end>>`` in order of start.
-
-    ``unit``: whole documents (``"document"``) or the words beside an entity (``"line"``, with ``min_support``) are its context.
-    """
+    """Columns ``keep`` (default all) of ``docs`` plus ``spans array<struct<kind, start, end>>`` in order of start."""
     configure(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
     body = F.coalesce(F.col(text), F.lit(""))
@@ -362,34 +321,24 @@ def find(
         F.concat_ws(".", F.hex(F.xxhash64(body)), F.hex(F.xxhash64(F.lit(1), body))).alias("body_key"),
     )
     texts = rows.select("body", "body_key")
-    base = _base(rows, unit)
+    base = _base(rows)
     if text in keep:  # texts stay where they are: the short columns alone are kept for the second use
-        slim = _base(texts.withColumn("row", F.struct(F.lit(0).alias("z"))), unit)
-        pairs = staged(slim.where(F.size("pairs") > 0).selectExpr("body_key", "inline(pairs)"))
+        slim = _base(texts.withColumn("row", F.struct(F.lit(0).alias("z"))))
+        entities = staged(slim.where(F.size("entities") > 0).select("body_key", F.explode("entities").alias("entity")).distinct())
     else:
         base = staged(base)
-        pairs = base.selectExpr("body_key", "inline(pairs)")
-    n = docs.count()
-    if unit == "document":
-        counts = staged(_candidates(texts, min_posterior))
-        hits = staged(_hits(texts, counts, unit))
-        entities = pairs.where("term IS NULL").select("body_key", "entity")
-        flagged = staged(_disclosing(hits, counts, entities, n, min_posterior, min_pmi_bits))
-    else:
-        with_entity = pairs.where("term IS NULL").groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-        support = pairs.where("term IS NOT NULL").groupBy("entity", "term", "body_key").agg(F.count(F.lit(1)).alias("rows"))
-        both = staged(
-            support.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_support)
-        )
-        counts = _document_counts(texts, both.select("term").distinct())
-        judged = both.join(counts, "term").join(with_entity, "entity")
-        flagged = staged(
-            judged.where(
-                (F.col("both") >= min_posterior * F.col("with_term"))
-                & (F.log2(F.col("both") * F.lit(float(n)) / (F.col("with_term") * F.col("with_entity"))) >= min_pmi_bits)
-            ).select("term").distinct()
-        )
-        hits = _hits(texts, flagged, unit)
+        entities = base.select("body_key", F.explode("entities").alias("entity")).distinct()
+    n = texts.select("body_key").distinct().count()
+    counts = kept_table(_counted(texts))
+    candidates = counts.where("term IS NOT NULL").where((F.col("near") > 0) & (F.col("near") >= min_posterior * F.col("n"))).select("term", F.col("n").alias("with_term"))
+    hits = staged(_places(texts, candidates))
+    texts_of = staged(
+        hits.select(F.explode(F.array_distinct("hits.term")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+        .join(candidates.select("term"), "term", "left_semi")
+    )
+    flagged = staged(
+        _by_themselves(hits, texts_of, entities, n, min_posterior, min_pmi_bits).unionByName(_by_class(hits, texts_of, candidates, counts, min_posterior))
+    )
     terms = _term_spans(hits, flagged)
     order = F.array_sort(
         F.transform(

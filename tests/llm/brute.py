@@ -179,3 +179,63 @@ def pii_spans(text):
             if good:
                 found.append((m.start(), k, kind, m.end()))
     return [(kind, s, e) for s, _, kind, e in sorted(found)]
+
+
+def wilson(share, n, z):
+    return (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def disclosing_terms(texts, posterior=0.5, bits=1.0, few=2):
+    """Row -> spans of terms that disclose an entity; every count made one by one."""
+    free, spans = [], []
+    for t in texts:
+        base = pii_spans(t)
+        spans.append(base)
+        free.append([m for m in re.finditer("[A-Za-z0-9\u0080-\U0010ffff]+", t or "") if not any(s < m.end() and m.start() < e for _, s, e in base)])
+    low = lambda m: m.group().translate(LOWER)
+    shape = lambda m: 0 if re.search("[0-9]", m.group()) else 1 if "A" <= m.group()[0] <= "Z" else 2
+    classes = []
+    for t, found, base in zip(texts, free, spans, strict=True):
+        out = []
+        for i, m in enumerate(found):
+            d = 9
+            for _, s, _ in base:
+                at = sum(x.start() < s for x in found)
+                d = min(d, at - i if i < at else i - at + 1)
+            out.append((shape(m), {1: 0, 2: 1, 3: 2, 4: 2}.get(d, 3)) if d <= 8 else None)
+        classes.append(out)
+    rows_of, near_of, texts_with = Counter(), Counter(), defaultdict(set)
+    for t, found, base in zip(texts, free, spans, strict=True):
+        for w in {low(m) for m in found}:
+            rows_of[w] += 1
+            near_of[w] += bool(base)
+            texts_with[w].add(t or "")
+    candidates = {w for w in rows_of if near_of[w] and near_of[w] >= posterior * rows_of[w]}
+    named = defaultdict(set)
+    for t, base in zip(texts, spans, strict=True):
+        for k, s, e in base:
+            named[k, t[s:e].translate(LOWER)].add(t)
+    n = len({t or "" for t in texts})
+    bad = set()
+    for w in candidates:
+        k = len(texts_with[w])
+        for e in named.values():
+            both = len(texts_with[w] & e)
+            if k > few and both and wilson(both / k, k, 1.645) >= posterior and math.log2(both * n / (k * len(e))) >= bits:
+                bad.add(w)
+    all_, rare, away, away_rare = Counter(), Counter(), Counter(), Counter()
+    for found, cls in zip(free, classes, strict=True):
+        for m, c in zip(found, cls, strict=True):
+            lonely = rows_of[low(m)] <= few
+            if c is None:
+                away[shape(m)] += 1
+                away_rare[shape(m)] += lonely
+            else:
+                all_[c] += 1
+                rare[c] += lonely
+    disclosing = {
+        c for c in all_ if rare[c] and (away_rare[c[0]] + 1) / (away[c[0]] + 2) <= (1 - posterior) * wilson(rare[c] / all_[c], all_[c], 2.576)
+    }
+    for found, cls in zip(free, classes, strict=True):
+        bad |= {low(m) for m, c in zip(found, cls, strict=True) if c in disclosing and low(m) in candidates and len(texts_with[low(m)]) <= few}
+    return [[m.span() for m in found if low(m) in bad] for found in free]
