@@ -45,7 +45,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Session settings the operators rely on."""
+    """Session settings the operators rely on: UTC, small Arrow batches, adaptive execution.
+
+    Results are read lazily, after an operator has returned, so the settings stay: they change the
+    caller's session for good.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -72,9 +76,22 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
+        # the folder that Spark made below it for this application's checkpoints
+        _drop_at_exit(spark, sc.getCheckpointDir())
     return path
 
 
+def _drop_at_exit(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared storage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint in the shared folder (survives lost executors).
 
@@ -103,8 +120,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield store
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop(spark, folder)
 
 
 def kept_table(df: DataFrame) -> DataFrame:
@@ -114,9 +130,8 @@ def kept_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     df.write.option("compression", "zstd").parquet(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    _drop_at_exit(spark, folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -16,9 +16,13 @@ located by walking to the next sample. Marks of all occurrences are merged per
 document into spans.
 
 Documents never move: the only exchange-free plan is scan, index, result. The
-benchmark goes to the workers in blocks of at most ``BLOCK_BYTES`` of text (checked
-before it is read on the driver), each searched against all rows; rows carry the
-hits of earlier blocks along and merge them in place.
+benchmark goes to the workers in blocks of at most ``BLOCK_BYTES`` of text, each searched
+against all rows. Before blocks are formed, equal items are made one and long ones are cut by the
+tasks into pieces of ``PIECE_WORDS`` words that overlap by a window less one word, so
+no item outgrows a block; the blocks' sizes are checked before one is read
+on the driver (a single word longer than a block is a block of its own). With several blocks
+the first one's search gives all rows; of the others only the texts they hit come back, as
+marks that are joined by a digest of the text, so no text is written again.
 
 Defined results: NULL and empty texts have no words and no hits; NULL or empty
 items have no window; a NULL ``item_id`` reads ''; repeated rows are judged each;
@@ -43,6 +47,7 @@ WINDOW = 10
 SHARD_WORDS = 1_000_000
 SAMPLE = 16
 BLOCK_BYTES = 4_000_000
+PIECE_WORDS = 20_000
 
 
 class WaveletMatrix:
@@ -232,16 +237,8 @@ class _Part:
         base = np.repeat(points[offsets[:-1]], np.diff(self.first))
         self.starts, self.ends = points[starts] - base, points[starts + lengths] - base
 
-    def result(self, hit: np.ndarray, names: list[list[str]], carry: bool) -> pa.RecordBatch:
-        first, n = self.first, len(self.first) - 1
-        earlier = self.batch.column("spans")  # hits of earlier benchmark blocks
-        told = earlier.flatten()
-        if len(told):
-            owner = np.repeat(np.arange(n), earlier.value_lengths().to_numpy(zero_copy_only=False))
-            at = first[owner] + told.field("word").to_numpy(zero_copy_only=False)
-            hit = hit.copy()
-            hit[ragged(at, told.field("words").to_numpy(zero_copy_only=False))] = True
-            names = [sorted({*x, *y}) for x, y in zip(names, self.batch.column("items").to_pylist(), strict=True)]
+    def result(self, hit: np.ndarray, names: list[list[str]]) -> pa.RecordBatch:
+        first = self.first
         head = np.zeros(len(hit) + 1, bool)  # spans end with their document
         head[first] = True
         a = np.flatnonzero(hit & (head[:-1] | ~np.concatenate([[False], hit[:-1]]))) if len(hit) else np.zeros(0, np.int64)
@@ -258,16 +255,12 @@ class _Part:
             "row": self.batch.column("row"), "n_words": pa.array(np.diff(first)), "n_hit": pa.array(np.diff(total[first])),
             "items": pa.array(names, pa.list_(pa.string())), "spans": spans,
         }
-        if carry:
-            columns["body"] = self.batch.column("body")
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _search(rows: DataFrame, items: list[tuple[str, str]], window: int, carry: bool) -> DataFrame:
+def _search(rows: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(items)  # one block: bounded by its caller
     out = T.StructType([T.StructField("row", rows.schema["row"].dataType), *_FOUND])
-    if carry:
-        out.add("body", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(shared.value, window)
@@ -279,7 +272,7 @@ def _search(rows: DataFrame, items: list[tuple[str, str]], window: int, carry: b
             doc = word = 0
             for p in shard:
                 n = len(p.first) - 1
-                yield p.result(marked[word : word + len(p.ids)], names[doc : doc + n], carry)
+                yield p.result(marked[word : word + len(p.ids)], names[doc : doc + n])
                 doc, word = doc + n, word + len(p.ids)
             shard.clear()
 
@@ -295,9 +288,60 @@ def _search(rows: DataFrame, items: list[tuple[str, str]], window: int, carry: b
     return rows.mapInArrow(run, out)
 
 
+def _pieces(items: DataFrame, window: int, piece_words: int) -> DataFrame:
+    """``id, text``: items of at most ``piece_words`` words as they are, longer ones in pieces; each window is whole in one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = utf8(batch.column("text"))
+            ids, texts = [], []
+            for k, name in enumerate(batch.column("id").to_pylist()):
+                body = raw[offs[k] : offs[k + 1]]
+                starts, lengths, _ = word_runs(lowered(body), np.array([0, len(body)]))
+                for begin in range(0, max(1, len(starts) - window + 1), max(1, piece_words - window + 1)):
+                    stop = min(begin + piece_words, len(starts))
+                    ids.append(name)
+                    texts.append(body[starts[begin] : starts[stop - 1] + lengths[stop - 1]].tobytes().decode() if stop > begin else "")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["id", "text"])
+
+    return items.mapInArrow(run, "id string, text string")
+
+
+def _blocks(pieces: DataFrame, block_bytes: int) -> int:
+    """So many blocks, by hash, that none is larger than ``block_bytes`` unless it is one piece."""
+    total, rows = pieces.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = max(1, -(-total // block_bytes))
+    while 1 < blocks < rows:
+        parts = pieces.groupBy(_block(blocks).alias("b")).agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n"))
+        if not parts.where((F.col("s") > block_bytes) & (F.col("n") > 1)).take(1):
+            break
+        blocks *= 2
+    return blocks
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+
+
+def merged_spans(spans: Column) -> Column:
+    """Spans in any order, some of them overlapping or adjacent, as disjoint ones in order."""
+    empty = F.array().cast(_SPANS)
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        stop = F.greatest(last["word"] + last["words"], s["word"] + s["words"])
+        longer = F.struct(
+            last["word"].alias("word"), (stop - last["word"]).alias("words"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")
+        )
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & (s["word"] <= last["word"] + last["words"]), joined).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), empty, add)
+
+
 def find(
     docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | None = None, text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+    item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, piece_words: int = PIECE_WORDS,
 ) -> DataFrame:
     """Columns ``keep`` (default all) of ``docs`` plus ``n_words, n_hit, items array<string>, spans``.
 
@@ -308,20 +352,32 @@ def find(
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")
+    ).distinct()
+    pieces = _pieces(items, window, max(piece_words, window)).distinct().withColumn("weight", F.octet_length("text") + F.octet_length("id") + 64)
+    pieces = staged(pieces)
+    blocks = _blocks(pieces, block_bytes)
+    body = F.coalesce(F.col(text), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep])
+    block = lambda b: [(r.id, r.text) for r in (pieces if blocks == 1 else pieces.where(_block(blocks) == b)).collect()]
+    if blocks == 1:
+        found = _search(docs.select(row.alias("row"), body.alias("body")), block(0), window)
+        return found.select(*[F.col("row")[c].alias(c) for c in keep], *own)
+    # a digest of the text stands for it where the marks of the blocks meet
+    digest = F.sha2(body, 256)
+    found = _search(docs.select(F.struct(row.alias("row"), digest.alias("digest")).alias("row"), body.alias("body")), block(0), window)
+    texts = docs.select(digest.alias("row"), body.alias("body"))
+    marks = None
+    for b in range(1, blocks):
+        hit = staged(_search(texts, block(b), window).where("n_hit > 0").select("row", "items", "spans").dropDuplicates(["row"]))
+        marks = hit if marks is None else marks.unionByName(hit)
+    marks = marks.groupBy(F.col("row").alias("k")).agg(F.flatten(F.collect_list("items")).alias("more"), F.flatten(F.collect_list("spans")).alias("also"))
+    both = found.join(marks, F.col("row.digest") == F.col("k"), "left")
+    spans = F.when(F.col("also").isNull(), F.col("spans")).otherwise(merged_spans(F.concat("spans", F.coalesce("also", F.array().cast(_SPANS)))))
+    named = F.when(F.col("more").isNull(), F.col("items")).otherwise(F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more", F.array().cast("array<string>"))))))
+    merged = both.select("row", "n_words", named.alias("items"), spans.alias("spans")).withColumn(
+        "n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
     )
-    weight = F.octet_length("text") + F.octet_length("id") + 64
-    size = items.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    blocks = 1 if size <= block_bytes else int(-(-2 * size // block_bytes))
-    found = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"),
-        F.array().cast("array<string>").alias("items"), F.array().cast(_SPANS).alias("spans"),
-    )
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        more = b + 1 < blocks
-        found = _search(found, [tuple(r) for r in block.collect()], window, more)
-        found = staged(found) if more else found
-    return found.select(*[F.col("row")[c].alias(c) for c in keep], *own)
+    return merged.select(*[F.col("row.row")[c].alias(c) for c in keep], *own)
 
 
 def remove_spans(text: Column, spans: Column) -> Column:

@@ -5,8 +5,11 @@ the one with the smallest id is a ``response`` and the others are ``revisit`` re
 that name it; smaller payloads are all ``response``. The first of each payload is a
 map-side combined ``min`` per digest, joined back on the digest (a hot payload is
 split by the skew join; payloads too small to be shared get a key of their own,
-so they spread). Records are written by Spark's text sink, at most ``records_per_file``
-in a file, so the reader's memory has a bound. With ``gzip`` (the default) each record is
+so they spread). Records are written by Spark's text sink, so many in a file that it has
+at most about ``FILE_BYTES`` before compression (a larger record is a file of its own): pages are
+written by size, each of ``SIZES`` with its own number of records in a file, so the reader's memory has a
+bound. The sink writes strings and does not look into them: compressed bytes pass it as strings made
+of them (a test holds it to that). With ``gzip`` (the default) each record is
 a member of its own, compressed in the tasks; the sink wants a line separator, and an
 empty member serves. File names end in ``.txt``, as the sink does not compress. Otherwise
 the record separator is the line separator, and the codec is the sink's.
@@ -42,6 +45,9 @@ from .common import configure
 
 MIN_REVISIT_BYTES = 100
 RECORDS_PER_FILE = 4096
+FILE_BYTES = 256 << 20
+# Payload sizes up to which so many records go into a file: FILE_BYTES divided by them.
+SIZES = (64 << 10, 1 << 20, 16 << 20)
 SEPARATOR = "\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
@@ -91,7 +97,7 @@ def records(pages: DataFrame, *, id: str = "page_id", uri: str = "url", payload:
             line("Content-Type: application/http; msgtype=response"),
             line("Content-Length: ", F.octet_length(block).cast("string")),
             F.lit("\r\n"), block,
-        ).alias("value")
+        ).alias("value"), "n"
     )
 
 
@@ -105,18 +111,26 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
-def write(pages: DataFrame, folder: str, *, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip", **options) -> None:
+def write(pages: DataFrame, folder: str, *, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip", payload: str = "html", **options) -> None:
     """Archive ``pages`` into ``folder`` (on shared storage)."""
     if compression == "gzip":
         configure(pages.sparkSession)
-        members = records(pages, **options).mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
-        members.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("compression", "none").option(
-            "maxRecordsPerFile", records_per_file
-        ).text(folder)
-        return
-    records(pages, **options).write.option("lineSep", SEPARATOR).option("compression", compression).option(
-        "maxRecordsPerFile", records_per_file
-    ).text(folder)
+    largest = pages.agg(F.coalesce(F.max(F.octet_length(F.col(payload).cast("string"))), F.lit(0))).first()[0]
+    rows = records(pages, payload=payload, **options)
+    low = -1
+    for high in (*SIZES, None):
+        per_file = min(records_per_file, max(1, FILE_BYTES // (high or FILE_BYTES)))
+        part = rows if low < 0 and (high is None or largest <= high) else rows.where((F.col("n") > low) & (F.col("n") <= (high or 2**62)))
+        out = part.select("value")
+        if compression == "gzip":
+            out = out.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+            sink = out.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("compression", "none")
+        else:
+            sink = out.write.option("lineSep", SEPARATOR).option("compression", compression)
+        sink.mode("append" if low >= 0 else "errorifexists").option("maxRecordsPerFile", per_file).text(folder)
+        if high is None or largest <= high:
+            break
+        low = high
 
 
 def _int(text: bytes | None) -> int | None:

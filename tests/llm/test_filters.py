@@ -43,6 +43,30 @@ def test_decontamination(docs, seed, monkeypatch):
             assert sum(s.words for s in found[d].spans) == found[d].n_hit
 
 
+def test_long_and_repeated_items_stay_within_blocks(docs, monkeypatch):
+    """A long item is cut, a repeated one counted once: no block on the driver is above its bound."""
+    rnd = random.Random(3)
+    long = " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(60_000))
+    words = long.split(" ")
+    spark = docs([(0, "")]).sparkSession
+    items = spark.createDataFrame([("long", long)] + [("again", "x y z " * 10)] * 500 + [("short", "q r")], "item_id string, text string")
+    rows = [(1, " ".join(words[777:795])), (2, "say x y z x y z x y z x y z now"), (3, "q r"), (4, "none of it " * 5), (5, " ".join(words[-12:])), (6, None)]
+    sizes = []
+    real = decontamination._search
+
+    def search(found, block, window):
+        sizes.append(sum(len(t) + len(i) + 64 for i, t in block))
+        return real(found, block, window)
+
+    monkeypatch.setattr(decontamination, "_search", search)
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in decontamination.find(docs(rows), items, block_bytes=30_000, piece_words=2_000).collect()}
+    assert len(sizes) > 3 and max(sizes) <= 30_000
+    one = {r.doc_id: (r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in decontamination.find(docs(rows), items).collect()}
+    assert got == one
+    known = [("long", long), ("again", "x y z " * 10), ("short", "q r")]
+    assert {d: x[:3] for d, x in got.items()} == {d: tuple(brute.benchmark_hits(t, known, 10)) for d, t in rows}
+
+
 def test_remove_spans(docs):
     items = docs([(0, "")]).sparkSession.createDataFrame([(1, "the quick brown fox")], "item_id long, text string")
     rows = [(1, "say THE quick, brown fox! é"), (2, "the quick brown fox"), (3, "the quick fox"), (4, None)]

@@ -85,6 +85,33 @@ def test_warc_empty_table(spark, pages, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/w").collect() == []
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 64 << 10)
+    monkeypatch.setattr(warc, "SIZES", (1 << 10, 4 << 10, 16 << 10))
+    sizes = [10] * 200 + [1000] * 100 + [3000] * 40 + [15_000] * 12 + [100_000] * 3 + [0, 1024, 1025]
+    rnd = random.Random(1)
+    rows = [(i, "u", "".join(rnd.choice("abcé") for _ in range(n))) for i, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/plain", compression="none")
+    files = [p.stat().st_size for p in (tmp_path / "plain").iterdir() if p.name.startswith("part")]
+    # a record has some 600 bytes besides its payload
+    assert len(files) > 10 and max(files) < 200_000 and sorted(files)[-4] <= 64 * (1024 + 700)
+    warc.write(pages, f"file://{tmp_path}/gz")
+    found = warc.read(spark, f"file://{tmp_path}/gz").collect()
+    body = {i: h.encode() for i, _, h in rows}
+    assert {r.kind for r in found} == {"record"} and len(found) == len(rows)
+    assert all(r.record_type == "revisit" or bytes(r.payload) == body[r.id] for r in found)
+
+
+def test_the_text_sink_passes_any_bytes(spark, tmp_path):
+    """Records go through it as strings that are no UTF-8."""
+    blob = bytes(range(256)) * 3
+    rows = spark.createDataFrame([(blob,)], "value binary").coalesce(1).select(F.col("value").cast("string"))
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", "|").text(f"file://{tmp_path}/raw")
+    (file,) = [p for p in (tmp_path / "raw").iterdir() if p.name.startswith("part")]
+    assert file.read_bytes() == blob + b"|"
+
+
 def archive(spark, pages, tmp_path, compression):
     warc.write(pages.where("page_id IS NOT NULL").coalesce(1), f"file://{tmp_path}/one", compression=compression)
     (file,) = [p for p in (tmp_path / "one").iterdir() if p.name.startswith("part")]
