@@ -17,18 +17,23 @@ All but the last stage return the columns of ``documents``, ``n_chars`` kept up
 Between stages the table is written as Parquet to the shared folder and read
 again. SQL cannot express the classifier or the encoder, so there is no SQL
 counterpart; tests compare the stages with brute-force versions.
+
+Defined results: a NULL or empty text scores 0 and passes every stage unchanged (NULL
+stays NULL up to the last stage, which encodes it as no tokens); texts of any length are worked on
+whole; rows that repeat id and text fall together in the near-duplicate stage and each of them stays if
+theirs is the smallest id of its group; a NULL id is never the smallest beside another one; an empty
+table gives an empty result; extra columns are kept up to the last stage, whatever their
+names, which returns its own columns only.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventscope.llm import bpe, decontamination, line_dedup, minhash_dedup
 from eventscope.llm import toxicity as toxicity_model
-from eventscope.llm.common import read, scratch, shared_dir
+from eventscope.llm.common import kept_table, read, scratch
 from eventscope.llm.queries import vocabulary_path
 
 
@@ -80,9 +85,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     with scratch(spark) as store:
         for _, stage in STAGES[:-1]:
             docs = store(stage(spark, docs, sf_dir))
-        STAGES[-1][1](spark, docs, sf_dir).write.parquet(out)
-    return spark.read.parquet(out)
+        return kept_table(STAGES[-1][1](spark, docs, sf_dir))
