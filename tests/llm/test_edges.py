@@ -1,0 +1,108 @@
+"""Edge cases of whole operators and of the pipeline: NULLs, very long texts, repeated rows, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from eventscope.llm import decontamination, line_dedup, toxicity, warc
+
+from . import brute
+
+
+def tables(spark, tmp_path, rows, toxic):
+    folder = f"file://{tmp_path}/data"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({
+        "lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long"),
+        **{c: F.lit(c) for c in ("kept", "spans", "row", "body", "node", "key", "score", "items", "doc")},
+    })
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(toxic, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again"), (2, None)], "item_id long, text string").write.parquet(
+        f"{folder}/benchmark.parquet"
+    )
+    return folder
+
+
+def test_pipeline_edges(spark, tmp_path):
+    prose = [f"plain words number {i} about the weather of day {i * 7} and some more of it {i}" for i in range(60)]
+    rude = [f"cursed zounds vexil {i} cursed blight zounds" for i in range(30)]
+    rows = [(100 + i, t) for i, t in enumerate(prose)] + [(200 + i, t) for i, t in enumerate(rude)]
+    long = " ".join(f"w{i}" for i in range(200_000))
+    passage = " ".join(f"s{i}" for i in range(60))
+    rows += [(1, None), (2, ""), (3, long), (3, long), (None, "a text without an id " * 3), (4, f"x one\n{passage}"), (5, f"y two\n{passage}"),
+             (6, "so the quick brown fox jumps over the lazy dog again and again it says")]
+    folder = tables(spark, tmp_path, rows, [(i, 1, int(i >= 200)) for i in range(100, 230)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns, name
+        docs.write.parquet(f"file://{tmp_path}/{name}")
+        docs = spark.read.parquet(f"file://{tmp_path}/{name}")
+    left = {r.doc_id: r for r in docs.collect()}
+    assert len([i for i in left if i and i >= 200]) == 0 and all(100 + i in left for i in range(60))
+    assert left[1].text is None and left[2].text == "" and left[3].text == long and None in left
+    assert docs.where("doc_id = 3").count() == 2  # both rows have the smallest id of their group
+    assert left[4].text == f"x one\n{passage}" and left[5].text == "y two" and left[5].n_chars == 5
+    assert left[6].text == "so  it says" and left[6].n_chars == 11
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    done = {r.doc_id: r for r in out.collect()}
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"] and set(done) == set(left)
+    assert done[1].n_tokens == 0 and done[2].n_tokens == 0 and done[3].n_tokens > 200_000 and all(r.round_trip for r in done.values())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    folder = tables(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_lines_and_words_of_a_million_bytes(docs):
+    line, word = "w " * 500_000 + "end", "z" * 1_000_000
+    rows = [(1, line), (2, f"head\n{line}\ntail"), (3, word), (4, f"{word} {word}")]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == {1: (line, 0), 2: ("head\ntail", 1), 3: (word, 0), 4: (f"{word} {word}", 0)}
+    items = docs([(0, "")]).sparkSession.createDataFrame([(1, word), (2, "w " * 10)], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"])) for r in decontamination.find(docs(rows), items).collect()}
+    known = [("1", word), ("2", "w " * 10)]
+    assert found == {d: tuple(brute.benchmark_hits(t, known, 10)) for d, t in rows}
+
+
+def test_toxicity_of_a_long_text_and_repeated_rows(docs):
+    rude, calm = "cursed blight zounds ", "a quiet day in the garden "
+    rows = [(i, (rude if i % 4 == 0 else calm) * 5 + f"n{i}") for i in range(400)]
+    rows += [(1000, calm * 40_000), (1001, calm * 20_000 + rude * 20_000), (1002, rude * 4), (1002, rude * 4)]
+    gold = docs([(0, "")]).sparkSession.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    scored = toxicity.score(docs(rows), toxicity.train(docs(rows), gold)).collect()
+    score = {r.doc_id: r.score for r in scored}
+    assert len(scored) == len(rows) and score[1000] < 0.5 <= score[1001] and score[1002] >= 0.5
+
+
+def test_warc_of_a_long_payload(spark, tmp_path):
+    body = "é<p>text</p>" * 400_000
+    pages = spark.createDataFrame([(1, "u", body), (2, "u", body), (3, "v", body + "!")], "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/w")
+    found = sorted((r.id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read(spark, f"file://{tmp_path}/w", payloads=False).collect())
+    n = len(body.encode())
+    assert found == [(1, "response", None, n), (2, "revisit", 1, n), (3, "response", None, n + 1)]
+
+
+@pytest.mark.parametrize("name", ["documents", "pages"])
+def test_nothing_stays_in_the_shared_folder(spark, tmp_path, name):
+    """Archives and stages go when their query returns; its result goes with the application."""
+    import os
+
+    from eventscope.llm import queries
+    from eventscope.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    if name == "pages":
+        spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200)], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+        assert queries.op10_warc(spark, f"file://{tmp_path}").count() == 2
+    else:
+        data = tables(spark, tmp_path, [(1, "some text"), (2, "some text")], [])
+        assert corpus_pipeline.run(spark, data).count() == 1
+    left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
+    assert left <= {"kept"}
