@@ -22,8 +22,9 @@ Defined results: a NULL or empty text scores 0 and passes every stage unchanged
 stays NULL up to the last stage, which encodes it as no tokens); texts of any length are worked on
 whole; rows that repeat id and text fall together in the near-duplicate stage and each of them stays if
 theirs is the smallest id of its group; a NULL id is never the smallest beside another one; an empty
-table gives an empty result; extra columns are kept up to the last stage, whatever their
-names, which returns its own columns only.
+table gives an empty result; extra columns are kept up to the last stage, which returns its own
+only (one that is named like an operator's result, such as ``kept`` or ``spans``, holds that result from
+its stage on).
 """
 
 from __future__ import annotations
