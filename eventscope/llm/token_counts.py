@@ -7,8 +7,8 @@ The tree is two integer arrays in heap layout (node ``i`` has children ``2i`` an
 
 `apply_edits` applies edits ``(pos, del, ins)`` one after another, positions in code
 points of the text as it then is. Per edit it descends to the leaf that holds the
-position less ``CONTEXT`` characters (pre-tokens that end before that cannot have
-changed), re-encodes from that leaf's start to the end of the leaf behind the
+position less the context's characters (pre-tokens that end before that cannot have
+changed: the context is longer than any lookahead of the split and any added token of the vocabulary), re-encodes from that leaf's start to the end of the leaf behind the
 edit, and goes on leaf by leaf until the new split meets an old leaf boundary;
 behind such a boundary the old split stays valid, since a pre-token depends only
 on the text from its start on. New leaf sums are then added up the tree. Regions
@@ -35,7 +35,7 @@ from .common import configure
 from .textops import slices, utf8
 
 LEAF = 16
-CONTEXT = 16  # characters; more than any lookahead of the split and any added token
+LOOKAHEAD = 16  # characters; more than any lookahead of the split
 TREE = T.StructType([T.StructField("chars", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 EDITS = "array<struct<pos:int,del:int,ins:string>>"
 
@@ -46,6 +46,11 @@ def total(tree: str | Column) -> Column:
     return F.get(tree["tokens"], F.lit(1)).cast("long")
 
 
+def context(voc: Vocabulary) -> int:
+    """Characters around an edit that can change how it is split: an added token may be longer than any lookahead."""
+    return max([LOOKAHEAD, *(len(t.decode("utf-8", "replace")) + 1 for t in voc.special)])
+
+
 def _heap(leaves: np.ndarray) -> np.ndarray:
     size = 1 << max(0, int(len(leaves) - 1).bit_length()) if len(leaves) else 1
     tree = np.zeros(2 * size, np.int64)
@@ -105,8 +110,8 @@ def build(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
 class _Document:
     """One document under edit."""
 
-    def __init__(self, text: str, chars: list[int], tokens: list[int]):
-        self.text, self.chars, self.tokens = text, chars, tokens
+    def __init__(self, text: str, chars: list[int], tokens: list[int], context: int):
+        self.text, self.chars, self.tokens, self.context = text, chars, tokens, context
         self.reencoded = 0
 
     def leaf_at(self, x: int) -> tuple[int, int]:
@@ -126,13 +131,13 @@ class _Document:
         cut = min(max(cut, 0), n - pos)
         self.text = self.text[:pos] + ins + self.text[pos + cut :]
         self.delta = len(ins) - cut
-        self.first, self.start = self.leaf_at(max(pos - CONTEXT, 0))
+        self.first, self.start = self.leaf_at(max(pos - self.context, 0))
         self.last, start = self.leaf_at(pos + cut)
         self.end = start + self.chars[self.last]
 
     def region(self) -> str:
         """What to re-encode: up to the old leaf boundary tried now, and the characters that can decide it."""
-        return self.text[self.start : self.end + self.delta + CONTEXT]
+        return self.text[self.start : self.end + self.delta + self.context]
 
     def close(self, chars: np.ndarray, tokens: np.ndarray) -> bool:
         """Take the region's pre-tokens if its split meets the old boundary; else ask for one more leaf."""
@@ -200,12 +205,13 @@ def apply_edits(trees: DataFrame, path: str, *, text: str = "text", edits: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
+        reach = context(voc)
         for batch in batches:
             _, offs = utf8(batch.column("body"))
             for i, j in slices(offs):
                 part = batch.slice(i, j - i)
                 docs = [
-                    _Document(body, tree["chars"], tree["tokens"])
+                    _Document(body, tree["chars"], tree["tokens"], reach)
                     for body, tree in zip(part.column("body").to_pylist(), part.column("tree").to_pylist(), strict=True)
                 ]
                 _apply(voc, docs, [x or [] for x in part.column("todo").to_pylist()])

@@ -157,3 +157,10 @@ def test_update_keeps_documents_without_edits(spark, vocabulary_path):
     log = spark.createDataFrame([(1, 0, 0, 1, "zz")], "doc_id long, seq int, pos int, del int, ins string")
     out = token_counts.update(token_counts.build(df, vocabulary_path), log, vocabulary_path)
     assert {(r.doc_id, r.text) for r in out.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()} == {(1, "zz b"), (None, "c"), (3, "")}
+
+
+def test_context_is_longer_than_every_added_token(voc):
+    class Other:
+        special = {("<|" + "é" * 40 + "|>").encode(): 1}
+
+    assert token_counts.context(voc) >= max(16, *(len(t) for t in voc.special)) and token_counts.context(Other) == 45
