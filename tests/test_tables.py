@@ -105,3 +105,18 @@ def test_loading_a_file_twice_gives_its_rows_once(spark, session_events, tmp_pat
     for name in ("", "a/b", "x=y", "_hidden"):
         with pytest.raises(ValueError):
             load_batch(january, path, name)
+
+
+def test_command_line(spark, raw, tmp_path, capsys):
+    from eventscope.__main__ import main
+
+    source, table = str(tmp_path / "events.csv"), str(tmp_path / "table")
+    main(["load", source, table, "--quarantine", str(tmp_path / "q"), "--versioned"])
+    assert "rows_rejected=5" in capsys.readouterr().out
+    assert read_current(spark, table).count() == 3 and read_quarantine(spark, str(tmp_path / "q")).count() == 6
+    with pytest.raises(Exception, match="malformed"):
+        main(["load", source, table, "--versioned"])
+    assert read_current(spark, table).count() == 3
+    for _ in range(2):
+        main(["load", source, str(tmp_path / "batches"), "--on-error", "null", "--load-id", "events.csv"])
+    assert read_events(spark, str(tmp_path / "batches")).count() == len(LINES)
