@@ -57,7 +57,7 @@ PERCENT = 80
 SIDE = 10
 ROWS = 3
 ROUNDS = 1
-SMALL = 32
+SMALL = 8
 BLOCK_NODES = 1024
 BLOCK_SHINGLES = 500_000
 BITS = 1 << 25
