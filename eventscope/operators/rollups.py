@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import month_label, month_start, week_start
-from ..functions.staging import staged
+from ..functions.staging import shared_folder, staged
 
 SKETCH_BITS = 12  # log2 of a sketch's registers: about 1.6 % relative standard deviation
 
@@ -22,6 +22,8 @@ SKETCH_BITS = 12  # log2 of a sketch's registers: about 1.6 % relative standard
 def _numbered(users: DataFrame, user: str, first: Column) -> DataFrame:
     """Distinct ``users`` with dense numbers from ``first`` on, counted per partition and offset by the partitions before."""
     # a number must not change between two reads
+    if shared_folder(users.sparkSession) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder on shared storage")
     placed = staged(users.select(user, F.monotonically_increasing_id().alias("_id")))
     part = F.shiftright("_id", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
