@@ -256,19 +256,28 @@ def _reached(anchors: DataFrame, books: dict, directory: dict[int, list]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, directory = shared.value
+        # per vector length: all cells of all shards in one row, and where each shard's begin
+        flat = {}
+        for dim, shards in directory.items():
+            c1, c2 = (np.concatenate([x[k] for x in shards]) for k in (1, 2))
+            sizes = np.array([len(x[1]) for x in shards])
+            r1, r2 = (np.repeat([x[k] for x in shards], sizes) for k in (3, 4))
+            flat[dim] = np.array([x[0] for x in shards]), np.cumsum(sizes) - sizes, c1, c2, r1, r2
         for batch in batches:
             dims, least = batch.column("dim").to_pylist(), batch.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
             vectors = batch.column("vec").to_pylist()
             row, shard = [], []
             for i, dim in enumerate(dims):
-                q, cells = np.array(vectors[i], np.float64), directory.get(dim, [])
-                for number, c1, c2, r1, r2 in cells:
-                    b1, b2 = halves(books, dim)
-                    x, y = q[: dim // 2], q[dim // 2 :]
-                    bound = (b1[c1] @ x + np.sqrt(x @ x) * r1 + b2[c2] @ y + np.sqrt(y @ y) * r2).max()
-                    if not bound + 1e-6 * (1 + abs(bound)) < least[i]:  # a missing least is no number
-                        row.append(i)
-                        shard.append(number)
+                if dim not in flat:
+                    continue
+                number, begin, c1, c2, r1, r2 = flat[dim]
+                b1, b2 = halves(books, dim)
+                q = np.array(vectors[i], np.float64)
+                x, y = q[: dim // 2], q[dim // 2 :]
+                bound = np.maximum.reduceat((b1 @ x)[c1] + np.sqrt(x @ x) * r1 + (b2 @ y)[c2] + np.sqrt(y @ y) * r2, begin)
+                near = number[~(bound + 1e-6 * (1 + np.abs(bound)) < least[i])]  # a missing least is no number
+                row += [i] * len(near)
+                shard += near.tolist()
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([c.take(at) for c in batch.columns] + [pa.array(shard, pa.int32())], [*batch.schema.names, "shard"])
 
