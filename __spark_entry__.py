@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,13 +62,14 @@ from eventscope.operators import (  # noqa: E402
     user_months,
     weekly_report,
 )
-from eventscope.functions.staging import staged  # noqa: E402
+from eventscope.functions.staging import shared_folder, staged  # noqa: E402
 from eventscope.plans.session import configure  # noqa: E402
 from eventscope.sources import (  # noqa: E402
     EVENT_COLUMNS,
     clean_events,
     clickstream_events,
     load_errors,
+    load_events,
     order_events,
     parse_event_lines,
     quarantined,
@@ -162,6 +164,21 @@ def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_event_lines(raw.select(F.concat(F.concat_ws(",", *quoted), last).alias("value")))
 
 
+def _multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staging layout as CSV files in the shared folder, with line breaks and doubled quotes in two fields, loaded again."""
+    raw = _raw_text_events(spark, sf_dir)
+    raw = raw.withColumn("category_code", F.replace("category_code", F.lit(": "), F.lit(',"\n\n'))).withColumn("brand", F.concat("brand", F.lit('\n,"')))
+    quoted = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in EVENT_COLUMNS]
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    path = f"{folder}/eventscope-lines-{uuid.uuid4().hex}"
+    raw.select(F.concat_ws(",", *quoted).alias("value")).write.text(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return clean_events(load_events(spark, path, header=False, multi_line=True))
+
+
 def _funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel_sessions(_events(spark, sf_dir), FUNNEL_STEPS)
 
@@ -245,6 +262,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_events_text": lambda s, d: clean_events(_event_lines(s, d), on_error="null"),
         "load_errors": lambda s, d: load_errors(_event_lines(s, d)),
         "load_quarantine": _quarantine,
+        "load_multi_line": _multi_line,
         # activity
         "dau_moving_avg": lambda s, d: daily_report(_events(s, d)),
         "dau_moving_avg_orders": lambda s, d: daily_report(_orders(s, d)),
@@ -381,6 +399,14 @@ SELECT ts AS event_time, kind AS event_type, event_id AS product_id,
        CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE) AS price, user_id, sess AS user_session
 FROM r"""
 
+_MULTI_LINE = f"""WITH {_STAGED}
+SELECT ts AS event_time, kind AS event_type, event_id AS product_id,
+       CASE WHEN digits <> '' THEN CAST(digits AS BIGINT) END AS category_id,
+       CASE WHEN props <> '' THEN replace(props, ': ', ',"' || chr(10) || chr(10)) END AS category_code,
+       CASE WHEN kind = 'signup' THEN '' ELSE kind END || chr(10) || ',"' AS brand,
+       CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE) AS price, user_id, sess AS user_session
+FROM r"""
+
 _CLEAN_NULLS = f"""WITH {_STAGED}
 SELECT count(*) - count(user_id) AS null_user_id, count(*) - count(sess) AS null_user_session,
        count(*) FILTER (WHERE kind = 'signup') AS null_brand,
@@ -669,6 +695,7 @@ def oracle_sql() -> dict[str, str]:
         "load_events_text": _LOADED,
         "load_errors": _LOAD_ERRORS,
         "load_quarantine": _QUARANTINE,
+        "load_multi_line": _MULTI_LINE,
         "dau_moving_avg": _dau(_EV),
         "dau_moving_avg_orders": _dau(_ORD),
         "dau_moving_avg_orders_filled": _dau_filled(_ORD),

@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     kind = load.add_mutually_exclusive_group()
     kind.add_argument("--versioned", action="store_true", help="replace the table at once; a failed load leaves the old one")
     kind.add_argument("--load-id", help="a name for this load: loading it again replaces its rows only")
-    load.add_argument("--multi-line", action="store_true", help="quoted fields may hold line breaks (files are not split)")
+    load.add_argument("--multi-line", action="store_true", help="quoted fields may hold line breaks")
     report = sub.add_parser("report", help="every report of the event table, one Parquet folder each")
     report.add_argument("table")
     report.add_argument("out")

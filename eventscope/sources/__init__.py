@@ -14,6 +14,7 @@ from .events import (
     write_events_table,
 )
 from .quarantine import load_with_quarantine, quarantined, read_clean, read_quarantine
+from .records import csv_records, load_records
 from .tables import clickstream_events, order_events, read_table
 from .versions import current_version, load_batch, read_current, replace_events, vacuum
 
@@ -23,10 +24,12 @@ __all__ = [
     "RAW_SCHEMA",
     "clean_events",
     "clickstream_events",
+    "csv_records",
     "current_version",
     "load_batch",
     "load_errors",
     "load_events",
+    "load_records",
     "load_with_quarantine",
     "order_events",
     "parse_event_lines",

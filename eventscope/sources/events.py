@@ -60,11 +60,11 @@ LOAD_SCHEMA = T.StructType([*RAW_SCHEMA.fields, T.StructField(CORRUPT_COLUMN, T.
 ON_ERROR = ("fail", "null")
 
 
-def csv_options(*, header: bool = True, multi_line: bool = False) -> dict[str, str]:
+def csv_options(*, header: bool = True) -> dict[str, str]:
     """Reader options of the staging files, shared by the batch, streaming and line-by-line readers."""
     return {
         "header": str(header).lower(), "quote": '"', "escape": '"', "mode": "PERMISSIVE",
-        "columnNameOfCorruptRecord": CORRUPT_COLUMN, "multiLine": str(multi_line).lower(),
+        "columnNameOfCorruptRecord": CORRUPT_COLUMN,
         # the width of a row is only seen if all its fields are parsed
         "columnPruning": "false",
     }
@@ -76,16 +76,25 @@ def load_events(spark: SparkSession, path: str | list[str], *, header: bool = Tr
     Doubled quotes inside quoted fields are unescaped (``escape='"'``); both
     ``,,`` and ``,"",`` read as NULL. A row with too few or too many fields keeps its
     line in ``_corrupt_record``. ``multi_line=True`` reads quoted fields that hold line
-    breaks; such files cannot be split, so each is read by one task.
+    breaks; such files are split too (:mod:`eventscope.sources.records`), after a first
+    pass that runs at the call and keeps the lines in ``spark.checkpoint.dir``.
     """
-    return spark.read.schema(LOAD_SCHEMA).options(**csv_options(header=header, multi_line=multi_line)).csv(path)
+    if multi_line:
+        from .records import load_records
+
+        return load_records(spark, path, header=header)
+    return spark.read.schema(LOAD_SCHEMA).options(**csv_options(header=header)).csv(path)
+
+
+def parsed_line(column: str) -> Column:
+    """The struct of :data:`LOAD_SCHEMA` in a CSV line or record (without a header)."""
+    options = {k: v for k, v in csv_options().items() if k != "header"}
+    return F.from_csv(F.col(column), LOAD_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " "), options)
 
 
 def parse_event_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """The columns of :func:`load_events` from a text column of CSV lines (without a header)."""
-    options = {k: v for k, v in csv_options().items() if k not in ("header", "multiLine")}
-    parsed = F.from_csv(F.col(column), LOAD_SCHEMA.simpleString()[len("struct<"):-1].replace(":", " "), options)
-    return lines.select(parsed.alias("_e")).select("_e.*")
+    return lines.select(parsed_line(column).alias("_e")).select("_e.*")
 
 
 def _typed(raw: DataFrame) -> dict[str, tuple[Column, Column, Column]]:
